@@ -2,17 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import near_dedup, toxicity
+from . import bpe, near_dedup, packing, sharding, toxicity
 from .common import id_bucket, table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.sharded(documents, shards).withColumn("law", F.lit("key"))
+
+
+def op4_swap_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    def digests(codec: bpe.BytePairCodec, ids) -> tuple:
+        listed = ",".join(map(str, ids.tolist())).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
+    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.map_encoded(documents, ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests, added)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
