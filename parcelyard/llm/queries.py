@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, near_dedup, packing, sharding, toxicity
+from . import bpe, near_dedup, packing, secrets, sharding, toxicity
 from .common import id_bucket, table
 
 
@@ -58,5 +58,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> Da
     )
 
 
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    spans = F.col("secrets")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, secrets.KINDS),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+        F.sha2(secrets.listed(spans, secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
