@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelyard.llm import near_dedup, toxicity
+from parcelyard.llm import near_dedup, packing, secrets, toxicity
 from parcelyard.llm.common import cut, table
 
 THRESHOLD = 0.7
@@ -24,7 +24,20 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("toxicity", clean_toxicity), ("near_dedup", near_deduplicate)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; live-looking secrets are masked, copied examples are left, and n_chars follows the text."""
+    clean = secrets.masked(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", clean_toxicity), ("near_dedup", near_deduplicate), ("secrets", mask_secrets), ("packing", pack_sequences)]
 
 #: Learned scores, components and tokenizers aren't expressible in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
