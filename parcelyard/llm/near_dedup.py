@@ -7,9 +7,8 @@ A text is the set of its distinct shingles of five words. Equal sets are one cla
    n - 1 pairs), the pair's similarity is estimated from the packed bits - matching fields, corrected for the 1/16 that match by
    chance - and what lies clearly under the threshold goes.
 3. What is left is confirmed on the full sets, and confirmed links make components.
-4. A bucket that holds texts of several components may hold links that its star missed. Small ones are paired in full; large ones are
-   split in blocks, and each text is paired with its likeliest partner, then its likeliest few, then all that may reach the
-   threshold, in every other component of its block pair. The last of these rounds leaves no candidate out.
+4. A bucket that holds texts of several components may hold links that its star missed. Its texts are dealt in blocks, every pair of
+   blocks is estimated by bit counts, and pairs of different components that may reach the threshold are confirmed on the spot.
 
 A pair at similarity 0.75 shares no band with probability 7e-6, and lies under the estimate's cut with probability 1e-6.
 
@@ -19,10 +18,11 @@ they share a component; rows without doc_id stand alone, with a null component,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_table, free_name
 
 WIDTH, ROWS, BANDS, BITS = 5, 5, 45, 4
-BLOCK = 1024
+BLOCK = 256
 K = 240  # minima; the bands use the first 225, the signature all
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.RandomState(20240501)
@@ -132,6 +132,12 @@ def may_hold(documents: DataFrame, ids: DataFrame, log2_bits: int = 23) -> DataF
     return marked.join(F.broadcast(maps), "_block").where(held).drop("_bit", "_block", "_map")
 
 
+def plain_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text, as bytes, of about the rows with one of ``ids``; of equal rows one."""
+    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    return may_hold(texts, ids).dropDuplicates()
+
+
 def confirm(pairs: DataFrame, documents: DataFrame, threshold: float, width: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets have at least ``threshold``: 100 * intersection >= 100 * threshold * union.
 
@@ -139,8 +145,7 @@ def confirm(pairs: DataFrame, documents: DataFrame, threshold: float, width: int
     many pairs can be split over tasks.
     """
     percent = round(100 * threshold)
-    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    texts = may_hold(texts, pairs.select("a").union(pairs.select("b")))
+    texts = plain_texts(documents, pairs.select("a").union(pairs.select("b")))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -160,53 +165,68 @@ def confirm(pairs: DataFrame, documents: DataFrame, threshold: float, width: int
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def across(members: DataFrame, least: int, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b) between components within unresolved buckets.
+def _root(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
 
-    ``members(key, n, node, component, signature)``. A bucket of over ``BLOCK`` texts is dealt in blocks of about that many, and each
-    pair of blocks is a task's work, so no task holds more than two blocks. Of the pairs with ``least`` equal fields, each text keeps
-    its ``most`` likeliest in each component with a smaller label (None: all).
+def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) between components within buckets that hold several, confirmed on full sets.
+
+    ``members(key, n, node, component, keys, signature, text)``. A bucket of over ``BLOCK`` texts is dealt in blocks of about that many,
+    and each pair of blocks is one piece of work, so none holds more than two blocks. Pairs are estimated by bit counts; a pair that
+    shares several buckets is looked at in the first only. Likely pairs come first, and a pair whose components have met meanwhile
+    needs no look, so at most one link less than there are texts leaves a block pair, and no pair that may link is left out.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    percent, least = round(100 * threshold), fewest_matches(threshold)
     dealt = (
-        members.withColumn("blocks", blocks)
+        members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "keys", "signature", "text")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "node")
     )
 
-    def likely(group: pd.DataFrame) -> pd.DataFrame:
-        node, comp, own = group["node"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        sig = np.stack(group["signature"].to_list()).view(np.uint64)
-        one_block = group["lo"].iat[0] == group["hi"].iat[0]
+    def links(group: list[tuple], set_of: Callable[[int, bytes], np.ndarray]) -> Iterator[tuple[int, int]]:
+        key, lo, hi = group[0][:3]
+        own, node, comp = (np.array([g[k] for g in group]) for k in (3, 4, 5))
+        keys, sig = np.array([g[6] for g in group]), np.array([g[7] for g in group]).view(np.uint64)
+        band = int(np.nonzero(keys[0] == key)[0][0])
         found = []
         for at in range(0, len(node), 64):
             z = sig[at : at + 64, None, :] ^ sig[None, :, :]
             z |= z >> np.uint64(1)
             z |= z >> np.uint64(2)
             same = K - np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(2, dtype=np.int32)
-            i, j = np.nonzero((same >= least) & (comp[at : at + 64, None] > comp[None, :]) & (one_block | (own[at : at + 64, None] != own[None, :])))
-            found.append(pd.DataFrame({"x": node[at + i], "y": node[j], "c": comp[j], "same": same[i, j]}))
-        found = pd.concat(found)
-        if most is not None and len(found):
-            found = found.sort_values(["x", "c", "same", "y"], ascending=[True, True, False, True], kind="stable").groupby(["x", "c"]).head(most)
-        return pd.DataFrame({"a": np.minimum(found["x"], found["y"]), "b": np.maximum(found["x"], found["y"])}).astype("int64")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None or rest.empty else pd.concat([rest, batch], ignore_index=True)
-            mark = (rest[["key", "lo", "hi"]] != rest[["key", "lo", "hi"]].shift()).any(axis=1).cumsum()
-            done = mark < mark.iat[-1] if len(mark) else mark  # the last group may go on in the next batch
-            for _, group in rest[done].groupby(mark[done], sort=False):
-                yield likely(group)
-            rest = rest[~done]
-        if rest is not None and len(rest):
-            yield likely(rest)
+            i, j = np.nonzero((same >= least) & (comp[at : at + 64, None] > comp[None, :]) & ((lo == hi) | (own[at : at + 64, None] != own[None, :])))
+            first = (keys[at + i, :band] != keys[j, :band]).all(1)
+            found.append(np.stack([same[i, j], at + i, j], 1)[first])
+        parent: dict = {}
+        found = np.concatenate(found)
+        for i, j in found[np.argsort(-found[:, 0], kind="stable"), 1:].tolist():
+            x, y = _root(parent, comp[i]), _root(parent, comp[j])
+            if x == y:
+                continue
+            one, two = (set_of(group[k][4], group[k][8]) for k in (i, j))
+            union = len(np.union1d(one, two))
+            if 100 * (len(one) + len(two) - union) >= percent * union:
+                parent[x] = y
+                yield int(node[j]), int(node[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        set_of = lru_cache(4 * BLOCK)(lambda node, text: shingle_set(text, width))
+        for _, group in groupby(rows(), key=lambda r: r[:3]):
+            found = list(links(list(group), set_of))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInPandas(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,39 +263,27 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     sketched = cut(sketches(documents, width))
     classes = cut(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")))
     # One row of each class; rows of one doc_id with several sets are several classes and one node.
-    texts = sketched.where("doc_id is not null").join(classes, (F.col("doc_id") == F.col("node")) & (sketched["set_key"] == classes["set_key"])).select("node", sketched["set_key"], "keys", "signature").dropDuplicates(["node", "set_key"])
-    texts = cut(texts)
-    banded = texts.select("node", F.explode("keys").alias("key")).distinct()
+    texts = sketched.join(classes, (F.col("doc_id") == F.col("node")) & (sketched["set_key"] == classes["set_key"])).select("node", sketched["set_key"], "keys", "signature")
+    texts = cut(texts.dropDuplicates(["node", "set_key"]))
+    banded = texts.select("node", F.explode("keys").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    signatures = texts.groupBy("node").agg(F.first("signature").alias("signature"))  # of a node with several sets, any one's
 
-    least = fewest_matches(threshold)
     stars = banded.join(buckets.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    signatures = texts.select("node", "signature")
     estimated = stars.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b").join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
-    tried = [cut(estimated.where(matching(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b"))]
-    links = [cut(confirm(tried[0], documents, threshold, width))]
-    labels = components(links[0])
+    likely = cut(estimated.where(matching(F.col("sig_a"), F.col("sig_b")) >= fewest_matches(threshold)).select("a", "b").distinct())
+    links = cut(confirm(likely, documents, threshold, width))
+    labels = components(links)
 
     # What the stars can't tell: buckets of three and more with texts of several components.
-    wide = cut(banded.join(buckets.where("n > 2").select("key", "n"), "key"))
-    for most in (1, 8, None):
-        named = wide.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        members = named.join(mixed, "key").join(signatures, "node")
-        new = across(members, least, most)
-        for old in tried:
-            new = new.join(old, ["a", "b"], "left_anti")
-        new = cut(new)
-        if new.isEmpty():
-            continue
-        tried.append(new)
-        links.append(cut(confirm(new, documents, threshold, width)))
-        if links[-1].isEmpty():
-            continue
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = components(every)
+    wide = banded.join(buckets.where("n > 2").select("key", "n"), "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    wide = cut(wide)
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = cut(wide.join(mixed, "key").distinct())
+    full = plain_texts(documents, members.select("node")).select(F.col("doc_id").alias("node"), "text")
+    more = cut(across(members.join(texts.select("node", "keys", "signature"), "node").where(F.array_contains("keys", F.col("key"))).join(full, "node"), threshold, width))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
