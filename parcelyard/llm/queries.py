@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, near_dedup, packing, secrets, sharding, toxicity
+from . import ann, bpe, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
 from .common import id_bucket, table
 
 
@@ -28,6 +28,10 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> Dat
     return sharding.sharded(documents, shards).withColumn("law", F.lit("key"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_swap_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"))
 
@@ -58,6 +62,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> Da
     )
 
 
+def op9_vantage_points(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k)
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     spans = F.col("secrets")
