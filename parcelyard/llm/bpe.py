@@ -33,7 +33,7 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 class BytePairCodec:
     """Encodes and decodes by ``ranks``; ``pattern`` parts a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 1_000_000):
         self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
