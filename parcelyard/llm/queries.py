@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, bpe, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
+from . import ann, bpe, html_extract, lm_scoring, media, near_dedup, packing, secrets, sharding, toxicity
 from .common import id_bucket, table
 
 
@@ -36,6 +36,15 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_tree_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.near_copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +76,7 @@ def op9_vantage_points(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFra
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     spans = F.col("secrets")
 
     def count(kind: str) -> Column:

@@ -73,15 +73,17 @@ def candidates(text: Column) -> Column:
     )
 
 
-def scan(documents: DataFrame, max_owners: int = 3, text: str = "text", source: str = "source", result: str = "secrets") -> DataFrame:
-    """``documents`` with ``result``: array of (start, end, kind, live), by start, then kind as listed.
+def scan(documents: DataFrame, max_owners: int = 3, text: str = "text", source: str = "source", result: str = "secrets", keep_text: bool = True) -> DataFrame:
+    """``documents`` (without the text if it isn't kept) with ``result``: array of (start, end, kind, live, ...), by start, then kind as listed.
 
     Candidates are few against the text, so they alone are shuffled: by value hash for the counts (summed before the shuffle, so a value
     that a third of all documents hold is one row a task), then back to their rows. Documents without candidates aren't touched again.
     """
     row, found, name = (free_name(documents, n) for n in ("scan_row", "scan_found", result))
     owner = F.coalesce(F.col(source), F.lit("")) if source in documents.columns else F.lit("")
-    numbered = cut(documents.withColumn(row, F.monotonically_increasing_id()).withColumn(found, candidates(F.col(text))))
+    numbered = documents.withColumn(row, F.monotonically_increasing_id()).withColumn(found, candidates(F.col(text)))
+    numbered = cut(numbered if keep_text else numbered.drop(text))
+    columns = [c for c in documents.columns if keep_text or c != text]
     flat = numbered.select(row, owner.alias("repository"), F.explode(found).alias("c")).select(row, "repository", F.split("repository", "/", 2)[0].alias("owner"), "c.*")
     flat = flat.withColumn("hash", F.sha2("value", 256))
     # A bare token inside a base span of its row is that span's own.
@@ -98,7 +100,7 @@ def scan(documents: DataFrame, max_owners: int = 3, text: str = "text", source:
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,live:boolean,repositories:bigint,owners:bigint>>")
     some = numbered.where(F.size(found) > 0).join(spans, row, "left").withColumn(name, F.coalesce(plain, empty))
     rest = numbered.where(F.size(found) == 0).withColumn(name, empty)
-    return some.select(*documents.columns, name).unionByName(rest.select(*documents.columns, name))
+    return some.select(*columns, name).unionByName(rest.select(*columns, name))
 
 
 def listed(spans: Column, kinds: list[str] = KINDS) -> Column:
