@@ -11,20 +11,29 @@ _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def query(*views: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name. ``views``: definitions that stand in front of ``sql``."""
 
     def put(f: Query) -> Query:
         _queries[f.__name__] = f
         if sql is not None:
-            _oracle[f.__name__] = sql
+            _oracle[f.__name__] = ("with " + ", ".join(views) + " " if views else "") + sql
         return f
 
     return put
 
 
 def _load() -> None:
-    from .plans import similarity_queries  # noqa: F401
+    from .plans import (  # noqa: F401
+        catalog_queries,
+        embedding_queries,
+        graph_queries,
+        parcel_queries,
+        population_queries,
+        similarity_queries,
+        statistics_queries,
+        volume_queries,
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,8 @@
-"""Similarity matrices as edge lists (i, j, r), i <= j."""
+"""Similarity matrices as edge lists (i, j, r), i <= j. Pairs come from an equi-join on the sampled keys, so only their products are shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,88 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rnk") ->
     return df.withColumn(out, rank + (ties - 1) / F.lit(2.0))
 
 
-def pairwise_corr(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
-    """Pearson correlation of every two nodes over the keys both have."""
+def paired(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
+    """(i, j, keys, va, vb) for nodes i <= j that share keys."""
     a = df.select(F.col(node).alias("i"), *keys, F.col(value).alias("va"))
     b = df.select(F.col(node).alias("j"), *keys, F.col(value).alias("vb"))
-    return a.join(b, keys).where("i <= j").groupBy("i", "j").agg(F.corr("va", "vb").alias("r"))
+    return a.join(b, keys).where("i <= j")
 
 
-def spearman(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
-    return pairwise_corr(average_rank(df, [node], value), node, keys, "rnk")
+def guarded_corr(a: str = "va", b: str = "vb") -> Column:
+    """Correlation; null where either side is constant."""
+    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+
+
+def pearson(df: DataFrame, node: str, keys: list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, r, n). ``by``: keys that stay apart, such as recordings."""
+    by = by or []
+    return paired(df, node, keys + by, value).groupBy(*by, "i", "j").agg(guarded_corr().alias("r"), F.count("*").alias("n"))
+
+
+def spearman(df: DataFrame, node: str, keys: list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    return pearson(average_rank(df, [*by, node], value), node, keys, "rnk", by)
+
+
+def t_value(r: Column, n: Column) -> Column:
+    """t of a correlation, with n - 2 degrees of freedom."""
+    return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
+
+
+def gaussian_affinity(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
+    """exp(-d2 / (2 s^2)) of profiles, s the median of the positive distances (1 if there is none)."""
+    d2 = paired(df, node, keys, value).groupBy("i", "j").agg(F.sum(F.pow(F.col("va") - F.col("vb"), 2)).alias("d2"))
+    s = d2.where("i < j and d2 > 0").agg(F.coalesce(F.percentile(F.sqrt("d2"), 0.5), F.lit(1.0)).alias("s"))
+    return d2.crossJoin(F.broadcast(s)).select("i", "j", F.exp(-F.col("d2") / (2 * F.col("s") * F.col("s"))).alias("r"))  # one row is broadcast
+
+
+def mutual_information(df: DataFrame, node: str, keys: list[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """Mutual information (natural) of two nodes' values, from a joint histogram of fixed range."""
+    cell = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+    joint = paired(df, node, keys, value).groupBy("i", "j", cell("va").alias("a"), cell("vb").alias("b")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("i", "j")
+    n, ca, cb = F.sum("c").over(w), F.sum("c").over(Window.partitionBy("i", "j", "a")), F.sum("c").over(Window.partitionBy("i", "j", "b"))
+    terms = joint.withColumn("mi", F.col("c") / n * F.ln(F.col("c") * n / (ca * cb)))
+    return terms.groupBy("i", "j").agg(F.sum("mi").alias("r"))
+
+
+def leave_one_out(df: DataFrame, node: str, drop: str, keys: list[str], value: str) -> DataFrame:
+    """(dropped, i, j, r): Spearman matrices without each value of ``drop`` in turn."""
+    dropped = df.select(F.col(drop).alias("dropped")).distinct()
+    kept = df.join(F.broadcast(dropped), F.col(drop) != F.col("dropped"))  # a few metabolites
+    return spearman(kept, node, [drop, *keys], value, by=["dropped"])
+
+
+def thresholded(sim: DataFrame, least_t: float) -> DataFrame:
+    """r where its |t| reaches ``least_t``, else 0."""
+    return sim.withColumn("r", F.when((F.abs("r") >= 1) | (F.abs(t_value(F.col("r"), F.col("n"))) >= least_t), F.col("r")).otherwise(0.0))
+
+
+def quadratic_rho(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Spearman of squared x with what a straight line leaves of y."""
+    fit = df.groupBy(*by).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"))
+    rest = df.join(fit, by).withColumn("_x2", F.round(F.col(x) * F.col(x), 6)).withColumn("_res", F.round(F.col(y) - F.col("_s") * F.col(x) - F.col("_i"), 6))
+    ranked = average_rank(average_rank(rest, by, "_x2", "_ra"), by, "_res", "_rb")
+    return ranked.groupBy(*by).agg(guarded_corr("_ra", "_rb").alias("rho"))
+
+
+def dot(a: str | Column, b: str | Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(vectors: DataFrame, node: str, vector: str, others: DataFrame | None = None) -> DataFrame:
+    """(i, j, r) of every vector with each of ``others`` with a larger id (all, if none are named)."""
+    a = vectors.select(F.col(node).alias("i"), F.col(vector).alias("_a"))
+    b = (others if others is not None else vectors).select(F.col(node).alias("j"), F.col(vector).alias("_b"))
+    norm = lambda c: F.sqrt(dot(c, c))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (dot("_a", "_b") / (norm("_a") * norm("_b"))).alias("r"))
+
+
+def nearest_edges(queries: DataFrame, points: DataFrame, node: str, vector: str, k: int, digits: int = 9) -> DataFrame:
+    """(i, j, rank, w): each query's k nearest points (itself first), weight exp(-distance). ``queries`` is a stated set."""
+    a = queries.select(F.col(node).alias("i"), F.col(vector).alias("_a"))
+    b = points.select(F.col(node).alias("j"), F.col(vector).alias("_b"))
+    gap = F.zip_with("_a", "_b", lambda x, y: x - y)
+    d = F.round(F.sqrt(dot(gap, gap)), digits)
+    best = a.crossJoin(b).withColumn("d", d).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+    return best.select("i", "j", "rank", F.exp(-F.col("d")).alias("w"))
