@@ -160,8 +160,12 @@ def student_p(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
-def student_p_column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def student_p_column(t: str | Column, df: str | Column) -> Column:
     """The tail isn't among Spark's functions; rows come in Arrow batches."""
-    for t, df in batches:
-        yield pd.Series([student_p(a, b) if a == a and a is not None else math.nan for a, b in zip(t, df, strict=True)])
+
+    @F.pandas_udf("double")
+    def tail(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([math.nan if x is None or y is None or x != x else student_p(x, y) for x, y in zip(a, b, strict=True)])
+
+    return tail(t, df)
