@@ -82,12 +82,11 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(vectors: DataFrame, node: str, vector: str, others: DataFrame | None = None) -> DataFrame:
-    """(i, j, r) of every vector with each of ``others`` with a larger id (all, if none are named)."""
-    a = vectors.select(F.col(node).alias("i"), F.col(vector).alias("_a"))
-    b = (others if others is not None else vectors).select(F.col(node).alias("j"), F.col(vector).alias("_b"))
-    norm = lambda c: F.sqrt(dot(c, c))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (dot("_a", "_b") / (norm("_a") * norm("_b"))).alias("r"))
+def cosine(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
+    """(i, j, r) of nodes i < j: cosine of their values over the keys both have."""
+    a, b = F.col("va"), F.col("vb")
+    norm = F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))
+    return paired(df, node, keys, value).where("i < j").groupBy("i", "j").agg((F.sum(a * b) / F.nullif(norm, F.lit(0.0))).alias("r"))
 
 
 def nearest_edges(queries: DataFrame, points: DataFrame, node: str, vector: str, k: int, digits: int = 9) -> DataFrame:

@@ -1 +1,145 @@
+"""Embeddings, clusterings and series over the driver's tables."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalogue import query
+from ..operators import embedding
+from .graph_queries import edges
+from .parcel_queries import rounded
+from .views import PROF, profiles, table
+
+CORNERS = [(-0.3, -0.3), (0.4, -0.2), (0.0, 0.4)]
+RUNS = "runs as (select vec_id % 60 as node, r as run, (sum(vec_id * 7 + label * r * 3)::bigint + r) % 4 as label from prof, range(5) t(r) group by vec_id % 60, r)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(spark, sf_dir).select("vec_id", F.element_at("e", 1).alias("x"), F.element_at("e", 2).alias("y"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five made-up clusterings of sixty nodes, which stand for parcels; all profiles go into them."""
+    p = profiles(spark, sf_dir).crossJoin(spark.range(5).withColumnRenamed("id", "run"))
+    total = F.sum(F.col("vec_id") * 7 + F.col("label") * F.col("run") * 3)
+    return p.groupBy((F.col("vec_id") % 60).alias("node"), "run").agg(((total + F.col("run")) % 4).alias("label"))
+
+
+def _weights() -> str:
+    (ax, ay), (bx, by), (cx, cy) = CORNERS
+    area = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+    w0 = f"(({by - cy}::double) * (x - {cx}::double) + ({cx - bx}::double) * (y - {cy}::double)) / {area}::double"
+    w1 = f"(({cy - ay}::double) * (x - {cx}::double) + ({ax - cx}::double) * (y - {cy}::double)) / {area}::double"
+    return f"w as (select vec_id, greatest(0, least(1, w0)) a, greatest(0, least(1, w1)) b, greatest(0, least(1, 1 - w0 - w1)) c from (select vec_id, {w0} as w0, {w1} as w1 from (select vec_id, e[1] as x, e[2] as y from prof)))"
+
+
+@query(PROF, _weights(), sql="select vec_id, round(coalesce(a / nullif(a + b + c, 0), 0), 6) as w0, round(coalesce(b / nullif(a + b + c, 0), 0), 6) as w1, round(coalesce(c / nullif(a + b + c, 0), 0), 6) as w2 from w")
+def triangle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embedding.barycentric(points(spark, sf_dir), CORNERS), "w0", "w1", "w2").select("vec_id", "w0", "w1", "w2")
+
+
+_WAYS = ", ".join(f"({k}, {math.cos(2 * math.pi * k / 24)!r}::double, {math.sin(2 * math.pi * k / 24)!r}::double)" for k in range(24))
+
+
+@query(
+    PROF,
+    f"far as (select k, vec_id as n, e[1] as x, e[2] as y, row_number() over (partition by k order by round(e[1] * u + e[2] * v, 9) desc, vec_id) as o from prof, (values {_WAYS}) w(k, u, v))",
+    "ext as (select distinct n, x, y from far where o = 1)",
+    sql="select a.n as a, b.n as b, c.n as c, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 9) as area from ext a join ext b on a.n < b.n join ext c on b.n < c.n order by area desc, a, b, c limit 1",
+)
+def triangle_max_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.largest_triangle(points(spark, sf_dir), "vec_id")
+
+
+@query(PROF, RUNS, sql="select a.node as i, b.node as j, count(*) / 5.0::double as share from runs a join runs b using (run, label) where a.node < b.node group by all")
+def coassociation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.coassociation(runs(spark, sf_dir), "run", "node", "label")
+
+
+@query(PROF, RUNS, sql="select node, label from (select node, label, row_number() over (partition by node order by count(*) desc, min(run), label) as n from runs group by node, label) where n = 1")
+def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.majority_label(runs(spark, sf_dir), "run", "node", "label")
+
+
+@query(
+    PROF,
+    RUNS,
+    "o as (select a.label, b.label as base, row_number() over (partition by a.label order by count(*) desc, b.label) as n from runs a join runs b on a.node = b.node and a.run = 1 and b.run = 0 group by a.label, b.label)",
+    sql="select node, coalesce(base, runs.label) as label from runs left join (from o where n = 1) m on m.label = runs.label where run = 1",
+)
+def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    return embedding.relabelled(r.where("run = 1").select("node", "label"), r.where("run = 0").select("node", "label"), "node", "label")
+
+
+SERIES = "series as (select user_id % 20 as s, event_id as pos, value from events)"
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("s"), F.col("event_id").alias("pos"), "value")
+
+
+@query(
+    SERIES,
+    "n as (select *, row_number() over w as k, count(*) over (partition by s) as n, first_value(value) over w as f, last_value(value) over (partition by s order by pos rows between unbounded preceding and unbounded following) as l from series window w as (partition by s order by pos))",
+    sql="select s, pos, round((sum(value) over (partition by s order by pos rows between 2 preceding and 2 following) + greatest(0, 2 - k + 1) * f + greatest(0, k + 2 - n) * l) / 5, 6) as smooth from n",
+)
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embedding.moving_average(series(spark, sf_dir), ["s"], "pos", "value", 5), "smooth").select("s", "pos", "smooth")
+
+
+@query(
+    SERIES,
+    "n as (select *, (row_number() over (partition by s order by pos) - 1)::double / greatest(count(*) over (partition by s) - 1, 1) * 99 as at_ from series)",
+    "m as (select *, lead(value) over (partition by s order by pos) as nv, lead(at_) over (partition by s order by pos) as na from n)",
+    sql="select s, k::int as k, round(case when na is null then value else value + (nv - value) * (k - at_) / (na - at_) end, 6) as v from range(100) t(k) join m on k >= at_ and (na is null or k < na)",
+)
+def interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embedding.interpolated(series(spark, sf_dir), ["s"], "pos", "value", 100), "v")
+
+
+@query(
+    SERIES,
+    "g as (select s, pos, (value > 60)::int as gap, sum((value > 60)::int) over (partition by s order by pos) as island from series)",
+    sql="select s, island::bigint as island, min(pos) as first, max(pos) as last, count(*) as n from g where gap = 0 group by all having count(*) >= 2",
+)
+def polyline_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = series(spark, sf_dir).withColumn("value", F.when(F.col("value") > 60, F.lit(float("nan"))).otherwise(F.col("value")))
+    return embedding.islands(broken, ["s"], "pos", "value")
+
+
+@query(sql="select n_nationkey as node, round(2 * pi() * n_nationkey / 25, 6) as angle, round(cos(2 * pi() * n_nationkey / 25), 6) as cx, round(sin(2 * pi() * n_nationkey / 25), 6) as cy from nation")
+def circle_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    return rounded(embedding.circle_layout(nodes, "node"), "angle", "cx", "cy")
+
+
+@query(sql="select n_nationkey as node, round((1 + 2 * t) * cos(4 * pi() * t), 6) as sx, round((1 + 2 * t) * sin(4 * pi() * t), 6) as sy from (select n_nationkey, n_nationkey / 24.0::double as t from nation)")
+def spiral_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    return rounded(embedding.spiral(nodes, "node", 2, 1.0, 3.0), "sx", "sy")
+
+
+@query()
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = embedding.principal_components(profiles(spark, sf_dir), "vec_id", "e", 5)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.explainedVariance)], "component int, share double")
+
+
+@query()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.k_means(profiles(spark, sf_dir), "vec_id", "e", 5)
+
+
+@query()
+def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = points(spark, sf_dir).select(F.array("x", "y").alias("e"))
+    return embedding.mixture_scores(few, "e", [2, 3, 4])
+
+
+@query()
+def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.diffusion_component(edges(spark, sf_dir))
