@@ -17,11 +17,11 @@ other columns don't matter.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,51 +32,42 @@ CAPACITY, CLOSING = 4096, 1
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordTokenizer:
-    """Ids of texts, as little-endian 32-bit bytes, by a tokenizer that treats what blanks part on its own."""
+class WordTokenizer(dict):
+    """Ids of texts, as little-endian 32-bit bytes, by a tokenizer that treats what blanks part on its own. The dict remembers words, up to a bound."""
 
-    def __init__(self, definition: str, remembered: int = 400_000):
+    def __init__(self, definition: str, remembered: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_str(definition), remembered
+        self.remembered = remembered
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known, parts, stems = self.known, {}, set()
-        for w in words:
-            stem = w.rstrip(PUNCTUATION)
-            if stem and stem[-1].isalpha():  # what follows a letter is a token of its own
-                parts[w] = (stem, w[len(stem) :])
-                stems.update(parts[w])
-            else:
-                parts[w] = (w,)
-                stems.add(w)
-        new = [s for s in stems if s not in known]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[s] = np.array(e.ids, "<u4").tobytes()
-        for w, own in parts.items():
-            if len(own) == 2:
-                known[w] = known[own[0]] + known[own[1]]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            some = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-            words = set().union(*some)
-            missing = words - self.known.keys()
-            if missing:
-                if len(self.known) + len(missing) > self.remembered:
-                    self.known.clear()
-                    missing = words
-                self._learn(missing)
-            of = self.known.__getitem__
-            for ws in some:
-                yield b"".join(map(of, ws))
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # it would hold the words a second time
+            model._resize_cache(0)
+            self.tokenizer.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(PUNCTUATION)
+        if len(stem) < len(word) and stem[-1:].isalpha():  # what follows a letter is a token of its own
+            met = stem in self
+            ids = self[stem] + self[word[len(stem) :]]
+            if not met:
+                return ids
+        elif (small := word.lower()) != word and "\u03a3" not in word:  # the tokenizer lowers letters too, but final sigmas as any
+            ids = self[small]
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+        if len(word) <= 64:
+            if len(self) >= self.remembered:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -91,12 +82,13 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(definition.value)
+        encode = _tokenizers[tokenizer_path].encode
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 row, number, length, crc, own = [], [], [], [], []
-                for k, ids in enumerate(_tokenizers[tokenizer_path].encode(part.column(1).to_pylist())):
-                    ids += end
+                for k, text in enumerate(part.column(1)):
+                    ids = encode(text.as_py()) + end
                     for n, start in enumerate(range(0, len(ids), 4 * capacity)):
                         some = ids[start : start + 4 * capacity]
                         row.append(k)
@@ -159,8 +151,8 @@ def _best_change(giver: list[tuple[int, int]], taker: list[tuple[int, int]], roo
     return best
 
 
-def local_search(bins: list[list[tuple[int, int]]], capacity: int, looks: int = 400_000) -> list[list[tuple[int, int]]]:
-    """Fewer bins by moves and exchanges. ``looks`` bounds the pairs of bins compared (about a second), not what is packed."""
+def local_search(bins: list[list[tuple[int, int]]], capacity: int, looks: int = 100_000) -> list[list[tuple[int, int]]]:
+    """Fewer bins by moves and exchanges. ``looks`` bounds the pairs of bins compared (a fraction of a second), not what is packed."""
     fill = [sum(n for n, _ in b) for b in bins]
     least = -(-sum(fill) // capacity)
     alive, stuck = len(bins), set()
