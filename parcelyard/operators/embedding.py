@@ -88,7 +88,7 @@ def interpolated(series: DataFrame, by: list[str], pos: str, value: str, points:
 
 def islands(points: DataFrame, by: list[str], pos: str, value: str) -> DataFrame:
     """(by, island, first, last, n): runs of values between NaNs or nulls that hold two at least."""
-    gap = F.coalesce(F.isnan(value), F.lit(True)).cast("int")
+    gap = (F.isnan(value) | F.col(value).isNull()).cast("int")
     w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     marked = points.withColumn("_gap", gap).withColumn("island", F.sum(gap).over(w)).where("_gap = 0")
     return marked.groupBy(*by, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n")).where("n >= 2")

@@ -21,8 +21,8 @@ def paired(df: DataFrame, node: str, keys: list[str], value: str) -> DataFrame:
 
 
 def guarded_corr(a: str = "va", b: str = "vb") -> Column:
-    """Correlation; null where either side is constant."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    """Correlation; null where either side is constant (where Spark's own would fail)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def pearson(df: DataFrame, node: str, keys: list[str], value: str, by: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import keyed
 from . import graph
+from .similarity import guarded_corr
 
 
 def fisher_z(r: Column) -> Column:
@@ -20,7 +21,7 @@ def fisher_z(r: Column) -> Column:
 
 def slope_t(stack: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, t, n): t of the slope of y on x with an intercept, n - 2 degrees of freedom; 0 where either is constant."""
-    sums = stack.groupBy(*by).agg(F.corr(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"), F.count("*").alias("n"))
+    sums = stack.groupBy(*by).agg(guarded_corr(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"), F.count("*").alias("n"))
     ok = (F.col("_sx") > 0) & (F.col("_sy") > 0) & (F.col("n") > 2)
     r = F.col("_r")
     t = F.when(ok, r * F.sqrt((F.col("n") - 2) / F.nullif(1 - r * r, F.lit(0.0)))).otherwise(0.0)

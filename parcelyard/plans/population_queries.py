@@ -27,47 +27,47 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     HOLED,
     "n as (select yr, count(distinct i) as n from holed group by all)",
     "base as (select distinct i as l from holed where yr = (select yr from n order by n desc, yr limit 1))",
-    sql="select y.yr, a.l as i, b.l as j, round(coalesce(w, 0), 2) as w from (select distinct yr from holed) y cross join base a cross join base b left join holed h on h.yr = y.yr and h.i = a.l and h.j = b.l",
+    sql="select y.yr, a.l as i, b.l as j, round(coalesce(w, 0), 5) as w from (select distinct yr from holed) y cross join base a cross join base b left join holed h on h.yr = y.yr and h.i = a.l and h.j = b.l",
 )
 def pop_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrices.aligned(holed(spark, sf_dir), "yr"), "w", digits=2)
+    return rounded(matrices.aligned(holed(spark, sf_dir), "yr"), "w", digits=5)
 
 
-@query(MEANW, sql="select i, j, round(w, 2) as w from pop")
+@query(MEANW, sql="select i, j, round(w, 5) as w from pop")
 def pop_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrices.group_mean(trade(spark, sf_dir)), "w", digits=2)
+    return rounded(matrices.group_mean(trade(spark, sf_dir)), "w", digits=5)
 
 
 @query(
     MEANW,
     "z as (select i, j, case when i % 6 = 0 then 0 else w end as w from pop)",
     "f as (select i from z group by i having sum(abs(w)) > 0)",
-    sql="select i, j, round(w, 2) as w from z where i in (from f) and j in (from f)",
+    sql="select i, j, round(w, 5) as w from z where i in (from f) and j in (from f)",
 )
 def drop_empty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mean_matrix(spark, sf_dir).withColumn("w", F.when(F.col("i") % 6 == 0, 0.0).otherwise(F.col("w")))
-    return rounded(matrices.without_empty_nodes(m), "w", digits=2).select("i", "j", "w")
+    return rounded(matrices.without_empty_nodes(m), "w", digits=5).select("i", "j", "w")
 
 
 @query(
     HOLED,
     "n as (select yr, count(*) filter (w <> 0) as n from holed group by all)",
-    sql="select yr, i, j, round(w, 2) as w from holed where yr in (select yr from n where n >= (select avg(n) - stddev_pop(n) from n))",
+    sql="select yr, i, j, round(w, 5) as w from holed where yr in (select yr from n where n >= (select avg(n) - stddev_pop(n) from n))",
 )
 def sparse_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrices.without_sparse(holed(spark, sf_dir), "yr"), "w", digits=2).select("yr", "i", "j", "w")
+    return rounded(matrices.without_sparse(holed(spark, sf_dir), "yr"), "w", digits=5).select("yr", "i", "j", "w")
 
 
 @query(
     VOX,
     MEANW,
     "low as (select label from vox group by label having avg(mask::int::double) < (select median(s) from (select avg(mask::int::double) as s from vox group by label)) or count(*) <= 5)",
-    sql="select i, j, round(w, 2) as w from pop where i not in (from low) and j not in (from low)",
+    sql="select i, j, round(w, 5) as w from pop where i not in (from low) and j not in (from low)",
 )
 def low_coverage_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     cover = parcels.coverage(voxels(spark, sf_dir), "label", "mask")
     low = cover.crossJoin(F.broadcast(cover.agg(F.median("share").alias("_m")))).where("share < _m or n <= 5")
-    return rounded(matrices.without_labels(mean_matrix(spark, sf_dir), low, "label"), "w", digits=2).select("i", "j", "w")
+    return rounded(matrices.without_labels(mean_matrix(spark, sf_dir), low, "label"), "w", digits=5).select("i", "j", "w")
 
 
 def _binarise(mode: str, sql: str):
@@ -111,6 +111,6 @@ def dist_vs_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(centred(spark, sf_dir), ["i", "j"]).withColumn("side", F.when(F.col("w") > 0, "Positive").otherwise("Negative"))
 
 
-@query(MEANW, "u as (select i, j, round(w, 2) as w from pop where i <= j)", sql="select i, j, w from u union all select j, i, w from u where i <> j")
+@query(MEANW, "u as (select i, j, round(w, 5) as w from pop where i <= j)", sql="select i, j, w from u union all select j, i, w from u where i <> j")
 def mirrored_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrices.mirrored(rounded(mean_matrix(spark, sf_dir), "w", digits=2).where("i <= j"))
+    return matrices.mirrored(rounded(mean_matrix(spark, sf_dir), "w", digits=5).where("i <= j"))
