@@ -92,4 +92,18 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Exact SQL for what SQL can express: all pairs that share a shingle, and the closure of their links.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by all),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, links.b from reach join links on links.a = reach.b)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from documents d left join sizes using (doc_id) join (select a, min(b) as component_id from reach group by all) m on m.a = d.doc_id"""
+}
