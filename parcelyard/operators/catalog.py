@@ -109,38 +109,80 @@ def migration_plan(files: DataFrame, source: str, target: str, existing: DataFra
     return plan.join(there, "target", "left").select("source", "target", F.when(F.col("_there"), "skip").when(convert, "convert").otherwise("copy").alias("action"))
 
 
-OPERATORS = re.compile(r"\s*(!=|>=|<=|==|=|>|<)\s*")
+OPERATORS = (">=", "<=", "!=", ">", "<", "==")
 
 
-def predicate(text: str, columns: list[str], numeric: set[str]) -> Column:
-    """The participant language: ``name op value`` terms, all of which must hold. ``=`` with values apart by ``|`` is membership.
+def numeric_columns(table: DataFrame) -> set[str]:
+    """Columns of numbers, and those all of whose values (blanks aside) read as numbers; one pass over the table."""
+    native = {f.name for f in table.schema if f.dataType.simpleString() in ("int", "bigint", "double", "float", "smallint", "tinyint") or f.dataType.simpleString().startswith("decimal")}
+    others = [f.name for f in table.schema if f.name not in native and f.dataType.simpleString() == "string"]
+    if not others:
+        return native
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = table.agg(*(F.count_if(filled(c).isNotNull() & filled(c).try_cast("double").isNull()).alias(f"bad{k}") for k, c in enumerate(others)), *(F.count(filled(c)).alias(f"n{k}") for k, c in enumerate(others))).first()
+    return native | {c for k, c in enumerate(others) if found[f"bad{k}"] == 0 and found[f"n{k}"] > 0}
 
-    A term on a numeric column compares numbers (rows whose value isn't one fail, but hold for ``!=``); others compare text, letter case aside.
+
+def selections(terms: list[str], columns: list[str]) -> list[tuple[str, str, str]]:
+    """(column, operator, value) of each ``NAME,[op]VALUE``; names as they are, else letter case aside; == where no operator stands."""
+    out = []
+    for term in terms:
+        name, comma, rest = term.partition(",")
+        name, rest = name.strip(), rest.strip()
+        found = name if name in columns else next((c for c in columns if c.lower() == name.lower()), None)
+        if not comma or found is None:
+            raise ValueError(f"cannot read the selection {term!r}")
+        op = next((o for o in OPERATORS if rest.startswith(o)), None)
+        out.append((found, op or "==", rest[len(op) :].strip() if op else rest))
+    return out
+
+
+def predicate(terms: list[str], columns: list[str], numeric: set[str], strict: bool = False) -> Column:
+    """The participant language. Several == on one column are alternatives (all must hold if ``strict``); everything else must hold.
+
+    Numeric columns compare numbers, others text. A missing value holds for != and fails otherwise.
     """
-    terms = [t for t in re.split(r"[,&;]", text) if t.strip()]
-    by_name = {c.lower(): c for c in columns}
+    parsed = selections(terms, columns)
     whole: Column = F.lit(True)
-    for term in terms:
-        parts = OPERATORS.split(term.strip(), maxsplit=1)
-        if len(parts) != 3 or parts[0].strip().lower() not in by_name:
-            raise ValueError(f"cannot read the term {term!r}")
-        name, op, value = by_name[parts[0].strip().lower()], parts[1], parts[2].strip()
-        c = F.col(name)
-        if name in numeric:
-            n = c.try_cast("double")
-            values = [float(v) for v in value.split("|")]
-            test = {"=": n.isin(values), "==": n.isin(values), "!=": ~F.coalesce(n.isin(values), F.lit(False)), ">": n > values[0], "<": n < values[0], ">=": n >= values[0], "<=": n <= values[0]}[op]
-        else:
-            s = F.lower(F.trim(c.cast("string")))
-            values = [v.strip().lower() for v in value.split("|")]
-            if op not in ("=", "==", "!="):
-                raise ValueError(f"{name!r} holds text, which {op!r} cannot compare")
-            hit = F.coalesce(s.isin(values), F.lit(False))
-            test = ~hit if op == "!=" else hit
-        whole = whole & F.coalesce(test, F.lit(False))
+    equal: dict[str, list[str]] = {}
+    for name, op, value in parsed:
+        if op == "==" and not strict:
+            equal.setdefault(name, []).append(value)
+            continue
+        whole = whole & _compared(name, op, value, name in numeric)
+    for name, values in equal.items():
+        any_of: Column = F.lit(False)
+        for value in values:
+            any_of = any_of | _compared(name, "==", value, name in numeric)
+        whole = whole & any_of
     return whole
 
 
+def _compared(name: str, op: str, value: str, numeric: bool) -> Column:
+    c = F.trim(F.col(name).cast("string"))
+    right: Column = F.lit(value)
+    if numeric:
+        c, right = c.try_cast("double"), F.lit(float(value))
+    elif op not in ("==", "!="):
+        raise ValueError(f"{name!r} holds text, which {op!r} cannot compare")
+    test = {"==": c == right, "!=": c != right, ">": c > right, "<": c < right, ">=": c >= right, "<=": c <= right}[op]
+    return F.coalesce(test, F.lit(op == "!="))
+
+
+def selection_suffix(terms: list[str], columns: list[str]) -> str:
+    """A name for the selection: sel-<col>-in<a>_<b> for alternatives, -<op in letters><value> for the rest."""
+    words = {">=": "ge", "<=": "le", "!=": "ne", ">": "gt", "<": "lt"}
+    parts: dict[str, list[str]] = {}
+    equal: dict[str, list[str]] = {}
+    for name, op, value in selections(terms, columns):
+        if op == "==":
+            equal.setdefault(name, []).append(value)
+            parts.setdefault(name, [])
+        else:
+            parts.setdefault(name, []).append(words[op] + value)
+    return "_".join("sel-" * (k == 0) + "-".join([name, *(["in" + "_".join(equal[name])] if name in equal else []), *rest]) for k, (name, rest) in enumerate(parts.items()))
+
+
 def pair_mask(table: DataFrame, chosen: DataFrame, keys: list[str], out: str = "selected") -> DataFrame:
     """``table`` with whether its pair is among ``chosen``."""
     marked = chosen.select(*keys).distinct().withColumn(out, F.lit(True))

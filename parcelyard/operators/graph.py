@@ -169,3 +169,52 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         votes = edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("v"))
         labels = cut(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("v"), F.col("community"))).alias("community")))
     return labels
+
+
+def restricted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between the given nodes, without self loops."""
+    return edges.where("src <> dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+def sound_edges(edges: DataFrame, nodes: int) -> DataFrame:
+    """Edges whose ends are 0 to ``nodes`` - 1 and differ; weights that are null, not finite or not positive become 1."""
+    w = F.col("w")
+    bad = w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")) | (w <= 0)
+    return edges.where(F.col("src").between(0, nodes - 1) & F.col("dst").between(0, nodes - 1) & (F.col("src") != F.col("dst"))).withColumn("w", F.when(bad, 1.0).otherwise(w))
+
+
+def hemisphere(nodes: DataFrame, edges: DataFrame, name: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose name doesn't hold ``other``, numbered anew from 0, and the edges between them under the new numbers."""
+    kept = nodes.where(~F.col(name).contains(other)).withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("node")) - 1)  # a node a parcel
+    ids = kept.select("node", "idx")
+    moved = edges.join(ids.select(F.col("node").alias("src"), F.col("idx").alias("_a")), "src").join(ids.select(F.col("node").alias("dst"), F.col("idx").alias("_b")), "dst")
+    return kept, moved.select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "w")
+
+
+def oriented(steps: DataFrame, value: str, path: str = "path_id") -> DataFrame:
+    """Values turned round (largest of all less each) on paths that start higher than they end."""
+    w = Window.partitionBy(path).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = steps.agg(F.max(value).alias("_top"))
+    return steps.crossJoin(F.broadcast(top)).withColumn(value, F.when(F.first(value).over(w) > F.last(value).over(w), F.col("_top") - F.col(value)).otherwise(F.col(value))).drop("_top")
+
+
+def few_gaps(steps: DataFrame, value: str, most: int = 1, path: str = "path_id") -> DataFrame:
+    """Steps of the paths with at most ``most`` values that are null or NaN."""
+    gaps = F.sum((F.isnan(value) | F.col(value).isNull()).cast("int")).over(Window.partitionBy(path))
+    return steps.withColumn("_gaps", gaps).where(F.col("_gaps") <= most).drop("_gaps")
+
+
+def adjusted_end(node: int, values: DataFrame, edges: DataFrame, goal: float) -> DataFrame:
+    """(node, v): of a node and its neighbours the one whose value lies farthest from ``goal``; ties to the least node."""
+    near = edges.where(F.col("src") == node).select(F.col("dst").alias("node")).unionByName(edges.sparkSession.range(1).select(F.lit(node).cast("int").alias("node"))).distinct()
+    far = F.abs(F.col("v") - goal)
+    return values.join(near, "node", "left_semi").orderBy(F.desc(far), "node").limit(1)
+
+
+def through(edges: DataFrame, stops: list[int], most: int) -> DataFrame:
+    """(leg, path, length): the shortest path of each two stops in a row; legs without one are left out."""
+    legs = None
+    for k, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)):
+        leg = shortest_paths(edges, a, most).where(F.col("node") == b).select(F.lit(k).alias("leg"), "path", "length")
+        legs = leg if legs is None else legs.unionByName(leg)
+    return legs

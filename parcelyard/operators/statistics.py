@@ -68,6 +68,14 @@ def components_by_permutation(t: DataFrame, threshold: float) -> DataFrame:
     return hit.join(labels.withColumnRenamed("node", "a"), ["perm", "a"]).groupBy("perm", "component").agg(F.count("*").alias("size"))
 
 
+def component_intensity(z: DataFrame) -> DataFrame:
+    """(component, extent, intensity) of links (i, j, z) as given: links, and the sum of their absolute z."""
+    hit = z.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max(F.abs("z")).alias("z"))
+    both = hit.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    labels = graph.components(both)
+    return hit.join(labels.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("extent"), F.sum("z").alias("intensity"))
+
+
 def null_maxima(sizes: DataFrame, replicates: int) -> DataFrame:
     """(perm, largest): 0 where a replicate has no component."""
     most = sizes.where("perm > 0").groupBy("perm").agg(F.max("size").alias("largest"))
@@ -92,7 +100,7 @@ def two_groups(values: DataFrame, group: str, first: str, second: str, y: str, b
         gap.alias("diff"),
         F.when(ea + eb > 0, gap / F.sqrt(ea + eb)).alias("t"),
         (F.pow(ea + eb, 2) / (ea * ea / (F.col("na") - 1) + eb * eb / (F.col("nb") - 1))).alias("df"),
-        F.when(pooled > 0, gap / pooled).otherwise(0.0).alias("d"),
+        F.when(pooled == 0, 0.0).otherwise(gap / F.nullif(pooled, F.lit(0.0))).alias("d"),
     )
 
 

@@ -83,10 +83,10 @@ def preflight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.availability(needs, ["subject", "session"], "met", "ok")
 
 
-@query(sql="select c_custkey as key, lower(c_mktsegment) in ('building', 'machinery') and c_acctbal >= 1000 and not coalesce(c_nationkey in (3, 7), false) as selected from customer")
+@query(sql="select c_custkey as key, c_mktsegment in ('BUILDING', 'MACHINERY') and c_acctbal >= 1000 and c_nationkey <> 3 as selected from customer")
 def participant_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    test = catalog.predicate("c_mktsegment = Building|MACHINERY, c_acctbal >= 1000; c_nationkey != 3|7", c.columns, {"c_acctbal", "c_nationkey"})
+    test = catalog.predicate(["C_MKTSEGMENT,BUILDING", "c_mktsegment,==MACHINERY", "c_acctbal,>=1000", "c_nationkey,!=3"], c.columns, catalog.numeric_columns(c))
     return c.select(F.col("c_custkey").alias("key"), test.alias("selected"))
 
 

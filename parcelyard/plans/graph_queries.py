@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..operators import graph
+from ..operators import graph, nulls, statistics
 from .parcel_queries import rounded
 from .views import EDGES, NODEVAL, VOX, edges, node_values, trade, voxels
 
@@ -181,3 +181,51 @@ def free_energy_adj(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.label_propagation(edges(spark, sf_dir))
+
+
+@query(STEPS, "o as (select path_id, pos, node, v, first_value(v) over w as f, last_value(v) over w as l, max(v) over () as top from valued window w as (partition by path_id order by pos rows between unbounded preceding and unbounded following))", sql="select path_id, pos, node, round(case when f > l then top - v else v end, 6) as v from o")
+def path_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.oriented(valued_steps(spark, sf_dir), "v"), "v").select("path_id", F.col("pos").cast("long").alias("pos"), "node", "v")
+
+
+@query(EDGES, NODEVAL, sql="select src, dst, w from edges where src in (select node from nodeval where v > 1) and dst in (select node from nodeval where v > 1)")
+def restricted_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.restricted(edges(spark, sf_dir), node_values(spark, sf_dir).where("v > 1"))
+
+
+@query(
+    HUB,
+    "m as (select yr, case (i in (select node from hub))::int + (j in (select node from hub))::int when 2 then 'rich-club' when 1 then 'feeder' else 'peripheral' end as kind, avg(w) as mean from trade where i < j group by all)",
+    "s as (select kind, count(*) filter (yr < 1998) na, count(*) filter (yr >= 1998) nb, avg(mean) filter (yr < 1998) ma, avg(mean) filter (yr >= 1998) mb, var_samp(mean) filter (yr < 1998) va, var_samp(mean) filter (yr >= 1998) vb from m group by all)",
+    sql="select kind, round(ma - mb, 2) as diff, round((ma - mb) / sqrt(va / na + vb / nb), 4) as t, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 4) as d from s",
+)
+def rich_club_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early against late years, by class of links."""
+    hubs = graph.hubs_by_quantile(edges(spark, sf_dir), 0.25)
+    means = graph.rich_club_means(trade(spark, sf_dir), hubs, "yr").withColumn("era", F.when(F.col("yr") < 1998, "early").otherwise("late"))
+    found = statistics.two_groups(means, "era", "early", "late", "mean", ["kind"])
+    return rounded(rounded(found, "diff", digits=2), "t", "d", digits=4).select("kind", "diff", "t", "d")
+
+
+@query()
+def rich_club_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phi of each k against rewired graphs: median of the null, and p = (count(null >= phi) + 1) / (n + 1)."""
+    e, n = edges(spark, sf_dir), 20
+    phi = graph.rich_club(e)
+    null = nulls.rewired(e, n).join(graph.degree(e).withColumnRenamed("node", "src"), "src").withColumnRenamed("degree", "a").join(graph.degree(e).withColumnRenamed("node", "dst"), "dst").withColumnRenamed("degree", "b")
+    per_k = null.join(F.broadcast(phi.select("k", "nodes")), F.least("a", "b") > F.col("k")).groupBy("perm", "k", "nodes").agg(F.count("*").alias("e"))
+    per_k = per_k.withColumn("null_phi", 2 * F.col("e") / (F.col("nodes") * (F.col("nodes") - 1)))
+    stats = per_k.join(F.broadcast(phi.select("k", "phi")), "k").groupBy("k", "phi").agg(F.median("null_phi").alias("null_median"), ((F.count_if(F.col("null_phi") >= F.col("phi")) + 1) / F.lit(n + 1.0)).alias("p"))
+    return stats
+
+
+@query()
+def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = trade(spark, sf_dir).groupBy("i", "j").agg(F.avg("w").alias("w"))
+    late = trade(spark, sf_dir).where("yr >= 1995").groupBy("i", "j").agg(F.avg("w").alias("w"))
+    return nulls.spatial_test(m, late, nulls.swapped_labels(edges(spark, sf_dir), 20), 20)
+
+
+@query()
+def bandwidth_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nulls.bandwidth_order(edges(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions.rng import keyed_sql
-from ..operators import similarity, statistics
+from ..operators import nulls, similarity, statistics
 from .parcel_queries import rounded
 from .views import OBS, TRADE, observations, table, trade
 
@@ -159,3 +159,41 @@ def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(OBS, sql="select parcel, metabolite, pert, round((value - avg(value) over w) / nullif(stddev_pop(value) over w, 0), 6) as z from obs window w as (partition by parcel)")
 def profile_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.zscore(observations(spark, sf_dir), ["parcel"], "value"), "z").select("parcel", "metabolite", "pert", "z")
+
+
+PAIRS = "pairs_ as (select i, j, abs(i - j) * 1.5::double as d, round(avg(w), 4) as w from trade where i < j group by all)"
+
+
+@query(
+    TRADE,
+    PAIRS,
+    "num as (select i, j, floor(d / 6) as bin, w, row_number() over (partition by floor(d / 6) order by i, j) as slot from pairs_)",
+    f"rolled as (select perm, i, j, bin, row_number() over (partition by perm, bin order by {keyed_sql('perm', '(i * 1009 + j)')}, i, j) as slot from num, range(1, 4) p(perm))",
+    sql="select perm, rolled.i, rolled.j, num.w from rolled join num on num.bin = rolled.bin and num.slot = rolled.slot",
+)
+def distance_binned_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = trade(spark, sf_dir).where("i < j").groupBy("i", "j").agg(F.round(F.avg("w"), 4).alias("w")).withColumn("d", F.abs(F.col("i") - F.col("j")) * 1.5)
+    return nulls.binned_shuffle(m, "d", "w", 6.0, 3)
+
+
+@query(
+    "recursive " + FULL,
+    "z as (select i, j, round(atanh(least(greatest(case when stddev_pop(w) > 0 then corr(yr, w) else 0 end, -0.999999), 0.999999)), 6) as z from full_ group by all)",
+    "hit as (select least(i, j) as a, greatest(i, j) as b, max(abs(z)) as z from z where abs(z) > 0.9 and i <> j group by all)",
+    "lnk as (select a as src, b as dst from hit union all select b, a from hit)",
+    "reach as (select src as node, src as to_ from lnk union select node, dst from reach join lnk on src = to_)",
+    "lab as (select node, min(to_) as component from reach group by all)",
+    sql="select component, count(*) as extent, round(sum(z), 4) as intensity from hit join lab on node = a group by all",
+)
+def nbs_z_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the links whose correlation with the year is strong: extent, and intensity (sum of z)."""
+    r = full_trade(spark, sf_dir).groupBy("i", "j").agg(F.coalesce(similarity.guarded_corr("yr", "w"), F.lit(0.0)).alias("r"))
+    z = r.select("i", "j", F.round(statistics.fisher_z(F.col("r")), 6).alias("z")).where("abs(z) > 0.9 and i <> j")
+    return rounded(statistics.component_intensity(z), "intensity", digits=4)
+
+
+@query("s as (select n_nationkey as k, (n_nationkey * 7919 % 101) / 10.0::double as grad, (n_nationkey * 104729 % 97) / 97.0::double as entropy from nation)", sql="select o.grad as og, o.entropy as oe, (count(*) filter (o.grad <= s.grad and o.entropy >= s.entropy) + 1) / (count(*) + 1)::double as p from s, (from s where k = 5) o where s.k <> 5 group by all")
+def path_joint_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    s = table(spark, sf_dir, "nation").select(n.alias("k"), (n * 7919 % 101 / F.lit(10.0)).alias("grad"), (n * 104729 % 97 / F.lit(97.0)).alias("entropy"))
+    return nulls.joint_p(s.where("k = 5"), s.where("k <> 5"))

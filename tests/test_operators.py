@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parcelyard.operators import catalog, embedding, graph, matrices, parcels, similarity, statistics, volumes
+from parcelyard.operators import catalog, embedding, graph, matrices, nulls, parcels, similarity, statistics, volumes
 
 
 def both_ways(spark, pairs):
@@ -92,11 +92,16 @@ def test_trimming_everything_leaves_the_median(spark):
 
 
 def test_predicates(spark):
-    df = spark.createDataFrame([("a", "12"), ("B", "x"), (None, None)], "name string, age string")
-    keep = lambda t: [r[0] for r in df.where(catalog.predicate(t, df.columns, {"age"})).collect()]
-    assert keep("age > 3") == ["a"] and keep("age != 12") == ["B", None] and keep("name = b") == ["B"] and keep("name != a|b") == [None]
-    with pytest.raises(ValueError):
-        catalog.predicate("size > 3", df.columns, set())
+    df = spark.createDataFrame([("a", "12", "1"), ("B", "x", " 2"), (None, None, "")], "name string, age string, n string")
+    assert catalog.numeric_columns(df) == {"n"}
+    keep = lambda *t: [r[0] for r in df.where(catalog.predicate(list(t), df.columns, {"age", "n"})).collect()]
+    assert keep("AGE,>3") == ["a"] and keep("age,!=12") == ["B", None] and keep("name,B") == ["B"] and keep("name,a", "name,==B") == ["a", "B"]
+    assert keep("name,a", "n,2") == [] and keep("name,!=a") == ["B", None] and keep("n,<=1") == ["a"]
+    assert df.where(catalog.predicate(["name,a", "name,B"], df.columns, set(), strict=True)).count() == 0
+    assert catalog.selection_suffix(["name,a", "name,B", "age,>5"], df.columns) == "sel-name-ina_B_age-gt5"
+    for bad in (["size,3"], ["name"], ["name,>a"]):
+        with pytest.raises(ValueError):
+            catalog.predicate(bad, df.columns, set())
 
 
 def test_bad_regular_expression_matches_all(spark):
@@ -122,3 +127,42 @@ def test_alignment_fills_zeros(spark):
 def test_islands_need_two_points(spark):
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate([1.0, 2.0, float("nan"), 3.0, None, 4.0, 5.0, 6.0])], "s int, pos int, value double")
     assert sorted((r["first"], r["last"]) for r in embedding.islands(df, ["s"], "pos", "value").collect()) == [(0, 1), (5, 7)]
+
+
+def test_rewiring_keeps_degrees(spark):
+    e = both_ways(spark, [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (1, 4)])
+    got = nulls.rewired(e, 5).toPandas()
+    want = graph.degree(e).toPandas().set_index("node")["degree"].to_dict()
+    for _, g in got.groupby("perm"):
+        d = g["src"].value_counts().add(g["dst"].value_counts(), fill_value=0).astype(int).to_dict()
+        assert d == want and (g["src"] < g["dst"]).all()
+    assert got.equals(nulls.rewired(e, 5).toPandas())
+
+
+def test_swapped_labels_are_permutations(spark):
+    e = both_ways(spark, [(k, k + 1) for k in range(9)])
+    for _, g in nulls.swapped_labels(e, 4).toPandas().groupby("perm"):
+        assert sorted(g["image"]) == sorted(g["node"]) == list(range(10))
+
+
+def test_spline_passes_through_points(spark):
+    p = spark.createDataFrame([("a", k, float(k * k)) for k in range(5)], "s string, pos int, x double")
+    got = nulls.spline(p, "s", "pos", ["x"], 9).orderBy("k").toPandas()
+    assert got["x"].iloc[::2].tolist() == pytest.approx([0, 1, 4, 9, 16])
+
+
+def test_order_of_a_path(spark):
+    e = both_ways(spark, [(3, 0), (0, 4), (4, 1), (1, 2)])
+    at = {r["node"]: r["position"] for r in nulls.bandwidth_order(e).collect()}
+    assert max(abs(at[a] - at[b]) for a, b in [(3, 0), (0, 4), (4, 1), (1, 2)]) == 1
+
+
+def test_sound_edges(spark):
+    e = spark.createDataFrame([(0, 1, 2.0), (1, 1, 1.0), (0, 9, 1.0), (1, 0, float("nan")), (0, 1, -3.0)], "src int, dst int, w double")
+    assert [r["w"] for r in graph.sound_edges(e, 3).collect()] == [2.0, 1.0, 1.0]
+
+
+def test_hemisphere(spark):
+    n = spark.createDataFrame([(4, "ctx-lh-a"), (7, "ctx-rh-a"), (9, "ctx-lh-b")], "node int, name string")
+    kept, moved = graph.hemisphere(n, both_ways(spark, [(4, 9), (4, 7)]), "name", "-rh")
+    assert [(r["node"], r["idx"]) for r in kept.orderBy("node").collect()] == [(4, 0), (9, 1)] and {(r["src"], r["dst"]) for r in moved.collect()} == {(0, 1), (1, 0)}
