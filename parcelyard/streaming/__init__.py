@@ -12,5 +12,5 @@ from pyspark.sql import functions as F
 def windowed_means(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, parcel, metabolite, mean, n) of a stream of (ts, parcel, metabolite, value); rows later than ``late`` are dropped, as the watermark says."""
     w = F.window("ts", window)
-    found = events.withWatermark("ts", late).groupBy(w.alias("w"), "parcel", "metabolite").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    found = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "parcel", "metabolite").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return found.select(F.col("w.start").alias("start"), "parcel", "metabolite", "mean", "n")
