@@ -71,9 +71,3 @@ def free_name(df: DataFrame, name: str) -> str:
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
-
-
-def count_partitions(df: DataFrame, rows_each: int, n_rows: int | None = None) -> int:
-    """Partitions for about ``rows_each`` rows apiece, at least the session's shuffle partitions' floor of one."""
-    n = df.count() if n_rows is None else n_rows
-    return max(1, -(-n // rows_each))

@@ -37,6 +37,13 @@ def test_scores(spark):
     assert -sum(r["score"] for r in held) / math.log10(2) / size < 4.0  # bits a byte
 
 
+def test_tables_summed_in_steps(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(texts(80))), "doc_id bigint, text string")
+    once = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500).collect()}
+    monkeypatch.setattr(lm_scoring, "MOST_SENDERS", 1)
+    assert {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500).collect()} == pytest.approx(once)
+
+
 def test_scores_of_an_empty_table(spark):
     assert lm_scoring.scores(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
