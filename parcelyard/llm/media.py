@@ -2,7 +2,7 @@
 
 On every level of a small pyramid, Harris corners are picked; around each, the intensity centroid gives an orientation, and 128
 comparisons of smoothed brightness at places turned by it give a binary descriptor. Descriptors are cut into four words of 32 bits; every
-two words and the whole have a table of their own, so two that differ in at most two bits meet. Images that share words are matched with the bucket's least
+word, every two and the whole have a table of their own, so two that differ in at most three bits meet. Images that share words are matched with the bucket's least
 image, so a bucket of n gives n - 1 matches; the matches of two images vote for a similarity transform (scale, turn, shift), and
 ``inliers`` matches that agree make a link. Links make components, in which a cropped, brightened or otherwise edited copy meets its
 original. Equal files are one image from the start, however many there are.
@@ -147,7 +147,7 @@ def near_copies(media: DataFrame, corners: int = 24, inliers: int = 8, most_bits
     firsts = described.join(files, "file").where("media_id = node").dropDuplicates(["file"])
     found = cut(firsts.select("media_id", F.posexplode(F.arrays_zip(*LISTS)).alias("n", "d")).select("media_id", "n", *(f"d.{c}" for c in LISTS)))
     # The wider the key, the likelier its bucket's least image is a copy. Only ids are dealt by key.
-    keys = [(a, b) for a in range(4) for b in range(a)] + [(0, 1, 2, 3)]
+    keys = [(a,) for a in range(4)] + [(a, b) for a in range(4) for b in range(a)] + [(0, 1, 2, 3)]
     table_keys = F.array(*(F.xxhash64(F.lit(k), *(F.element_at("words", w + 1) for w in key)) for k, key in enumerate(keys)))
     words = found.select("media_id", "n", F.explode(table_keys).alias("word"))
     first = words.groupBy("word").agg(F.min(F.struct("media_id", "n")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")

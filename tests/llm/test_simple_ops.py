@@ -244,6 +244,28 @@ def test_copies_of_images(spark):
     assert media.near_copies(pictures.where("false")).count() == 0
 
 
+def descriptor_word_copies(spark, monkeypatch, described):
+    """``near_copies`` of images whose descriptors are given: media_id -> (x, y, words) rows."""
+    rows = [(k, [x for x, _, _ in d], [y for _, y, _ in d], [0] * len(d), [0.0] * len(d), [w for _, _, w in d]) for k, d in described.items()]
+
+    def given(media_rows, corners, image="image", keep=None):
+        lists = spark.createDataFrame(rows, "media_id bigint, x array<int>, y array<int>, level array<int>, angle array<double>, words array<array<bigint>>")
+        return media_rows.select(*keep).join(lists, "media_id").select(*keep, *media.LISTS)
+
+    monkeypatch.setattr(media, "descriptors", given)
+    images = spark.createDataFrame([(k, b"file %d" % k) for k in described], "media_id bigint, image binary")
+    return {r["media_id"]: r["component_id"] for r in media.near_copies(images).collect()}
+
+
+def test_copies_that_share_one_word_of_each_descriptor(spark, monkeypatch):
+    r = np.random.RandomState(4)
+    words = r.randint(0, 2**32, (10, 4), dtype=np.int64)
+    noisy = words ^ np.array([[1 << (k + w) if w != k % 4 else 0 for w in range(4)] for k in range(10)])  # one bit in every word but one
+    place = [(20 * k, 7 * k) for k in range(10)]
+    got = descriptor_word_copies(spark, monkeypatch, {i: [(x, y, w.tolist()) for (x, y), w in zip(place, d, strict=True)] for i, d in ((1, words), (2, noisy))})
+    assert got == {1: 1, 2: 1}
+
+
 # Secrets
 
 
