@@ -2,12 +2,16 @@
 
 On every level of a small pyramid, Harris corners are picked; around each, the intensity centroid gives an orientation, and 128
 comparisons of smoothed brightness at places turned by it give a binary descriptor. Descriptors are cut into four words of 32 bits; every
-word, every two and the whole have a table of their own, so two that differ in at most three bits meet. Images that share words are matched with the bucket's least
+word, every two and the whole have a table of their own, so two that differ in at most three bits meet. Images that share wide keys are matched with the bucket's least
 image, so a bucket of n gives n - 1 matches; the matches of two images vote for a similarity transform (scale, turn, shift), and
 ``inliers`` matches that agree make a link. Links make components, in which a cropped, brightened or otherwise edited copy meets its
 original. Equal files are one image from the start, however many there are.
 
-Limits, as parameters: ``corners`` a level (the strongest), which bounds an image's descriptors, and so what a large image can bring.
+What the stars miss is searched then: images are dealt in blocks, and in every pair of blocks all descriptors of different components
+that share a word are matched and vote. So stars are made of the wider keys only: the block pairs look at all that share one word.
+
+Limits, as parameters: ``corners``, the strongest taken on each level of every 64 by 64 pixels of the image, so that they grow with its
+area. The number of block pairs grows with the square of the number of descriptors; each holds two blocks, whatever the input.
 
 Defined results: images that are null or can't be decoded (binary PGM and PPM are read) have no descriptor and stand alone, as do flat
 ones; rows with one media_id are one image; rows without it have a null component and are kept; other columns don't matter.
@@ -15,6 +19,7 @@ ones; rows with one media_id are one image; rows without it have a null componen
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,6 +32,7 @@ from .common import cut
 from .near_dedup import components
 
 RADIUS, TESTS = 7, 128
+TILE = 64
 _rng = np.random.RandomState(77)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 HEADER = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
@@ -59,6 +65,7 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
 def describe(stack: np.ndarray, corners: int = 24, levels: int = 2) -> tuple[np.ndarray, ...]:
     """Of a stack of equal-sized images: (image, x, y, level, angle, words[4]) of every descriptor."""
     found = []
+    down, along = (max(1, round(n / TILE)) for n in stack.shape[1:])  # corners are picked in each tile, so that any crop has some
     for level in range(levels):
         if level:
             h, w = stack.shape[1] // 2 * 2, stack.shape[2] // 2 * 2
@@ -81,12 +88,17 @@ def describe(stack: np.ndarray, corners: int = 24, levels: int = 2) -> tuple[np.
         ok = (response >= best) & (response > 1.0)
         ok[:, :edge] = ok[:, -edge:] = False
         ok[:, :, :edge] = ok[:, :, -edge:] = False
-        flat = np.where(ok, response, 0).reshape(n, -1)
-        k = min(corners, flat.shape[1])
-        at = np.argpartition(-flat, k - 1, axis=1)[:, :k]
-        image, col = np.nonzero(np.take_along_axis(flat, at, 1) > 0)
-        at = at[image, col]
-        cy, cx = at // w, at % w
+        strength = np.where(ok, response, 0)
+        picked = []
+        for top, bottom in itertools.pairwise(np.arange(down + 1) * h // down):
+            for left, right in itertools.pairwise(np.arange(along + 1) * w // along):
+                flat = strength[:, top:bottom, left:right].reshape(n, -1)
+                k = min(corners, flat.shape[1])
+                at = np.argpartition(-flat, k - 1, axis=1)[:, :k]
+                image, col = np.nonzero(np.take_along_axis(flat, at, 1) > 0)
+                at = at[image, col]
+                picked.append((image, at // (right - left) + top, at % (right - left) + left))
+        image, cy, cx = (np.concatenate(c) for c in zip(*picked, strict=True))
         smooth = _box(x, 1)
         oy, ox = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
         disc = oy**2 + ox**2 <= RADIUS**2
@@ -138,16 +150,103 @@ def descriptors(media: DataFrame, corners: int, image: str = "image", keep: list
     return media.select(*keep, image).mapInArrow(run, kept + ", x array<int>, y array<int>, level array<int>, angle array<double>, words array<array<bigint>>")
 
 
-def near_copies(media: DataFrame, corners: int = 24, inliers: int = 8, most_bits: int = 16, image: str = "image") -> DataFrame:
+def _linked(one: dict, other: dict, most_bits: int, inliers: int) -> np.ndarray:
+    """Pairs (a, b) of rows of ``one`` and ``other``, descriptors by image, whose components differ and of whose matches ``inliers`` agree. Matches are all descriptors that share a word and differ in at most ``most_bits``."""
+    packed = [(d["words"][:, ::2].astype(np.uint64) << np.uint64(32)) | d["words"][:, 1::2].astype(np.uint64) for d in (one, other)]
+    matched = [np.zeros((0, 2), np.int64)]
+    for w in range(4):
+        order = np.argsort(other["words"][:, w], kind="stable")
+        there = other["words"][order, w]
+        start = np.searchsorted(there, one["words"][:, w], "left")
+        count = np.searchsorted(there, one["words"][:, w], "right") - start
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(count):  # some pairs at once: tens of MB
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 300_000, "right")))
+            i = np.repeat(np.arange(at, upto), count[at:upto])
+            j = order[np.arange(len(i)) - np.repeat(ends[at:upto] - count[at:upto] - (ends[at - 1] if at else 0), count[at:upto]) + np.repeat(start[at:upto], count[at:upto])]
+            at = upto
+            use = one["component"][i] != other["component"][j]
+            i, j = i[use], j[use]
+            for earlier in range(w):  # a pair that shares several words is taken at the first
+                use = one["words"][i, earlier] != other["words"][j, earlier]
+                i, j = i[use], j[use]
+            use = np.bitwise_count(packed[0][i] ^ packed[1][j]).sum(1, dtype=np.int64) <= most_bits
+            matched.append(np.stack([i[use], j[use]], 1))
+    i, j = np.concatenate(matched).T
+    # Few pairs of images have as many matches of one turn and scale as a link takes; the others needn't vote.
+    swap = one["media_id"][i] > other["media_id"][j]
+    of = {c: (np.where(swap, other[c][j], one[c][i]), np.where(swap, one[c][i], other[c][j])) for c in ("x", "y", "level", "angle")}
+    theta = of["angle"][1] - of["angle"][0]
+    turn, scale = np.rint(theta / (np.pi / 6)).astype(np.int64) % 12, of["level"][1] - of["level"][0]
+    key = np.stack([one["row"][i], other["row"][j], turn, scale], 1)
+    code = ((key[:, 0] * (other["row"].max(initial=0) + 1) + key[:, 1]) * 12 + turn) * 64 + scale + 32
+    _, of_code, times = np.unique(code, return_inverse=True, return_counts=True)
+    use = times[of_code] >= inliers
+    key, theta = key[use], theta[use]
+    (ax, bx), (ay, by), (_, level) = ((p[use], q[use]) for p, q in (of[c] for c in ("x", "y", "level")))
+    size = 2.0 ** key[:, 3]
+    shift_x = bx - size * (np.cos(theta) * ax - np.sin(theta) * ay)
+    shift_y = by - size * (np.sin(theta) * ax + np.cos(theta) * ay)
+    links = [np.zeros((0, 2), np.int64)]
+    for dx in (0, 4):
+        for dy in (0, 4):
+            cells = np.column_stack([key, np.floor((shift_x + dx) / 8).astype(np.int64), np.floor((shift_y + dy) / 8).astype(np.int64)])
+            votes = np.unique(np.column_stack([cells, bx, by, level]), axis=0)
+            agreed, times = np.unique(votes[:, :6], axis=0, return_counts=True)
+            links.append(agreed[times >= inliers, :2])
+    return np.unique(np.concatenate(links), axis=0)
+
+
+def across(images: DataFrame, blocks: int, most_bits: int, inliers: int) -> DataFrame:
+    """Links (a, b) between components of ``images(media_id, component, x, y, level, angle, words)``, one row an image. Images are dealt in ``blocks``; each pair of blocks is one piece of work, and no pair of descriptors that share a word is left out."""
+    some = 256  # images of one block that are compared with the other at once
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, ids = table.column("own").to_numpy(), table.column("media_id").to_numpy()
+
+        def opened(rows: np.ndarray) -> dict:
+            part = table.take(pa.array(rows)).combine_chunks()
+            lists = {c: part.column(c).combine_chunks() for c in LISTS}
+            n = lists["x"].value_lengths().to_numpy(zero_copy_only=False)
+            d = {c: lists[c].flatten().to_numpy(zero_copy_only=False) for c in LISTS[:4]}
+            d = {c: v if c == "angle" else v.astype(np.int64) for c, v in d.items()}
+            d["words"] = lists["words"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            return d | {"row": np.repeat(rows, n)} | {c: np.repeat(part.column(c).to_numpy(), n) for c in ("media_id", "component")}
+
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
+        found = [np.zeros((0, 2), np.int64)]
+        if len(first) and len(second):
+            whole = opened(second)
+            for at in range(0, len(first), some):
+                rows = first[at : at + some]
+                found.append(_linked(opened(rows), whole if lo < hi else opened(second[second >= rows[0]]), most_bits, inliers))
+        links = ids[np.concatenate(found)]
+        return pa.table({"a": pa.array(links.min(1) if len(links) else [], pa.int64()), "b": pa.array(links.max(1) if len(links) else [], pa.int64())})
+
+    dealt = (
+        images.withColumn("own", F.pmod(F.xxhash64("media_id"), F.lit(blocks)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("lo", F.least("own", "other"))
+        .withColumn("hi", F.greatest("own", "other"))
+        .select("lo", "hi", "own", "media_id", "component", *LISTS)
+    )
+    return dealt.groupBy("lo", "hi").applyInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def near_copies(media: DataFrame, corners: int = 24, inliers: int = 8, most_bits: int = 16, image: str = "image", block: int = 250_000) -> DataFrame:
     """media_id, n_descriptors, component_id (least media_id reachable), kept: one row a row of ``media(media_id, image)``."""
     rows = media.select("media_id", F.sha2(F.col(image).cast("binary"), 256).alias("file"), F.col(image).cast("binary").alias("image"))
     files = rows.where("media_id is not null and file is not null").groupBy("file").agg(F.min("media_id").alias("node"))
     # Images are described where they are read; of equal files one's descriptors stay. No image is shuffled.
     described = descriptors(rows, corners, keep=["media_id", "file"]).where("media_id is not null")
     firsts = described.join(files, "file").where("media_id = node").dropDuplicates(["file"])
-    found = cut(firsts.select("media_id", F.posexplode(F.arrays_zip(*LISTS)).alias("n", "d")).select("media_id", "n", *(f"d.{c}" for c in LISTS)))
-    # The wider the key, the likelier its bucket's least image is a copy. Only ids are dealt by key.
-    keys = [(a,) for a in range(4)] + [(a, b) for a in range(4) for b in range(a)] + [(0, 1, 2, 3)]
+    images = cut(firsts.select("media_id", *LISTS))
+    found = images.select("media_id", F.posexplode(F.arrays_zip(*LISTS)).alias("n", "d")).select("media_id", "n", *(f"d.{c}" for c in LISTS))
+    # The wider the key, the likelier its bucket's least image is a copy. Only ids are dealt by key. Single words are left to ``across``.
+    keys = [(a, b) for a in range(4) for b in range(a)] + [(0, 1, 2, 3)]
     table_keys = F.array(*(F.xxhash64(F.lit(k), *(F.element_at("words", w + 1) for w in key)) for k, key in enumerate(keys)))
     words = found.select("media_id", "n", F.explode(table_keys).alias("word"))
     first = words.groupBy("word").agg(F.min(F.struct("media_id", "n")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -168,7 +267,13 @@ def near_copies(media: DataFrame, corners: int = 24, inliers: int = 8, most_bits
         F.explode(F.array(*(F.struct(F.floor((shift_x + dx) / 8).alias("cx"), F.floor((shift_y + dy) / 8).alias("cy"), F.lit(2 * (dx > 0) + (dy > 0)).alias("grid")) for dx in (0, 4) for dy in (0, 4)))).alias("cell"), "x", "y", "level",
     )
     agreed = votes.distinct().groupBy("a", "b", "turn", "scale", "cell").count().where(F.col("count") >= inliers)
-    labels = components(agreed.select("a", "b").distinct())
+    links = cut(agreed.select("a", "b").distinct())
+    labels = components(links)
+    described_images = images.join(labels.withColumnRenamed("node", "media_id"), "media_id", "left").withColumn("component", F.coalesce("component", "media_id"))
+    blocks = max(1, -(-(images.agg(F.sum(F.size("x"))).first()[0] or 0) // block))
+    more = cut(across(described_images, blocks, most_bits, inliers))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     counts = found.groupBy(F.col("media_id").alias("node")).agg(F.count("*").alias("n_descriptors"))
     named = files.join(counts, "node", "left").join(labels, "node", "left").select("file", "n_descriptors", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("media_id").isNotNull(), F.coalesce("component", "media_id"))

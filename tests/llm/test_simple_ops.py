@@ -266,6 +266,31 @@ def test_copies_that_share_one_word_of_each_descriptor(spark, monkeypatch):
     assert got == {1: 1, 2: 1}
 
 
+def test_copies_whose_stars_have_other_centres(spark, monkeypatch):
+    """Images 10 and 11 are copies; each of their ten descriptors is also in one of the lower images, which so are the centres of all their buckets."""
+    words = np.random.RandomState(5).randint(0, 2**32, (10, 4), dtype=np.int64).tolist()
+    own = [(20 * k, 7 * k, w) for k, w in enumerate(words)]
+    got = descriptor_word_copies(spark, monkeypatch, {k: [own[k]] for k in range(10)} | {10: own, 11: own})
+    assert got == {k: k for k in range(10)} | {10: 10, 11: 10}
+
+
+def test_block_pairs_find_what_one_block_finds(spark):
+    r = np.random.RandomState(6)
+    pictures = media.rendered(spark.createDataFrame([(k, r.randn(32).tolist()) for k in range(30)], "vec_id bigint, embedding array<double>"), edited_every=3)
+    got = [sorted((x["media_id"], x["component_id"]) for x in media.near_copies(pictures, block=n).collect()) for n in (400_000, 300)]
+    assert got[0] == got[1]
+
+
+def test_corners_grow_with_the_area():
+    r = np.random.RandomState(7)
+    quarters = [np.repeat(np.repeat(r.randint(0, 256, (16, 16)), 8, 0), 8, 1).astype(np.float32) * s + 128 * (1 - s) for s in (1, 0.3, 0.3, 0.3)]
+    large = np.block([[quarters[0], quarters[1]], [quarters[2], quarters[3]]])
+    _, x, y, level, *_ = media.describe(large[None])
+    for dx in (0, 128):  # a crop has corners, also where others are stronger
+        for dy in (0, 128):
+            assert ((x // 128 * 128 == dx) & (y // 128 * 128 == dy) & (level == 0)).sum() >= 24
+
+
 # Secrets
 
 
