@@ -6,7 +6,7 @@ wastes less than a bin beyond what its own pieces force, so larger inputs lose n
 
 In a group, best fit decreasing fills bins; then, among the bins that aren't full, the emptiest gives to fuller ones: it moves a piece,
 exchanges one for one or two for one, whichever raises the other's fill most. Every step raises the sum of squared fills, so the search
-ends; a bin that has given all is gone. It stops early at the least number of bins the total allows.
+ends; a bin that has given all is gone. It ends at the least number of bins the total allows, or when no bin can give anything.
 
 Tokens come from a tokenizer that drops white space, so a text's ids are its words' ids in a row; a worker remembers words it has met.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,61 +130,95 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int]]]:
     return bins
 
 
-def _best_change(giver: list[tuple[int, int]], taker: list[tuple[int, int]], room: int):
-    """What raises ``taker`` most within ``room``: (gain, pieces given, piece returned)."""
-    best: tuple = (0, (), None)
-    k = bisect_right(giver, (room, 1 << 60))
-    if k:
-        best = (giver[k - 1][0], (giver[k - 1],), None)
-    pairs = [(a[0] + b[0], a, b) for i, a in enumerate(giver) for b in giver[i + 1 :]] if len(giver) <= 64 else []
-    pairs.sort()
-    for back in taker:
-        if best[0] == room:
-            break
-        k = bisect_right(giver, (back[0] + room, 1 << 60))
-        if k and giver[k - 1][0] - back[0] > best[0]:
-            best = (giver[k - 1][0] - back[0], (giver[k - 1],), back)
-        k = bisect_right(pairs, (back[0] + room, (1 << 60,)))
-        if k and pairs[k - 1][0] - back[0] > best[0]:
-            best = (pairs[k - 1][0] - back[0], pairs[k - 1][1:], back)
-    return best
-
-
-def local_search(bins: list[list[tuple[int, int]]], capacity: int, looks: int = 100_000) -> list[list[tuple[int, int]]]:
-    """Fewer bins by moves and exchanges. ``looks`` bounds the pairs of bins compared (a fraction of a second), not what is packed."""
-    fill = [sum(n for n, _ in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive, stuck = len(bins), set()
-    partial = [k for k in range(len(bins)) if fill[k] < capacity]
-    for k in partial:
-        bins[k].sort()
-    while alive > least and looks > 0:
-        givers = [k for k in partial if k not in stuck and bins[k]]
-        if not givers:
-            break
-        g = min(givers, key=lambda k: (fill[k], k))
+def _sums(giver: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most that one piece, and one piece or two, of ``giver`` come to within 0, 1, ... ``capacity``. At most two pieces of a length matter, so there are few pairs however many pieces."""
+    lengths = np.array([n for n, _ in giver], np.int64)
+    kinds, times = np.unique(lengths, return_counts=True)
+    one = np.zeros(capacity + 1, np.int64)
+    one[kinds] = kinds
+    two = one.copy()
+    pairs = (kinds[:, None] + kinds)[np.triu(np.ones((len(kinds),) * 2, bool), 1) | np.diag(times > 1)]
+    two[pairs] = pairs
+    return np.maximum.accumulate(one), np.maximum.accumulate(two)
+
+
+def _given(giver: list[tuple[int, int]], total: int) -> tuple[tuple[int, int], ...]:
+    """One piece of ``giver``, or two, of length ``total`` together."""
+    of: dict[int, tuple[int, int]] = {}
+    for x in giver:
+        if x[0] == total:
+            return (x,)
+        of.setdefault(x[0], x)
+    seen: dict[int, tuple[int, int]] = {}
+    for x in giver:
+        if total - x[0] in seen:
+            return (seen[total - x[0]], x)
+        seen.setdefault(x[0], x)
+    raise AssertionError(total)
+
+
+def local_search(bins: list[list[tuple[int, int]]], capacity: int) -> list[list[tuple[int, int]]]:
+    """Fewer bins by moves and exchanges, until the total allows no fewer or no bin has anything to give: emptiest first, each gives as long as it can, and all are tried again after any change."""
+    fill = np.array([sum(n for n, _ in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    alive = len(bins)
+    partial = np.nonzero(fill < capacity)[0]
+    pieces = [(n, item, k) for k in partial.tolist() for n, item in bins[k]]
+    length, held = np.array([p[0] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64)
+    place = {p[1]: at for at, p in enumerate(pieces)}
+    changed = True
+    while changed and alive > least:
         changed = False
-        for t in sorted((k for k in partial if k != g and fill[g] <= fill[k] < capacity and bins[k]), key=lambda k: (-fill[k], k)):
-            looks -= 1
-            gain, given, back = _best_change(bins[g], bins[t], capacity - fill[t])
-            if gain <= 0:
-                continue
-            changed = True
-            for x in given:
-                bins[g].remove(x)
-                insort(bins[t], x)
-            if back is not None:
-                bins[t].remove(back)
-                insort(bins[g], back)
-            fill[t] += gain
-            fill[g] -= gain
-            if not bins[g]:
-                alive -= 1
+        for g in partial[np.lexsort((partial, fill[partial]))].tolist():
+            gave = True
+            while gave and bins[g] and alive > least:  # passes over the takers
+                gave = False
+                takers = partial[(partial != g) & (fill[partial] >= fill[g]) & (fill[partial] < capacity)]
+                rank = np.full(len(fill), len(fill), np.int64)
+                rank[takers[np.lexsort((takers, -fill[takers]))]] = np.arange(len(takers))
+                order, fresh, passed = rank[held], True, -1
+                while bins[g]:
+                    if fresh:
+                        one, two = _sums(bins[g], capacity)
+                        fresh = False
+                    # What raises each taker: a piece moved, or one or two for one of its own. Pieces of no taker are out of reach.
+                    room = capacity - fill
+                    reach = (order > passed) & (order < len(fill)) & (held != g)
+                    swap = np.where(reach, two[np.where(reach, length + room[held], 0)] - length, 0)
+                    moved = np.where(reach, one[room[held]], 0)
+                    able = (swap > 0) | (moved > 0)
+                    if not able.any():
+                        break
+                    passed = int(order[able].min())
+                    own = np.nonzero(order == passed)[0]
+                    own = own[held[own] != g]
+                    t = int(held[own[0]])
+                    best = own[np.argmax(swap[own])]
+                    gain, back = int(moved[own[0]]), None
+                    total = gain
+                    if swap[best] > gain:
+                        gain, back = int(swap[best]), int(best)
+                        total = gain + int(length[back])
+                    for x in _given(bins[g], total):
+                        bins[g].remove(x)
+                        bins[t].append(x)
+                        held[place[x[1]]], order[place[x[1]]] = t, rank[t]
+                    if back is not None:
+                        x = (int(length[back]), pieces[back][1])
+                        bins[t].remove(x)
+                        bins[g].append(x)
+                        held[back], order[back] = g, len(fill)
+                    fill[t] += gain
+                    fill[g] -= gain
+                    gave = changed = fresh = True
+                if not bins[g]:
+                    alive -= 1
+            if alive <= least:
                 break
-        if changed:
-            stuck.clear()
-        else:
-            stuck.add(g)
+        partial = np.array([k for k in partial.tolist() if bins[k] and fill[k] < capacity], np.int64)
+        kept = np.isin(held, partial)
+        length, held, pieces = length[kept], held[kept], [p for p, ok in zip(pieces, kept.tolist(), strict=True) if ok]
+        place = {p[1]: at for at, p in enumerate(pieces)}
     return [b for b in bins if b]
 
 

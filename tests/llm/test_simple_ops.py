@@ -130,6 +130,35 @@ def test_local_search_empties_bins():
     assert all(sum(n for n, _ in b) <= 10 for b in packing.local_search(packing.best_fit(lengths, 10), 10))
 
 
+def test_local_search_tries_every_giver():
+    """Thousands of bins that can give nothing are emptier than the four of which one can be emptied."""
+    stuck = [[(2500, k)] for k in range(2500)]
+    four = [[(1000, 3000 + 3 * k + i) for i in range(3)] for k in range(4)]
+    assert len(packing.local_search(stuck + four, 4096)) == 2503
+
+
+def test_local_search_exchanges_two_for_one_of_many():
+    """A giver of 80 pieces, of which none fits anywhere: two of them for one of another raise that one."""
+    bins = [[(6, k) for k in range(80)]] + [[(11, 100 + k), (984, 300 + k)] for k in range(100)]
+    assert max(sum(n for n, _ in b) for b in packing.local_search(bins, 1000)) > 995
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_local_search_ends_where_nothing_can_be_given(seed):
+    r = np.random.RandomState(seed)
+    lengths = r.randint(30, 75, 60)
+    bins = packing.local_search(packing.best_fit(lengths, 100), 100)
+    assert sorted(x for b in bins for x in b) == sorted((int(n), k) for k, n in enumerate(lengths))
+    fill = [sum(n for n, _ in b) for b in bins]
+    if len(bins) > -(-sum(fill) // 100):
+        for g, giver in enumerate(bins):
+            sums = {a[0] for a in giver} | {a[0] + b[0] for i, a in enumerate(giver) for b in giver[:i]}
+            for t, taker in enumerate(bins):
+                if t != g and fill[g] <= fill[t] < 100:
+                    assert not [1 for a, _ in giver if a <= 100 - fill[t]]
+                    assert not [1 for a in sums for b, _ in taker if 0 < a - b <= 100 - fill[t]]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packing_is_whole(seed):
     lengths = np.random.RandomState(seed).randint(1, 4097, 300)
