@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,41 @@ def barycentric(points: DataFrame, corners: list[tuple[float, float]], x: str =
     return raw.withColumns({f"w{k}": F.coalesce(F.col(c) / total, F.lit(0.0)) for k, c in enumerate(("_a", "_b", "_c"))}).drop("_a", "_b", "_c")
 
 
-def largest_triangle(points: DataFrame, node: str, x: str = "x", y: str = "y", directions: int = 24) -> DataFrame:
-    """(a, b, c, area) of the largest triangle over extreme points: for each of ``directions`` the farthest point, so at most that many are joined with one another."""
-    ways = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(math.cos(2 * math.pi * k / directions)).alias("u"), F.lit(math.sin(2 * math.pi * k / directions)).alias("v")) for k in range(directions))))
-    far = F.round(F.col(x) * F.col("w.u") + F.col(y) * F.col("w.v"), 9)
-    extreme = points.withColumn("w", ways).groupBy("w.k").agg(F.max_by(F.struct(F.col(node).alias("n"), F.col(x).alias("x"), F.col(y).alias("y")), F.struct(far, -F.col(node))).alias("p"))
-    e = cut(extreme.select("p.n", "p.x", "p.y").distinct())
+def _hull(points: DataFrame, node: str, x: str, y: str) -> DataFrame:
+    """The corners (n, x, y) of the convex hull: of every partition's rows first, then of what these leave, by monotone chains. Of equal points the least node stays."""
+
+    def corners(n: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        order = np.lexsort((n, py, px))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(px[order]) != 0) | (np.diff(py[order]) != 0)
+        order = order[new].tolist()
+        kept: set = set(order[:1])
+        for way in (order, order[::-1]):
+            chain: list[int] = []
+            for k in way:
+                while len(chain) > 1 and (px[chain[-1]] - px[chain[-2]]) * (py[k] - py[chain[-2]]) - (py[chain[-1]] - py[chain[-2]]) * (px[k] - px[chain[-2]]) <= 0:
+                    chain.pop()
+                chain.append(k)
+            kept.update(chain)
+        return np.array(sorted(kept), np.int64)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            held = held.take(pa.array(corners(*(c.to_numpy() for c in held.columns))))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    rows = points.select(F.col(node).cast("long").alias("n"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("n is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
+    schema = "n bigint, x double, y double"
+    return rows.mapInArrow(run, schema).repartition(1).mapInArrow(run, schema)
+
+
+def largest_triangle(points: DataFrame, node: str, x: str = "x", y: str = "y") -> DataFrame:
+    """(a, b, c, area) of the largest triangle over all points. Its corners are corners of the convex hull, so only those are joined with one another."""
+    e = cut(_hull(points, node, x, y))
     a, b, c = (e.select(*(F.col(col).alias(f"{col}{k}") for col in ("n", "x", "y"))) for k in "abc")
     area = F.round(F.abs((F.col("xb") - F.col("xa")) * (F.col("yc") - F.col("ya")) - (F.col("xc") - F.col("xa")) * (F.col("yb") - F.col("ya"))) / 2, 9)
     every = a.join(b, F.col("na") < F.col("nb")).join(c, F.col("nb") < F.col("nc")).select(F.col("na").alias("a"), F.col("nb").alias("b"), F.col("nc").alias("c"), area.alias("area"))

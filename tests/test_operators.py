@@ -166,3 +166,19 @@ def test_hemisphere(spark):
     n = spark.createDataFrame([(4, "ctx-lh-a"), (7, "ctx-rh-a"), (9, "ctx-lh-b")], "node int, name string")
     kept, moved = graph.hemisphere(n, both_ways(spark, [(4, 9), (4, 7)]), "name", "-rh")
     assert [(r["node"], r["idx"]) for r in kept.orderBy("node").collect()] == [(4, 0), (9, 1)] and {(r["src"], r["dst"]) for r in moved.collect()} == {(0, 1), (1, 0)}
+
+
+def test_largest_triangle_of_a_round_cloud(spark):
+    """Any corner of the hull may be in it, not only the farthest points of a few directions."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.RandomState(2)
+    turn, reach = r.uniform(0, 2 * np.pi, 60), np.concatenate([np.ones(40), r.uniform(0, 0.9, 20)])
+    at = np.column_stack([reach * np.cos(turn), reach * np.sin(turn)])
+    best = max(abs((at[b] - at[a])[0] * (at[c] - at[a])[1] - (at[c] - at[a])[0] * (at[b] - at[a])[1]) / 2 for a, b, c in itertools.combinations(range(60), 3))
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "n int, x double, y double").repartition(5)
+    (got,) = embedding.largest_triangle(points, "n").collect()
+    assert math.isclose(got["area"], best, abs_tol=1e-8)
+    assert embedding.largest_triangle(points.where("false"), "n").count() == 0
