@@ -55,7 +55,11 @@ class WordWeights(dict):
         if len(self) >= 300_000:
             self.clear()
         get = self.of_features.get
-        self[word] = w = sum(get(f, 0.0) for f in features(word)) if len(word) < 200 else 0.0
+        if len(word) >= 200:  # read like any other, but not remembered, and of its features only those with a weight are held
+            marked = "^" + word
+            held = {f for n in (4, 5, 6) for k in range(len(marked) - n + 1) if (f := marked[k : k + n]) in self.of_features}
+            return get("=" + word, 0.0) + sum(map(get, held))
+        self[word] = w = sum(get(f, 0.0) for f in features(word))
         return w
 
     def __reduce__(self):

@@ -256,6 +256,13 @@ def test_deep_and_broken_pages():
         model.texts([page])
 
 
+def test_long_runs_of_letters_are_read():
+    model = toxicity.ToxicityModel(bias=-6.0, weights={"grub": 9.0, "^abab": 1.0})
+    run = "ab" * 150 + "grub" + "ba" * 150 + "grub"
+    assert model.words[run] == 10.0 and run not in model.words
+    assert model.read(run, 0.5)[0] > 0.9 and model.read("ab" * 300, 0.5)[0] < 0.1
+
+
 # Images
 
 
