@@ -16,6 +16,7 @@ other columns don't matter.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,7 +33,11 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer(dict):
-    """Ids of texts, as little-endian 32-bit bytes, by a tokenizer that treats what blanks part on its own. The dict remembers words, up to a bound."""
+    """Ids of texts, as little-endian 32-bit bytes, by a tokenizer that treats what blanks part on its own. The dict remembers words, up to a bound.
+
+    Only words of plain letters (one capital, one small letter, nothing composed: all under U+0250 but the dotted capital I) are lowered and
+    parted here; others go to the library as they are, and so does a whole text that holds a special token's name.
+    """
 
     def __init__(self, definition: str, remembered: int = 1_200_000):
         import os
@@ -42,23 +47,27 @@ class WordTokenizer(dict):
 
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
         model = self.tokenizer.model
         if hasattr(model, "_resize_cache"):  # it would hold the words a second time
             model._resize_cache(0)
             self.tokenizer.model = model
 
+    def direct(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
     def __missing__(self, word: str) -> bytes:
+        plain = word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
         stem = word.rstrip(PUNCTUATION)
-        if len(stem) < len(word) and stem[-1:].isalpha():  # what follows a letter is a token of its own
+        if plain and len(stem) < len(word) and stem[-1:].isalpha():  # what follows a letter is a token of its own
             met = stem in self
             ids = self[stem] + self[word[len(stem) :]]
             if not met:
                 return ids
-        elif (small := word.lower()) != word and "\u03a3" not in word:  # the tokenizer lowers letters too, but final sigmas as any
+        elif plain and (small := word.lower()) != word:  # the tokenizer lowers letters too
             ids = self[small]
         else:
-            ids = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+            ids = self.direct(word)
         if len(word) <= 64:
             if len(self) >= self.remembered:
                 self.clear()
@@ -66,7 +75,10 @@ class WordTokenizer(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        if any(name in text for name in self.special):
+            return self.direct(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -98,16 +98,26 @@ def direct(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_word_ids_equal_the_library():
     own = packing.WordTokenizer(open(WORDS, encoding="utf-8").read(), remembered=20)
-    for t in ["", "Hello, world's end... it's  two\n\nlines", "ÀÉ ΑΣ. İx ½ x´. a'b's! don't 12ab", "<|endoftext|> x", "日本語, 🙂🙂!"]:
+    for t in ["", "Hello, world's end... it's  two\n\nlines", "ÀÉ ΑΣ. İx ½ x´. a'b's! don't 12ab", "<|endoftext|> x", "x<|startoftext|>.", "<|ENDOFTEXT|> <|endoftext", "İ! ALİ, VELİ.", "日本語, 🙂🙂!"]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == direct(t)[:-1]
 
 
+def test_word_ids_of_random_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, library = packing.WordTokenizer(open(WORDS, encoding="utf-8").read(), remembered=500), Tokenizer.from_file(WORDS)
+    r = random.Random(8)
+    marks = list("abzAZéÉßẞİıſΣσςǅ0٣½.,!'’\"<|>_-\t\n\u00a0\u0307\u0301\u200b日🙂") + [" "] * 8 + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "word", "Word,"]
+    for _ in range(3000):
+        t = "".join(r.choice(marks) for _ in range(r.randint(0, 30)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packed_pieces(spark):
     rows = [*ODD, (9, "word " * 9000)]
     got = packing.pack_documents(table(spark, rows), WORDS).toPandas()
