@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all hosts share")
         if not _local_dirs:
             _local_dirs.append(tempfile.mkdtemp(prefix="parcelyard-"))
             atexit.register(shutil.rmtree, _local_dirs[0], ignore_errors=True)
@@ -29,11 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
+    """What is run inside sends Arrow batches of at most ``rows`` rows and about ``size`` to Python, so that rows with texts stay few MB a worker."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

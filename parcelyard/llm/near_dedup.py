@@ -7,8 +7,9 @@ A text is the set of its distinct shingles of five words. Equal sets are one cla
    n - 1 pairs), the pair's similarity is estimated from the packed bits - matching fields, corrected for the 1/16 that match by
    chance - and what lies clearly under the threshold goes.
 3. What is left is confirmed on the full sets, and confirmed links make components.
-4. A bucket that holds texts of several components may hold links that its star missed. Its texts are dealt in blocks, every pair of
-   blocks is estimated by bit counts, and pairs of different components that may reach the threshold are confirmed on the spot.
+4. A bucket that holds texts of several components may hold links that its star missed. Its texts are dealt in blocks bounded in texts
+   and in shingles, those of its largest component apart from the rest, and every pair of blocks but those of the largest component
+   itself is estimated by bit counts; pairs of different components that may reach the threshold are confirmed on the spot.
 
 A pair at similarity 0.75 shares no band with probability 7e-6, and lies under the estimate's cut with probability 1e-6.
 
@@ -18,8 +19,8 @@ they share a component; rows without doc_id stand alone, with a null component,
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_table, free_name
 
 WIDTH, ROWS, BANDS, BITS = 5, 5, 45, 4
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 K = 240  # minima; the bands use the first 225, the signature all
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.RandomState(20240501)
@@ -121,15 +122,15 @@ def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, signature array<bigint>")
 
 
-def may_hold(documents: DataFrame, ids: DataFrame, log2_bits: int = 23) -> DataFrame:
-    """``documents`` without most rows whose doc_id isn't in ``ids``: a bitmap of 2**log2_bits bits, whatever the input's size, is broadcast (1 MB), so that the others' texts needn't be shuffled."""
+def may_hold(documents: DataFrame, ids: DataFrame, log2_bits: int = 23, inside: bool = True) -> DataFrame:
+    """``documents`` without most rows whose doc_id isn't in ``ids`` (or, not ``inside``, the others): a bitmap of 2**log2_bits bits, whatever the input's size, is broadcast (1 MB), so that the others' texts needn't be shuffled."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(2**log2_bits))
     maps = ids.select(bit(F.col(ids.columns[0])).alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("_block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("_map"))
     at = F.pmod("_bit", F.lit(32768))
     byte = F.conv(F.hex(F.expr("substring(_map, int(pmod(_bit, 32768) div 8) + 1, 1)")), 16, 10).cast("int")
     marked = documents.withColumn("_bit", bit(F.col("doc_id"))).withColumn("_block", (F.col("_bit") / 32768).cast("int"))
-    held = byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod(at, F.lit(8))).cast("int")) != 0
-    return marked.join(F.broadcast(maps), "_block").where(held).drop("_bit", "_block", "_map")
+    held = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod(at, F.lit(8))).cast("int")) != 0, F.lit(False))
+    return marked.join(F.broadcast(maps), "_block", "inner" if inside else "left").where(held if inside else ~held).drop("_bit", "_block", "_map")
 
 
 def plain_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,19 +172,50 @@ def _root(parent: dict, x):
     return x
 
 
+def _blocks(texts: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(texts / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+class Sets:
+    """Shingle sets by node, as many of the latest as take ``limit`` bytes."""
+
+    def __init__(self, width: int, limit: int = 24_000_000):
+        self.width, self.limit, self.held, self.size = width, limit, OrderedDict(), 0
+
+    def __call__(self, node: int, text: bytes) -> np.ndarray:
+        found = self.held.pop(node, None)
+        if found is None:
+            found = shingle_set(text, self.width)
+            self.size += found.nbytes
+        self.held[node] = found
+        while self.size > self.limit and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return found
+
+
 def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
     """Links (a, b) between components within buckets that hold several, confirmed on full sets.
 
-    ``members(key, n, node, component, keys, signature, text)``. A bucket of over ``BLOCK`` texts is dealt in blocks of about that many,
-    and each pair of blocks is one piece of work, so none holds more than two blocks. Pairs are estimated by bit counts; a pair that
-    shares several buckets is looked at in the first only. Likely pairs come first, and a pair whose components have met meanwhile
-    needs no look, so at most one link less than there are texts leaves a block pair, and no pair that may link is left out.
+    ``members(key, node, component, n_shingles, keys, signature, text)``. A bucket's texts are dealt in blocks of about ``BLOCK`` texts and
+    ``BLOCK_SHINGLES`` shingles, and each pair of blocks is one piece of work, so none holds more than two blocks. The blocks of the
+    bucket's largest component meet those of the rest only, so a bucket of n texts of which r are outside that component takes r * n
+    estimates. A pair that shares several buckets is looked at in the first only. Likely pairs come first, and a pair whose components
+    have met meanwhile needs no look, so at most one link less than there are texts leaves a block pair, and no pair that may link is
+    left out.
     """
     percent, least = round(100 * threshold), fewest_matches(threshold)
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    largest = F.max(F.struct("n", F.col("component").alias("c")))
+    whole = sizes.groupBy("key").agg(largest.alias("m"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"), F.max_by("w", F.struct("n", "component")).alias("w_major")).select(
+        "key", F.col("m.c").alias("major"), _blocks(F.col("m.n"), F.col("w_major")).alias("majors"), _blocks(F.col("n_all") - F.col("m.n"), F.col("w_all") - F.col("w_major")).alias("rests")
+    )
+    at = F.xxhash64("node")
+    numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    below = F.transform(numbers("majors"), lambda x: -1 - x)
     dealt = (
-        members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(whole, "key")
+        .withColumn("own", F.when(F.col("component") == F.col("major"), -1 - F.pmod(at, F.col("majors"))).otherwise(F.pmod(at, F.col("rests"))).cast("int"))
+        .withColumn("other", F.explode(F.when(F.col("own") < 0, numbers("rests")).otherwise(F.concat(numbers("rests"), below))))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "keys", "signature", "text")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "node")
@@ -192,17 +224,22 @@ def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
     def links(group: list[tuple], set_of: Callable[[int, bytes], np.ndarray]) -> Iterator[tuple[int, int]]:
         key, lo, hi = group[0][:3]
         own, node, comp = (np.array([g[k] for g in group]) for k in (3, 4, 5))
+        first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
+        if not len(first) or not len(second):
+            return
         keys, sig = np.array([g[6] for g in group]), np.array([g[7] for g in group]).view(np.uint64)
         band = int(np.nonzero(keys[0] == key)[0][0])
         found = []
-        for at in range(0, len(node), 64):
-            z = sig[at : at + 64, None, :] ^ sig[None, :, :]
+        for at in range(0, len(first), 64):
+            some = first[at : at + 64]
+            z = sig[some, None, :] ^ sig[None, second, :]
             z |= z >> np.uint64(1)
             z |= z >> np.uint64(2)
             same = K - np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(2, dtype=np.int32)
-            i, j = np.nonzero((same >= least) & (comp[at : at + 64, None] > comp[None, :]) & ((lo == hi) | (own[at : at + 64, None] != own[None, :])))
-            first = (keys[at + i, :band] != keys[j, :band]).all(1)
-            found.append(np.stack([same[i, j], at + i, j], 1)[first])
+            i, j = np.nonzero((same >= least) & (comp[some, None] != comp[None, second]) & ((lo < hi) | (some[:, None] > second[None, :])))
+            one, two = some[i], second[j]
+            met_first = (keys[one, :band] != keys[two, :band]).all(1)
+            found.append(np.stack([same[i, j], one, two], 1)[met_first])
         parent: dict = {}
         found = np.concatenate(found)
         for i, j in found[np.argsort(-found[:, 0], kind="stable"), 1:].tolist():
@@ -218,9 +255,10 @@ def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
 
-        set_of = lru_cache(4 * BLOCK)(lambda node, text: shingle_set(text, width))
+        set_of = Sets(width)
         for _, group in groupby(rows(), key=lambda r: r[:3]):
             found = list(links(list(group), set_of))
             if found:
@@ -263,9 +301,9 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     sketched = cut(sketches(documents, width))
     classes = cut(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")))
     # One row of each class; rows of one doc_id with several sets are several classes and one node.
-    texts = sketched.join(classes, (F.col("doc_id") == F.col("node")) & (sketched["set_key"] == classes["set_key"])).select("node", sketched["set_key"], "keys", "signature")
+    texts = sketched.join(classes, (F.col("doc_id") == F.col("node")) & (sketched["set_key"] == classes["set_key"])).select("node", sketched["set_key"], "n_shingles", "keys", "signature")
     texts = cut(texts.dropDuplicates(["node", "set_key"]))
-    banded = texts.select("node", F.explode("keys").alias("key"))
+    banded = texts.select("node", "n_shingles", F.explode("keys").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
 
     stars = banded.join(buckets.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -276,14 +314,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     labels = components(links)
 
     # What the stars can't tell: buckets of three and more with texts of several components.
-    wide = banded.join(buckets.where("n > 2").select("key", "n"), "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    wide = banded.join(buckets.where("n > 2").select("key"), "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     wide = cut(wide)
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     members = cut(wide.join(mixed, "key").distinct())
     full = plain_texts(documents, members.select("node")).select(F.col("doc_id").alias("node"), "text")
-    more = cut(across(members.join(texts.select("node", "keys", "signature"), "node").where(F.array_contains("keys", F.col("key"))).join(full, "node"), threshold, width))
+    signed = members.join(texts.select("node", "keys", "signature"), "node").where(F.array_contains("keys", F.col("key")))
+    more = cut(across(signed.join(full, "node"), threshold, width))
     if not more.isEmpty():
         labels = components(links.union(more))
+    for done in (texts, buckets, likely, links, wide, members, more):
+        drop_table(done)
 
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
@@ -291,15 +332,31 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with one row of each near-duplicate group: that of the least doc_id. Rows without doc_id stay."""
-    found = near_duplicates(documents, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = first_of_id(documents.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi"))
-    return one.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+def parted(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have one of ``ids``, and those that can't have; by the bitmap of ``may_hold``, without a shuffle of texts. Rows without doc_id can't."""
+    sound = documents.where(F.col("doc_id").isNotNull())
+    return may_hold(sound, ids), may_hold(sound, ids, inside=False).unionByName(documents.where(F.col("doc_id").isNull()))
 
 
-def first_of_id(df: DataFrame) -> DataFrame:
-    """One row of each doc_id."""
-    name = free_name(df, "n")
-    rest = [c for c in df.columns if c != "doc_id"]
-    return df.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy(*rest))).where(F.col(name) == 1)
+def keep_one(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with one row of each near-duplicate group: that of the least doc_id.
+
+    Rows without doc_id stay. Rows that share a doc_id and differ in their text are compared like any others: all but the one of the
+    least text hash go by an id that is made of both. Of rows that share both, one stays. Only rows that may go are shuffled.
+    """
+    name, whole = free_name(documents, "row_id"), free_name(documents, "row")
+    mark = F.xxhash64(F.lit("text"), "text")
+    again = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(mark).alias("least"), F.max(mark).alias("most")).where("n > 1")
+    again = cut(again)
+    rows = documents.withColumn(name, F.col("doc_id"))
+    if not again.isEmpty():
+        some, rest = parted(documents, again.select("doc_id"))
+        least = again.select(F.col("doc_id").alias(name), "least")
+        some = some.join(least.withColumnRenamed("least", whole), F.col("doc_id") == F.col(name), "left")
+        some = some.withColumn(name, F.when(F.coalesce(F.col(whole) == mark, F.lit(True)), F.col("doc_id")).otherwise(F.xxhash64("doc_id", mark))).drop(whole)
+        some = some.groupBy(name).agg(F.first(F.struct(*documents.columns)).alias(whole)).select(f"{whole}.*", name)
+        rows = cut(some.unionByName(rest.withColumn(name, F.col("doc_id"))))
+    keyed = rows.select(F.col(name).alias("doc_id"), "text")
+    gone = cut(near_duplicates(keyed, **options).where("not kept").select("doc_id").distinct())
+    some, rest = parted(rows.withColumnRenamed("doc_id", whole).withColumnRenamed(name, "doc_id"), gone)
+    return some.join(gone, "doc_id", "left_anti").unionByName(rest).drop("doc_id").withColumnRenamed(whole, "doc_id").select(*documents.columns)
