@@ -382,3 +382,25 @@ def test_secrets_odd_rows(spark):
 
 def test_digest_of_none():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """A megabyte of matches: time grows with the text, not with its square."""
+    import time
+
+    value = lambda k: f"Ab{k}xY{k * 7919 % 99991}Qw{k}Zr{k * 31 % 997}Kt0"
+    text = " ".join(f"token={value(k)} {k} é{k}a" for k in range(20_000))
+    docs = spark.createDataFrame([(1, text, "a/b"), (2, "token: abcdefgh1", "a/b")], "doc_id bigint, text string, source string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(docs).select("doc_id", secrets.listed(F.col("secrets"), secrets.KINDS[:3]).alias("l")).collect()}
+    assert got[1]["l"] == base_spans(text) and got[2]["l"] == "assign:0:16"
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert masked[1] == " ".join(f"[secret] {k} é{k}a" for k in range(20_000)) and masked[2] == "[secret]"
+    assert time.time() - began < 60
+
+
+def test_masks_of_spans_that_overlap(spark):
+    text = f"🙂 x secret=AKIA{'B' * 16}{'0' * 40} and {'a1' * 20}, é password: {'f' * 40}"
+    docs = spark.createDataFrame([(1, text, "a/b", "c", 0)], "doc_id bigint, text string, source string, scan_row string, scan_cuts int")
+    got = secrets.masked(docs)
+    assert got.columns == docs.columns and got.first()["text"] == "🙂 x [secret] and [secret], é [secret]"
