@@ -33,13 +33,14 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
-TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>|[!?/][^>]*(?:>|\Z))""", re.S)
+OPENING = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 PIECE = re.compile(r"[a-z]+")
 
 # Kinds of elements in HTML, and words that usual layouts put into classes and ids.
-RAW = {"script", "style", "template", "svg", "noscript", "title", "textarea", "iframe", "select", "button", "object", "math", "video", "audio", "canvas"}
+RAW = {"script", "style", "template", "svg", "title", "textarea", "iframe", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"html", "body", "main", "article", "section", "nav", "header", "footer", "aside", "form", "fieldset", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "menu", "center", "hgroup", "search", "head"}
 BREAKS_P = BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "html", "body", "head", "summary", "figcaption"}
@@ -76,10 +77,53 @@ class Page:
     texts: list[str]
 
 
+class Scanner:
+    """Markup of a page, one piece after another. Every character is looked at a bounded number of times, whatever the quotes."""
+
+    def __init__(self, page: str):
+        self.page, self.open_ended = page, set()
+        self.last = page.rfind(">")
+
+    def tag_end(self, at: int) -> int:
+        """Behind the tag's closing bracket, which doesn't stand in quotes; if a quote is left open, behind the first bracket; -1 if there is none."""
+        page, chain, begin = self.page, [], at
+        while (m := SPECIAL.search(page, at)) is not None and m.start() not in self.open_ended:
+            s = m.start()
+            if page[s] == ">":
+                return s + 1
+            chain.append(s)
+            at = page.find(page[s], s + 1) + 1
+            if not at:
+                break
+        self.open_ended.update(chain)  # whoever comes to one of these finds no end either
+        return page.find(">", begin) + 1 or -1
+
+    def pieces(self) -> Iterator[tuple[int, int, str, str, bool]]:
+        """(start, end, tag, attributes, closing) of each tag; tag is empty for comments and declarations. The caller may send where to go on."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            m = OPENING.match(page, at)
+            if m is not None:
+                end = self.tag_end(m.end()) if m.end() <= self.last else -1
+                if end < 0:
+                    continue
+                at = (yield start, end, m[2].lower(), page[m.end() : end - 1], bool(m[1])) or end
+            elif page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "", "", False
+            elif page[at : at + 1] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = len(page) if end < 0 else end + 1
+                yield start, at, "", "", False
+
+
 def parse(page: str | None) -> Page:
     page = page or ""
     out = Page([-1], [0], [("t:root",)], [False], [])
     stack: list[tuple[str, int]] = [("root", 0)]
+    places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
     pieces: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -103,38 +147,40 @@ def parse(page: str | None) -> Page:
         linked = 0
 
     def close(upto: int) -> None:
-        del stack[upto:]
+        while len(stack) > upto:
+            places[stack.pop()[0]].pop()
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    scanner = Scanner(page)
+    found, jump = scanner.pieces(), None
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
+        try:
+            start, end, tag, attributes, closing = found.send(jump)
+        except StopIteration:
             pieces.append(page[at:])
             break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
+        jump = None
+        if start > at:
+            pieces.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+                linked += start - at
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
+        if closing:
             if tag == "a":
                 in_link = 0
-            elif tag in BLOCKS:
-                k = len(stack) - 1
-                while k and stack[k][0] != tag:
-                    k -= 1
-                if k:
-                    flush()
-                    close(k)
+            elif tag in BLOCKS and (k := nearest((tag,))):
+                flush()
+                close(k)
             continue
         if tag in RAW:
-            if (m[3] or m[6] or "").endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag == "svg":
                 continue
-            end = re.compile(rf"</{tag}\s*>|</{tag}\s[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            over = re.compile(rf"</{tag}\s*>|</{tag}\s[^>]*>", re.I).search(page, at)
+            at = jump = over.end() if over else len(page)
             continue
         if tag == "a":
             in_link = 1
@@ -146,20 +192,17 @@ def parse(page: str | None) -> Page:
             flush()
             if tag in BREAKS_P and stack[-1][0] == "p":
                 close(len(stack) - 1)
-            if (ends := CLOSES.get(tag)) is not None:
-                k = len(stack) - 1
-                while k and stack[k][0] not in ends and stack[k][0] not in HOLDS:
+            if (ends := CLOSES.get(tag)) is not None and (k := nearest(ends)) > nearest(HOLDS):
+                while stack[k - 1][0] in ends:
                     k -= 1
-                if k and stack[k][0] in ends:
-                    while stack[k - 1][0] in ends:
-                        k -= 1
-                    close(k)
+                close(k)
             parent = stack[-1][1]
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(out.parent)))
             out.parent.append(parent)
             out.depth.append(out.depth[parent] + 1)
             out.block.append(False)
-            out.names.append((f"t:{tag}", *hints(m[3] or m[6] or "")))
+            out.names.append((f"t:{tag}", *hints(attributes)))
     flush()
     return out
 
@@ -262,7 +305,7 @@ class TreeModel:
 MARK = "\ue001"
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> tuple[list[Page], list[list[bool]]]:
+def labelled_pages(count: int = 320, seed: int = 5) -> tuple[list[Page], list[list[bool]]]:
     """Pages of usual layouts; main text carries a mark, which is taken off after parsing."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(1, 9)))
@@ -298,6 +341,15 @@ def labelled_pages(count: int = 240, seed: int = 5) -> tuple[list[Page], list[li
                 out.append(f'<div class="{some("ad", "advert", "share", "related")}">{some(sentence(), links())}</div>')
         return "".join(out)
 
+    def bare_blocks() -> str:
+        """An article of plain boxes."""
+        return (f"<div>{MARK}{words(2, 9)}</div>" if r.random() < 0.3 else "") + "".join(f"<div>{MARK}{prose()}</div>" for _ in range(r.randint(1, 6)))
+
+    def bare_around() -> str:
+        """What stands around it there: links in plain boxes or lists, and single words."""
+        box = "<div>" + " ".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(r.randint(1, 7))) + "</div>"
+        return some(box, box, links(), f"<div>{links()}</div>", f"<div>{words(1, 2)}</div>")
+
     def around(cls_hint: str) -> str:
         cls = some("class", "id") + f'="{some("", "page-", "site-")}{some(*HINTS[cls_hint])}"'
         return f"<div {cls}>{some(sentence(), '<p>' + prose() + '</p>', links(), '<h3>' + words(1, 3) + '</h3><p>' + sentence() + '</p>')}</div>"
@@ -322,7 +374,11 @@ def labelled_pages(count: int = 240, seed: int = 5) -> tuple[list[Page], list[li
         maybe(0.3, after, comments())
         maybe(0.8, after, f"<footer>{some(words(2, 8), '<p>' + prose() + '</p>', links(), prose())}</footer>")
         holder = r.random()
-        if holder < 0.6:
+        if r.random() < 0.15:  # no element and no class says what is what
+            before, after = ([bare_around() for _ in range(r.randint(0, 2))] for _ in range(2))
+            inner = some(bare_blocks(), bare_blocks(), "".join(f"<p>{MARK}{prose()}</p>" for _ in range(r.randint(1, 6))))
+            body = some(inner, f"<div>{inner}</div>", f"<div><div>{inner}</div></div>")
+        elif holder < 0.6:
             body = f"<article>{main_blocks()}{inside}</article>"
         elif holder < 0.75:
             body = f"<main>{some('<article>', '<section>')}{main_blocks()}{inside}</main>"

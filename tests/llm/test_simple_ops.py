@@ -404,3 +404,37 @@ def test_masks_of_spans_that_overlap(spark):
     docs = spark.createDataFrame([(1, text, "a/b", "c", 0)], "doc_id bigint, text string, source string, scan_row string, scan_cuts int")
     got = secrets.masked(docs)
     assert got.columns == docs.columns and got.first()["text"] == "🙂 x [secret] and [secret], é [secret]"
+
+
+# Pages once more
+
+
+def test_plain_boxes_without_hints():
+    model = html_extract.fit()
+    one, two = "The first of two long sentences tells what has happened in the town.", "The second one says how it went on, and who was there to see it."
+    assert model.texts([f"<html><body><div>{one}</div><div>{two}</div></body></html>"]) == [f"{one}\n{two}"]
+    page = f'<body><div><a href="/">Home</a> <a href="/x">More</a></div><div><div>{one}</div><div>{two}</div></div></body>'
+    assert model.texts([page]) == [f"{one}\n{two}"]
+
+
+def test_text_of_embedded_elements_stays():
+    page = "<article><p>Area <math><mi>x</mi></math> is big, <object>as drawn</object>, <canvas>or not</canvas>.<p>Second sentence of it.<noscript>Third one.</noscript></article>"
+    assert html_extract.fit().texts([page]) == ["Area x is big, as drawn, or not.\nSecond sentence of it.Third one."]
+
+
+@pytest.mark.parametrize("hostile", ['<a x="y ', "<a x=\"y >'", "<p></b></i></div>", "<li><div>", "<!-", "<a '>\"", "&", "<b <b '"])
+def test_hostile_pages_take_linear_time(hostile):
+    import time
+
+    began = time.time()
+    html_extract.parse("<div>" * 8000 + "</section>" * 8000)
+    html_extract.parse(hostile * (1_000_000 // len(hostile)))
+    assert time.time() - began < 15
+
+
+def test_tags_end_outside_quotes():
+    texts = lambda page: html_extract.parse(page).texts
+    assert texts("<p title='a > b'>one</p><p title=\"c > '\">two") == ["one", "two"]
+    assert texts("<p title='open>one</p><p>two") == ["one", "two"]
+    assert texts("a < b <1> c <p") == ["a < b <1> c <p"]
+    assert texts("x<!-- > -- --><p>y<!doctype z>") == ["x", "y"]
