@@ -10,13 +10,17 @@ excludes, so the search is exact; larger factors prune more. Equal vectors are o
 
 Found distances are turned back into inner products of the original vectors in double precision, and ties go to the smaller id.
 
+A shard's tree is built once, whatever the number of query blocks that search it, and travels as one row of some MB.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; of rows with one id each is a
-candidate; rows without id take no part; vectors of other than the most common length take no part; a query's own id is not its neighbour;
-fewer than k candidates are all returned; other columns don't matter.
+candidate, and each a query with neighbours of its own if the id asks (its rows then share query_id, and ranks repeat); rows without id
+take no part; only vectors of one length have an inner product, so each length is searched by itself; a query's own id is not its
+neighbour; fewer than k candidates are all returned; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -99,51 +103,53 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest. ``is_query``: of the id's column.
 
-    Every query meets every shard, in one task a shard and block of queries; only each block's best ``k`` of a shard go on, so what is
-    ranked at last is k rows a query and shard.
+    Every query meets every shard of its length, in one task a shard and block of queries; only each block's best ``k`` of a shard go on,
+    so what is ranked at last is k rows a query and shard.
     """
     rows = usable(vectors, vec_id, vector)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = cut(rows.where(F.size("v") == common["n"]))
-    count, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards = max(1, -(-count // shard_rows))
-    blocks = max(1, -(-rows.where(is_query(F.col("vec_id"))).count() // 4096))
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(shards)).cast("int")
-    dealt = rows.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(False).alias("asks"))
-    asked = rows.where(is_query(F.col("vec_id"))).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-
-    def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(points) or not len(queries):
-            return empty
-        points = points.sort_values("vec_id", kind="stable")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("length"), is_query(F.col("vec_id")).alias("asks")))
+    lengths = rows.groupBy("length").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.count_if("asks").alias("queries")).where("queries > 0")
+    lengths = lengths.select("length", "most", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("queries") / 4096).cast("int").alias("blocks"))
+    sized = rows.join(lengths, "length")
+
+    def build(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["vec_id", "row"], kind="stable")
         own, ids = np.stack(points["v"].to_list()), points["vec_id"].to_numpy()
-        distinct, first, of = np.unique(own, axis=0, return_index=True, return_inverse=True)
+        distinct, of = np.unique(own, axis=0, return_inverse=True)
         of = of.reshape(-1)
         order = np.argsort(of, kind="stable")  # ids of each distinct vector, ascending
         begins = np.searchsorted(of[order], np.arange(len(distinct) + 1))
-        lifted = np.concatenate([distinct, np.sqrt(np.maximum(most - (distinct**2).sum(1, keepdims=True), 0.0))], 1)
-        q = np.stack(queries["v"].to_list())
-        q_ids = queries["vec_id"].to_numpy()
-        found = VantageTree(lifted).search(np.concatenate([q, np.zeros((len(q), 1))], 1), k + 1, relax)[1]
-        out_q, out_v, out_s = [], [], []
-        for j in range(len(q)):
-            hit = found[j][found[j] >= 0]
-            score = np.array([float(np.dot(q[j], distinct[r])) for r in hit])
-            best: list[tuple[float, int]] = []
-            for r, s in zip(hit.tolist(), score.tolist(), strict=True):
-                some = ids[order[begins[r] : begins[r + 1]]]
-                some = some[some != q_ids[j]][:k]  # in order of id, so no more than k can count
-                best += [(-s, int(i)) for i in some]
-            best.sort()
-            for s, i in best[:k]:
-                out_q.append(int(q_ids[j]))
-                out_v.append(i)
-                out_s.append(-s)
-        return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
-
-    part = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        lifted = np.concatenate([distinct, np.sqrt(np.maximum(points["most"].iloc[0] - (distinct**2).sum(1, keepdims=True), 0.0))], 1)
+        first = points.iloc[0]
+        return pd.DataFrame({"length": [first["length"]], "shard": [first["shard"]], "blocks": [first["blocks"]], "tree": [pickle.dumps((VantageTree(lifted), ids[order], begins), protocol=5)]})
+
+    shard = F.pmod(F.xxhash64("row", F.lit(5)), F.col("shards")).cast("int")
+    trees = sized.select("row", "vec_id", "v", "length", "most", "blocks", shard.alias("shard")).groupBy("length", "shard").applyInPandas(build, "length int, shard int, blocks int, tree binary")
+    trees = cut(trees).select("length", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tree")
+    asked = sized.where("asks").select("length", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "v")
+
+    def search(tree: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out_r, out_q, out_v, out_s = [], [], [], []
+        if len(tree) and len(queries):
+            points, ids, begins = pickle.loads(tree["tree"].iloc[0])
+            q = np.stack(queries["v"].to_list())
+            rows, q_ids = queries["row"].to_numpy(), queries["vec_id"].to_numpy()
+            found = points.search(np.concatenate([q, np.zeros((len(q), 1))], 1), k + 1, relax)[1]
+            for j in range(len(q)):
+                best: list[tuple[float, int]] = []
+                for r in found[j][found[j] >= 0].tolist():
+                    score = float(np.dot(q[j], points.points[r, :-1]))
+                    some = ids[begins[r] : begins[r + 1]]
+                    best += [(-score, int(i)) for i in some[some != q_ids[j]][:k]]  # in order of id, so no more than k can count
+                best.sort()
+                for s, i in best[:k]:
+                    out_r.append(int(rows[j]))
+                    out_q.append(int(q_ids[j]))
+                    out_v.append(i)
+                    out_s.append(-s)
+        return pd.DataFrame({"row": np.array(out_r, np.int64), "query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
+
+    place = ["length", "shard", "block"]
+    part = trees.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(search, "row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

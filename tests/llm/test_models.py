@@ -105,3 +105,10 @@ def test_odd_vectors(spark):
     got = ann.nearest(df, lambda c: c % 20 == 0, k=5).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 2, 0.5)]
     assert ann.nearest(df.where("false"), lambda c: c % 20 == 0).count() == 0
+
+
+def test_each_length_and_each_row_of_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (40, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (60, [5.0])]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id bigint, embedding array<double>, row string, length int")
+    got = sorted(tuple(r) for r in ann.nearest(df, lambda c: c % 20 == 0, k=5, shard_rows=2).collect())
+    assert got == sorted([(20, 1, 1, 3.0), (20, 2, 2, 1.0), (20, 1, 2, 2.0), (20, 2, 1, 1.0), (40, 1, 3, 2.0)])
