@@ -21,7 +21,7 @@ def texts(n=220, seed=1):
 def test_scores(spark):
     rows = [*enumerate(texts()), (900, None), (901, ""), (901, ""), (None, "no id here"), (902, "A\tB  \n\n c")]
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], "doc_id bigint, text string, bucket string, score double")
-    got = lm_scoring.scores(docs, bucket_bytes=4000, mixer_types=500).collect()
+    got = lm_scoring.scores(docs, bucket_bytes=4000, part_bytes=6000).collect()
     assert len(got) == len(rows)
     split = {i: (t or "").lower().split() for i, t in rows}
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -32,16 +32,32 @@ def test_scores(spark):
         assert r["held_out"] == out(r["doc_id"]) and r["train_tokens"] == n and r["n_tokens"] == len(own) and r["n_known"] == sum(c[w] > 0 for w in own)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
         assert r["score"] < 0
-    held = [r for r in got if r["held_out"]]
-    size = sum(len(dict(rows)[r["doc_id"]] or "") for r in held)
-    assert -sum(r["score"] for r in held) / math.log10(2) / size < 4.0  # bits a byte
+        size = len((dict(rows)[r["doc_id"]] or "").encode())
+        assert r["bits_per_byte"] == (pytest.approx(-r["score"] / math.log10(2) / size) if size else None)
+    assert len({r["score"] for r in got if r["doc_id"] == 901}) == 1
+
+
+def test_held_out_texts_beat_the_base_score(spark):
+    """Words that follow one of three others: what the word before tells is worth some digits a token."""
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(5)) for _ in range(150)]
+    after = {w: [r.choice(words) for _ in range(3)] for w in words}
+    rows = []
+    for k in range(400):
+        own = [r.choice(words)]
+        while len(own) < 60:
+            own.append(r.choice(after[own[-1]]))
+        rows.append((k, " ".join(own)))
+    got = [x for x in lm_scoring.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if x["held_out"]]
+    assert len(got) > 30 and all(x["score"] > x["base_score"] for x in got)
+    assert sum(x["score"] for x in got) > 0.5 * sum(x["base_score"] for x in got)
 
 
 def test_tables_summed_in_steps(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts(80))), "doc_id bigint, text string")
-    once = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500).collect()}
+    once = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500, part_bytes=1500).collect()}
     monkeypatch.setattr(lm_scoring, "MOST_SENDERS", 1)
-    assert {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500).collect()} == pytest.approx(once)
+    assert {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs, bucket_bytes=1500, part_bytes=1500).collect()} == pytest.approx(once)
 
 
 def test_scores_of_an_empty_table(spark):
@@ -54,23 +70,78 @@ def test_scores_without_training_rows(spark):
     assert r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0
 
 
-def test_probabilities_sum_to_one():
-    """All one-byte words, ended by all that can end a token, and all longer ones together have probability one."""
-    r = random.Random(1)
-    types = [bytes([14]) + bytes(r.choice(b"abc") for _ in range(r.randint(0, 4))) + b" " for _ in range(300)]
-    counts = Counter(types)
-    own = sorted(counts)
-    tables = np.zeros((len(lm_scoring.ORDERS), 2, 1 << 14), np.float32)
-    lm_scoring.count_bits(own, np.array([counts[t] for t in own], float), 14, 2, tables)
-    mixer = lm_scoring.Mixer(14, tables)
-    first = lm_scoring.Nodes([bytes([14, b]) for b in range(256)])
-    log = np.zeros(len(first.byte))
-    for place, bit, slots in first.bits(14):
-        x, level = mixer.inputs(slots)
-        gate = lm_scoring.gates(place, level)
-        p = mixer.refined(mixer.mixed(x, gate), gate)
-        log += np.log10(np.where(bit, p, 1 - p))
-    assert (10 ** first.total(log)).sum() == pytest.approx(1.0)
+def test_order_of_words_and_other_copies_count(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(5)) for _ in range(60)]
+    once = [" ".join(r.choice(words) for _ in range(80)) for _ in range(60)]
+    shuffled = " ".join(sorted(once[0].split(), key=lambda w: r.random()))
+    rows = [*enumerate(once), (100, once[0]), (101, shuffled), (102, once[0])]
+    got = {x["doc_id"]: x["score"] for x in lm_scoring.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    single = [got[k] for k in range(1, 60)]
+    assert min(got[0], got[100], got[102]) > max(single) + 30 and got[101] < max(single) + 20
+
+
+def model_of(train, others):
+    """token_scores of ``others`` (text, trained) after counting ``train``; weights as they start."""
+    counts = Counter(w for t in train for w in [*lm_scoring.split(t), lm_scoring.END])
+    tables = np.zeros((len(lm_scoring.ORDERS), 2, 1 << lm_scoring.SLOT_BITS), np.float32)
+    lm_scoring.count_spelling(sorted(counts), tables)
+    seen = lm_scoring.Bucket(train, np.ones(len(train), bool), 1)
+    cells = np.bincount((seen.hash[seen.type] >> np.uint64(64 - lm_scoring.PATH - lm_scoring.CELL)).astype(np.int64), minlength=2 ** (lm_scoring.PATH + lm_scoring.CELL))
+    totals = lm_scoring.Totals(sum(counts.values()), len(counts), sum(n == 1 for n in counts.values()), cells)
+    asks = lm_scoring.Bucket([t for t, _ in others], np.array([y for _, y in others]), 1)
+    answers = []
+    for order, places in ((1, lm_scoring.PATH + 1), (2, lm_scoring.PATH + 2)):
+        plain = lm_scoring.Bucket([t for t, _ in others], np.zeros(len(others), bool), 1)
+        requests = [next(x[1:] for x in b.sent(order, 1)) for b in (seen, plain)]
+        answers.append(list(np.frombuffer(lm_scoring.unsqueeze(lm_scoring.answered(requests, order)[1]), np.uint8).reshape(places, -1)))
+    own = np.array([counts[w] for w in asks.types])
+    log = lm_scoring.token_scores(asks, answers, own, totals, tables, np.zeros(0, np.int64))
+    return [log[asks.doc == d] for d in range(len(others))], totals, tables
+
+
+def test_a_text_is_left_out_of_its_own_counts():
+    """Scored as a training text, it gets what it gets from counts without it."""
+    train = [t.encode() for t in texts(40)]
+    one, totals, tables = model_of(train, [(train[3], True)])
+    rest = train[:3] + train[4:]
+    counts = Counter(w for t in rest for w in [*lm_scoring.split(t), lm_scoring.END])
+    two, *_ = model_of(rest, [(train[3], False)])
+    known = np.array([counts[w] > 0 for w in [*lm_scoring.split(train[3]), lm_scoring.END]])
+    # Totals of the hash's cells are those of the whole corpus in both: of 40 texts one matters little.
+    assert np.abs(one[0] - two[0])[known].mean() < 0.05
+    assert one[0].sum() == pytest.approx(two[0].sum(), rel=0.03)
+    kept, *_ = model_of(train, [(train[3], False)])
+    assert kept[0].sum() > one[0].sum() + 2
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    train = [t.encode() for t in texts(60)]
+    words = sorted({w for t in train for w in lm_scoring.split(t)})
+    two = lm_scoring.split(train[0])[:2]
+    asked = [(b" ".join([*two, w]), False) for w in words] + [(b" ".join([*two, b"zzqqy"]), False), (b" ".join(two), False)]
+    logs, totals, tables = model_of(train, asked)
+    known = sum(10 ** log[2] for log in logs[:-2]) + 10 ** logs[-1][2]
+    new = 10 ** (logs[-2][2] - lm_scoring.Spelling(tables).log10([b"zzqqy"], np.zeros(1, np.int64))[0])
+    assert 0.95 < known + new <= 1.0 + 1e-6  # paths that no word has hold the rest
+    first = lm_scoring.Nodes([bytes([b]) for b in range(256)])
+    spelling = lm_scoring.Spelling(tables)
+    log = sum(spelling.mixer.log10(x, gate, bit) for x, gate, bit in spelling.decisions(first, np.zeros(len(first.byte))))
+    assert (10 ** first.per_word(log)).sum() == pytest.approx(1.0)
+
+
+def test_counts_along_paths():
+    r = np.random.RandomState(3)
+    context, cell, n = r.randint(0, 9, 500), r.randint(0, 2**20, 500) & 0b11000011000000000011, r.randint(0, 50, 500)
+    keys = (context.astype(np.uint64) << np.uint64(20)) | cell.astype(np.uint64)
+    halves = [(lm_scoring.squeeze_numbers(u), lm_scoring.squeeze(np.bincount(at, c).astype(np.uint32).tobytes()), u) for k, c in ((keys[:250], n[:250]), (keys[250:], n[250:])) for u, at in [np.unique(k, return_inverse=True)]]
+    given = lm_scoring.answered([h[:2] for h in halves], 2)
+    for (_, _, own), g in zip(halves, given, strict=True):
+        got = np.frombuffer(lm_scoring.unsqueeze(g), np.uint8).reshape(lm_scoring.PATH + 2, -1)
+        for at, k in enumerate(own.tolist()):
+            for place, shift in enumerate([*range(20, 11, -1), 0]):
+                true = sum(c for key, c in zip(keys.tolist(), n.tolist(), strict=True) if key >> shift == k >> shift)
+                assert lm_scoring._VALUES[got[place, at]] == (true if true <= 32 else pytest.approx(true, rel=0.09))
 
 
 def exact(ids, vectors, k):
