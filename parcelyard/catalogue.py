@@ -27,6 +27,7 @@ def _load() -> None:
     from .plans import (  # noqa: F401
         catalog_queries,
         embedding_queries,
+        file_queries,
         graph_queries,
         parcel_queries,
         population_queries,
