@@ -193,53 +193,79 @@ class Sets:
         return found
 
 
-def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links (a, b) between components within buckets that hold several, confirmed on full sets.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members(key, node, component, n_shingles)`` dealt for comparison: (key, lo, hi, own, node, component).
 
-    ``members(key, node, component, n_shingles, keys, signature, text)``. A bucket's texts are dealt in blocks of about ``BLOCK`` texts and
-    ``BLOCK_SHINGLES`` shingles, and each pair of blocks is one piece of work, so none holds more than two blocks. The blocks of the
-    bucket's largest component meet those of the rest only, so a bucket of n texts of which r are outside that component takes r * n
-    estimates. A pair that shares several buckets is looked at in the first only. Likely pairs come first, and a pair whose components
-    have met meanwhile needs no look, so at most one link less than there are texts leaves a block pair, and no pair that may link is
-    left out.
+    A bucket's texts are dealt in blocks of about ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles, and each pair of blocks is one piece of
+    work, so none holds more than two blocks. The blocks of the bucket's largest component meet those of the rest only, so a bucket of n
+    texts of which r are outside that component takes r * n comparisons. A bucket that fits in one block is one.
     """
-    percent, least = round(100 * threshold), fewest_matches(threshold)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    largest = F.max(F.struct("n", F.col("component").alias("c")))
-    whole = sizes.groupBy("key").agg(largest.alias("m"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"), F.max_by("w", F.struct("n", "component")).alias("w_major")).select(
-        "key", F.col("m.c").alias("major"), _blocks(F.col("m.n"), F.col("w_major")).alias("majors"), _blocks(F.col("n_all") - F.col("m.n"), F.col("w_all") - F.col("w_major")).alias("rests")
+    largest = F.struct("n", "component")
+    whole = sizes.groupBy("key").agg(F.max(largest).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max_by("w", largest).alias("w_major"))
+    one = _blocks(F.col("n"), F.col("w")) == 1
+    whole = whole.select(
+        "key",
+        F.col("m.component").alias("major"),
+        F.when(one, 0).otherwise(_blocks(F.col("m.n"), F.col("w_major"))).alias("majors"),
+        F.when(one, 1).otherwise(_blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("w_major"))).alias("rests"),
     )
     at = F.xxhash64("node")
-    numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     below = F.transform(numbers("majors"), lambda x: -1 - x)
-    dealt = (
+    return (
         members.join(whole, "key")
-        .withColumn("own", F.when(F.col("component") == F.col("major"), -1 - F.pmod(at, F.col("majors"))).otherwise(F.pmod(at, F.col("rests"))).cast("int"))
+        .withColumn("own", F.when((F.col("component") == F.col("major")) & (F.col("majors") > 0), -1 - F.pmod(at, F.col("majors"))).otherwise(F.pmod(at, F.col("rests"))).cast("int"))
         .withColumn("other", F.explode(F.when(F.col("own") < 0, numbers("rests")).otherwise(F.concat(numbers("rests"), below))))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "keys", "signature", "text")
-        .repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "node")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
     )
 
+
+def likely_pairs(own: np.ndarray, lo: int, hi: int, comp: np.ndarray, sig: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(equal fields, one row, other row) of the block pair's rows that may reach the threshold and whose components differ."""
+    first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
+    for at in range(0, len(first) if len(second) else 0, 64):
+        some = first[at : at + 64]
+        z = sig[some, None, :] ^ sig[None, second, :]
+        z |= z >> np.uint64(1)
+        z |= z >> np.uint64(2)
+        same = K - np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(2, dtype=np.int32)
+        i, j = np.nonzero((same >= least) & (comp[some, None] != comp[None, second]) & ((lo < hi) | (some[:, None] > second[None, :])))
+        yield same[i, j], some[i], second[j]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (key, lo, hi), which come one after another."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+
+    for _, group in groupby(rows(), key=lambda r: r[:3]):
+        yield list(group)
+
+
+def across(members: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) between components within buckets that hold several, confirmed on full sets.
+
+    ``members(key, node, component, n_shingles)``, ``texts(node, keys, signature, text)``. Texts come to the rows once they are dealt, so
+    they are shuffled once for the join and once to their blocks. A pair that shares several buckets is looked at in the first only. Likely pairs come first, and a pair whose components have met meanwhile needs no look, so at most one link less
+    than there are texts leaves a block pair, and no pair that may link is left out.
+    """
+    percent, least = round(100 * threshold), fewest_matches(threshold)
+    dealt = in_blocks(members).join(texts, "node").where(F.array_contains("keys", F.col("key"))).select("key", "lo", "hi", "own", "node", "component", "keys", "signature", "text")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
     def links(group: list[tuple], set_of: Callable[[int, bytes], np.ndarray]) -> Iterator[tuple[int, int]]:
         key, lo, hi = group[0][:3]
         own, node, comp = (np.array([g[k] for g in group]) for k in (3, 4, 5))
-        first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
-        if not len(first) or not len(second):
-            return
         keys, sig = np.array([g[6] for g in group]), np.array([g[7] for g in group]).view(np.uint64)
         band = int(np.nonzero(keys[0] == key)[0][0])
-        found = []
-        for at in range(0, len(first), 64):
-            some = first[at : at + 64]
-            z = sig[some, None, :] ^ sig[None, second, :]
-            z |= z >> np.uint64(1)
-            z |= z >> np.uint64(2)
-            same = K - np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(2, dtype=np.int32)
-            i, j = np.nonzero((same >= least) & (comp[some, None] != comp[None, second]) & ((lo < hi) | (some[:, None] > second[None, :])))
-            one, two = some[i], second[j]
+        found = [np.zeros((0, 3), np.int64)]
+        for same, one, two in likely_pairs(own, lo, hi, comp, sig, least):
             met_first = (keys[one, :band] != keys[two, :band]).all(1)
-            found.append(np.stack([same[i, j], one, two], 1)[met_first])
+            found.append(np.stack([same, one, two], 1)[met_first])
         parent: dict = {}
         found = np.concatenate(found)
         for i, j in found[np.argsort(-found[:, 0], kind="stable"), 1:].tolist():
@@ -253,14 +279,9 @@ def across(members: DataFrame, threshold: float, width: int) -> DataFrame:
                 yield int(node[j]), int(node[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
-
         set_of = Sets(width)
-        for _, group in groupby(rows(), key=lambda r: r[:3]):
-            found = list(links(list(group), set_of))
+        for group in grouped(batches):
+            found = list(links(group, set_of))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -303,7 +324,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     # One row of each class; rows of one doc_id with several sets are several classes and one node.
     texts = sketched.join(classes, (F.col("doc_id") == F.col("node")) & (sketched["set_key"] == classes["set_key"])).select("node", sketched["set_key"], "n_shingles", "keys", "signature")
     texts = cut(texts.dropDuplicates(["node", "set_key"]))
-    banded = texts.select("node", "n_shingles", F.explode("keys").alias("key"))
+    banded = texts.select("node", F.explode("keys").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
 
     stars = banded.join(buckets.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -317,10 +338,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75, width: int =
     wide = banded.join(buckets.where("n > 2").select("key"), "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     wide = cut(wide)
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = cut(wide.join(mixed, "key").distinct())
+    sizes = texts.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    members = cut(wide.join(mixed, "key").distinct().join(sizes, "node"))
     full = plain_texts(documents, members.select("node")).select(F.col("doc_id").alias("node"), "text")
-    signed = members.join(texts.select("node", "keys", "signature"), "node").where(F.array_contains("keys", F.col("key")))
-    more = cut(across(signed.join(full, "node"), threshold, width))
+    more = cut(across(members, texts.select("node", "keys", "signature").join(full, "node"), threshold, width))
     if not more.isEmpty():
         labels = components(links.union(more))
     for done in (texts, buckets, likely, links, wide, members, more):
