@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyard.llm import near_dedup, packing, secrets, toxicity
-from parcelyard.llm.common import cut, table
+from parcelyard.llm.common import cut, drop_tables, table, written
 
 THRESHOLD = 0.7
 
@@ -39,12 +39,14 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", clean_toxicity), ("near_dedup", near_deduplicate), ("secrets", mask_secrets), ("packing", pack_sequences)]
 
-#: Learned scores, components and tokenizers aren't expressible in SQL; tests hold run() against a plain version.
+#: Learned scores, components and tokenizers aren't expressible in SQL; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. What a stage wrote and read is deleted once the next has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        drop_tables(spark, since=before, keep=1)
     return docs

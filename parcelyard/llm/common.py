@@ -57,14 +57,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that ``cut`` wrote, but for the latest ``keep``. Call it when no result that reads them is needed any more."""
+def written() -> int:
+    """How many tables ``cut`` has written that are still there."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``cut`` wrote after ``written()`` was ``since``, but for the latest ``keep``. Call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for _, path in _written[: len(_written) - keep]:
+    until = max(since, len(_written) - keep)
+    for _, path in _written[since:until]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _written[: len(_written) - keep]
+    del _written[since:until]
 
 
 def drop_table(df_or_path) -> None:

@@ -25,7 +25,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.sharded(documents, shards).withColumn("law", F.lit("key"))
+    return sharding.sharded(documents, shards).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

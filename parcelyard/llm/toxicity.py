@@ -9,7 +9,7 @@ a word, or a piece of one, that fewer than ``min_docs`` toxic ones
 hold has no weight. Scoring covers every document and every sentence.
 
 Defined results: a null or empty text has no sentence and scores 0; a document without id is scored like any other but never trained
-on; conflicting labels of one id count as toxic; without labels of both classes every score is the share of toxic labels (0 if none).
+on; conflicting labels of one id count as toxic; of several texts under one id the least trains; without labels of both classes every score is the share of toxic labels (0 if none).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ RESULT = T.StructType(
 
 
 def features(word: str) -> list[str]:
-    """The word itself, and its runs of four and five letters with a mark for where it begins: inflected forms of an offensive stem share those."""
+    """The word itself, and its runs of four, five and six letters with a mark for where it begins: inflected forms of an offensive stem share those."""
     marked = "^" + word
     return ["=" + word, *{marked[k : k + n] for n in (4, 5, 6) for k in range(len(marked) - n + 1)}]
 
@@ -151,7 +151,8 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = 1500, **optio
     for k in (0, 1):
         part = marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(train_docs)
         picked = part if picked is None else picked.union(part)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").toPandas()
+    # One text an id, however often the id is there.
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
     return fit_bags(rows["text"].tolist(), rows["toxic"].tolist(), **options)
 
 
