@@ -29,7 +29,10 @@ def _load() -> None:
         embedding_queries,
         file_queries,
         graph_queries,
+        inference_queries,
+        layout_queries,
         parcel_queries,
+        path_queries,
         population_queries,
         similarity_queries,
         statistics_queries,

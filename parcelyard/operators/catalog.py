@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The entities of file names and what follows them, and the names that stand for a metabolite.
-TAGS = {"subject": "sub-([A-Za-z0-9]+)", "session": "ses-([A-Za-z0-9]+)", "acq": "acq-([A-Za-z0-9]+)", "run": "run-([0-9]+)", "space": "space-([A-Za-z0-9]+)", "atlas": "atlas-([A-Za-z0-9-]+)", "scale": "scale([0-9]+)", "grow": "grow([0-9]+)mm", "npert": "npert-?([0-9]+)", "met": "met-([A-Za-z0-9]+)", "desc": "desc-([A-Za-z0-9]+)", "suffix": "_([A-Za-z0-9]+)[.]"}
+TAGS = {"subject": "sub-([^_]+)", "session": "ses-([^_]+)", "run": "run-([^_]+)", "acq": "acq-([^_]+)", "space": "space-([^_]+)", "atlas": "atlas-(?:chimera)?([^_]+)", "scale": "scale([0-9]+)", "grow": "grow([0-9]+)mm", "npert": "npert[-_]([0-9]+)", "filt": "filt([^_]+)", "met": "met-([^_]+)", "res": "res-([^_]+)", "desc": "desc-([^_.]+)", "suffix": "_([A-Za-z0-9]+)[.]"}
 NUMBERS = {"scale", "grow", "npert"}
 SYNONYMS = {"Glx": "GluGln", "tNAA": "NAANAAG", "tCr": "CrPCr", "Cho": "GPCPCh"}
 
 
 def tag(name: Column, which: str) -> Column:
-    """One entity of a file name; null if it isn't there."""
+    """One entity of a file's name, whatever its folders hold; null if it isn't there."""
+    name = F.element_at(F.split(name, "/"), -1)
     found = F.nullif(F.regexp_extract(name, TAGS[which], 1), F.lit(""))
     return found.try_cast("int") if which in NUMBERS else found
 
@@ -169,8 +170,10 @@ def _compared(name: str, op: str, value: str, numeric: bool) -> Column:
     return F.coalesce(test, F.lit(op == "!="))
 
 
-def selection_suffix(terms: list[str], columns: list[str]) -> str:
-    """A name for the selection: sel-<col>-in<a>_<b> for alternatives, -<op in letters><value> for the rest."""
+def selection_suffix(terms: list[str], columns: list[str], strict: bool = False) -> str:
+    """A name for the selection: sel-<col>-in<a>_<b> for alternatives, -<op in letters><value> for the rest. ``strict``: <col>-<op><value> of each term, signs as they are."""
+    if strict:
+        return "_".join(f"{name}-{op}{value}" for name, op, value in selections(terms, columns))
     words = {">=": "ge", "<=": "le", "!=": "ne", ">": "gt", "<": "lt"}
     parts: dict[str, list[str]] = {}
     equal: dict[str, list[str]] = {}

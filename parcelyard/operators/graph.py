@@ -62,7 +62,7 @@ def k_hop(edges: DataFrame, k: int) -> DataFrame:
     front, links = found, edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")).distinct()
     for n in range(2, k + 1):
         step = front.join(links, "dst").select("src", F.col("to").alias("dst")).where("src <> dst").distinct()
-        front = step.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n))
+        front = cut(step.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)))
         found = found.unionByName(front)
     return found
 
@@ -84,26 +84,30 @@ def components(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, start: int, cutoff: int, goal: int | None = None) -> DataFrame:
-    """(nodes, length): paths without repeated nodes from ``start`` of 1 to ``cutoff`` links, by joins that lengthen them."""
-    links = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct()
+    """(nodes, length): paths without repeated nodes from ``start`` of 1 to ``cutoff`` links, by joins that lengthen them; each length is written once."""
+    links = cut(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct())
     front = links.where(F.col("_at") == start).where("_at <> _to").select(F.array("_at", "_to").alias("nodes"))
     found = front
     for _ in range(cutoff - 1):
         grow = front if goal is None else front.where(F.element_at("nodes", -1) != goal)
-        front = grow.withColumn("_at", F.element_at("nodes", -1)).join(links, "_at").where(~F.array_contains("nodes", F.col("_to"))).select(F.concat("nodes", F.array("_to")).alias("nodes"))
+        front = cut(grow.withColumn("_at", F.element_at("nodes", -1)).join(links, "_at").where(~F.array_contains("nodes", F.col("_to"))).select(F.concat("nodes", F.array("_to")).alias("nodes")))
+        if front.isEmpty():
+            break
         found = found.union(front)
     found = found if goal is None else found.where(F.element_at("nodes", -1) == goal)
     return found.withColumn("length", F.size("nodes") - 1)
 
 
 def shortest_paths(edges: DataFrame, start: int, most: int) -> DataFrame:
-    """(node, path, length): of the shortest paths from ``start``, the least node list; nodes within ``most`` links."""
-    links = edges.select(F.col("src").alias("_at"), F.col("dst").alias("node")).distinct()
+    """(node, path, length): of the shortest paths from ``start``, the least node list; nodes within ``most`` links. A step reads what the one before wrote."""
+    links = cut(edges.select(F.col("src").alias("_at"), F.col("dst").alias("node")).distinct())
     found = links.sparkSession.range(1).select(F.lit(start).cast("int").alias("node"), F.array(F.lit(start).cast("int")).alias("path"))
     front = found
     for _ in range(most):
         step = front.withColumnRenamed("node", "_at").join(links, "_at").select(F.col("node").cast("int").alias("node"), F.concat("path", F.array(F.col("node").cast("int"))).alias("path"))
-        front = step.join(found, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        front = cut(step.join(found, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found.withColumn("length", F.size("path") - 1)
 

@@ -97,3 +97,32 @@ def nearest_edges(queries: DataFrame, points: DataFrame, node: str, vector: str,
     d = F.round(F.sqrt(dot(gap, gap)), digits)
     best = a.crossJoin(b).withColumn("d", d).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
     return best.select("i", "j", "rank", F.exp(-F.col("d")).alias("w"))
+
+
+def p_of(sim: DataFrame) -> DataFrame:
+    """(.., r, n) with p: two-sided, of t = r sqrt((n - 2) / (1 - r^2)) with n - 2 degrees of freedom; 0 for |r| = 1."""
+    from .statistics import student_p_column
+
+    t = F.when(F.abs("r") >= 1, F.lit(float("inf"))).otherwise(t_value(F.col("r"), F.col("n")))
+    return sim.withColumn("p", student_p_column(t, (F.col("n") - 2).cast("double")))
+
+
+def with_p(df: DataFrame, node: str, keys: list[str], value: str, mode: str = "spearman", ignored: list | None = None) -> DataFrame:
+    """(i, j, r, n, p, valid): similarity matrix with p in one plan.
+
+    A pair isn't valid if one of its nodes is ignored, has a null or NaN mean, or sums to 0, or if a side is constant; then r and p are 0.
+    """
+    v = F.col(value)
+    sound = df.groupBy(node).agg((F.count_if(v.isNull() | F.isnan(v)) == 0).alias("_whole"), F.sum(F.nanvl(v, F.lit(0.0))).alias("_sum"))
+    sound = sound.select(node, (F.col("_whole") & (F.col("_sum") != 0) & (~F.col(node).isin(ignored) if ignored else F.lit(True))).alias("_ok"))
+    clean = df.withColumn(value, F.when(F.isnan(v), None).otherwise(v)).where(F.col(value).isNotNull())
+    sim = (spearman if mode == "spearman" else pearson)(clean, node, keys, value)
+    both = sim.join(sound.select(F.col(node).alias("i"), F.col("_ok").alias("_a")), "i").join(sound.select(F.col(node).alias("j"), F.col("_ok").alias("_b")), "j")
+    valid = F.col("_a") & F.col("_b") & F.col("r").isNotNull()
+    found = p_of(both.withColumn("valid", valid).withColumn("r", F.when(valid, F.col("r")).otherwise(0.0)))
+    return found.select("i", "j", "r", "n", F.when(F.col("valid"), F.col("p")).otherwise(0.0).alias("p"), "valid")
+
+
+def kept_by_p(sim: DataFrame, alpha: float, draws: int) -> DataFrame:
+    """r where p is at most alpha / draws, else 0."""
+    return sim.withColumn("r", F.when(F.col("p") > alpha / draws, 0.0).otherwise(F.col("r")))

@@ -42,17 +42,19 @@ def holes(mask: DataFrame, flag: str) -> DataFrame:
 
 
 def median_inpainted(volume: DataFrame, where: DataFrame, value: str) -> DataFrame:
-    """``volume`` with the median of the (up to 26) points around in place of the values at ``where``."""
-    holes_ = where.select(*XYZ).distinct()
-    wanted = neighbours(holes_.withColumns({f"_c{a}": F.col(a) for a in XYZ}), AROUND)
-    med = wanted.join(volume.select(*XYZ, value), XYZ).groupBy(*(f"_c{a}" for a in XYZ)).agg(F.percentile(value, 0.5).alias("_med"))
+    """``volume`` with the median of the 26 points around in place of the values at ``where``. Beyond its borders the volume is mirrored at its outermost points."""
+    ends = volume.agg(*(f(a).alias(f"_{n}{a}") for a in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
+    wanted = neighbours(where.select(*XYZ).distinct().withColumns({f"_c{a}": F.col(a) for a in XYZ}), AROUND).crossJoin(F.broadcast(ends))  # one row is broadcast
+    inside = {a: F.when(F.col(a) < F.col(f"_lo{a}"), 2 * F.col(f"_lo{a}") - F.col(a)).when(F.col(a) > F.col(f"_hi{a}"), 2 * F.col(f"_hi{a}") - F.col(a)).otherwise(F.col(a)) for a in XYZ}
+    med = wanted.withColumns(inside).join(volume.select(*XYZ, value), XYZ).groupBy(*(f"_c{a}" for a in XYZ)).agg(F.percentile(value, 0.5).alias("_med"))
     med = med.withColumnsRenamed({f"_c{a}": a for a in XYZ})
     return volume.join(med, XYZ, "left").withColumn(value, F.coalesce("_med", value)).drop("_med")
 
 
-def smoothed(volume: DataFrame, value: str, fwhm: float, reach: int = 2) -> DataFrame:
-    """Separable Gaussian smoothing, an axis at a time; weights are renormalised where neighbours are missing."""
+def smoothed(volume: DataFrame, value: str, fwhm: float) -> DataFrame:
+    """Separable Gaussian smoothing to four deviations, an axis at a time; weights are renormalised where neighbours are missing."""
     sigma = fwhm / (2 * math.sqrt(2 * math.log(2)))
+    reach = int(4 * sigma + 0.5)
     out = volume.select(*XYZ, value)
     for axis in XYZ:
         taps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(math.exp(-(k * k) / (2 * sigma * sigma))).alias("g")) for k in range(-reach, reach + 1)))

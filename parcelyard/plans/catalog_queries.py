@@ -24,12 +24,21 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), subject.alias("subject"), session.alias("session"), name.alias("name"))
 
 
-@query(
-    REC,
-    sql="select id, nullif(regexp_extract(name, 'sub-([A-Za-z0-9]+)', 1), '') as subject, nullif(regexp_extract(name, 'ses-([A-Za-z0-9]+)', 1), '') as session, nullif(regexp_extract(name, 'run-([0-9]+)', 1), '') as run, nullif(regexp_extract(name, 'atlas-([A-Za-z0-9-]+)', 1), '') as atlas, try_cast(nullif(regexp_extract(name, 'scale([0-9]+)', 1), '') as int) as scale, try_cast(nullif(regexp_extract(name, 'npert-?([0-9]+)', 1), '') as int) as npert, nullif(regexp_extract(name, '_([A-Za-z0-9]+)[.]', 1), '') as suffix from rec",
-)
+TAGGED = "tg as (select id, case when id % 4 = 0 then 'x/sub-a/' else '' end || replace(name, '_dseg', case id % 3 when 0 then '_npert-' || (id % 50) || '_filtbiharmonic' when 1 then '_met-Ins_res-5mm' else '' end || '_dseg') as name, regexp_extract(name, '[^/]*$') as base from rec)"
+NUMBER_TAGS = ("scale", "grow", "npert")
+
+
+def _tag_sql(name: str) -> str:
+    found = f"nullif(regexp_extract(regexp_extract(name, '[^/]*$'), '{catalog.TAGS[name]}', 1), '')"
+    return f"try_cast({found} as int) as {name}" if name in NUMBER_TAGS else f'{found} as "{name}"'
+
+
+@query(REC, TAGGED, sql="select id, " + ", ".join(map(_tag_sql, catalog.TAGS)) + " from tg")
 def bids_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.with_tags(recordings(spark, sf_dir).select("id", "name"), "name", ["subject", "session", "run", "atlas", "scale", "npert", "suffix"]).drop("name")
+    k = F.col("id")
+    extra = F.when(k % 3 == 0, F.concat(F.lit("_npert-"), (k % 50).cast("string"), F.lit("_filtbiharmonic"))).when(k % 3 == 1, "_met-Ins_res-5mm").otherwise("")
+    name = F.concat(F.when(k % 4 == 0, "x/sub-a/").otherwise(""), F.replace("name", F.lit("_dseg"), F.concat(extra, F.lit("_dseg"))))
+    return catalog.with_tags(recordings(spark, sf_dir).select("id", name.alias("name")), "name").drop("name")
 
 
 @query(

@@ -37,7 +37,11 @@ def hole_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.holes(cells(spark, sf_dir).withColumn("m", F.col("value") > 2), "m")
 
 
-@query(SPIKE, f"med as (select b.x, b.y, b.z, quantile_cont(a.value, 0.5) as m from spike b join vox a on {NEAR} group by all)", sql="select x, y, z, round(coalesce(m, value), 6) as value from vox left join med using (x, y, z)")
+@query(
+    SPIKE,
+    "en as (select max(x) as hx, max(y) as hy, max(z) as hz from vox), o as (select dx, dy, dz from range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz) where dx <> 0 or dy <> 0 or dz <> 0), at_ as (select x, y, z, case when abs(x + dx) > hx then 2 * hx - (x + dx) else abs(x + dx) end as px, case when abs(y + dy) > hy then 2 * hy - (y + dy) else abs(y + dy) end as py, case when abs(z + dz) > hz then 2 * hz - (z + dz) else abs(z + dz) end as pz from spike, o, en)",
+    "med as (select t.x, t.y, t.z, quantile_cont(a.value, 0.5) as m from at_ t join vox a on a.x = px and a.y = py and a.z = pz group by all)",
+    sql="select x, y, z, round(coalesce(m, value), 6) as value from vox left join med using (x, y, z)")
 def median_inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volumes.median_inpainted(cells(spark, sf_dir), spike_mask(spark, sf_dir), "value"), "value")
 
@@ -46,7 +50,7 @@ def _axis(source: str, axis: str, fwhm: float) -> str:
     s = fwhm / (2 * math.sqrt(2 * math.log(2)))
     on = " and ".join(f"a.{c} = b.{c}" for c in "xyz" if c != axis)
     g = f"exp(-((a.{axis} - b.{axis}) ** 2) / {2 * s * s!r}::double)"
-    return f"(select b.x, b.y, b.z, sum(a.value * {g}) / sum({g}) as value from {source} a join {source} b on {on} and a.{axis} between b.{axis} - 2 and b.{axis} + 2 group by all)"
+    return f"(select b.x, b.y, b.z, sum(a.value * {g}) / sum({g}) as value from {source} a join {source} b on {on} and a.{axis} between b.{axis} - {int(4 * s + 0.5)} and b.{axis} + {int(4 * s + 0.5)} group by all)"
 
 
 @query(VOX, f"s1 as {_axis('vox', 'x', 2.5)}", f"s2 as {_axis('s1', 'y', 2.5)}", f"s3 as {_axis('s2', 'z', 2.5)}", sql="select x, y, z, round(value, 5) as value from s3")

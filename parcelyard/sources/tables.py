@@ -37,9 +37,12 @@ def read_atlas_xml(spark: SparkSession, path: str, prefix: str = "") -> DataFram
 
 
 def read_colour_map(spark: SparkSession, path: str) -> DataFrame:
-    """(r, g, b) lines of three numbers."""
+    """(n, r, g, b) lines of three numbers, in order; an error unless there are 256."""
     parts = F.split(F.trim("value"), r"[\s,]+")
-    return spark.read.text(path).where(F.trim("value") != "").select(*(parts[k].cast("double").alias(c) for k, c in enumerate("rgb")))
+    lines = spark.read.text(path).coalesce(1).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("n"), *(parts[k].cast("double").alias(c) for k, c in enumerate("rgb")))
+    if (count := lines.count()) != 256:
+        raise ValueError(f"a colour map has 256 lines, not {count}")
+    return lines
 
 
 def read_participants(spark: SparkSession, path: str, distinct: bool = True, drop_sessions: tuple[str, ...] = ("V2BIS",)) -> DataFrame:
@@ -51,8 +54,27 @@ def read_participants(spark: SparkSession, path: str, distinct: bool = True, dro
     raw = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).csv(path)
     named = aliased(raw, {"subject": ["participant_id", "participant", "subject_id", "sub", "id"], "session": ["session_id", "ses", "visit"]})
     rows = named.coalesce(1).withColumn("ord", F.monotonically_increasing_id())
-    found = pairs(rows, "subject", "session", "ord") if distinct else rows.where("subject is not null and session is not null")
-    return found.where(~F.col("session").isin(*drop_sessions))
+    found = pairs(rows, "subject", "session", "ord") if distinct else rows
+    return without_sessions(found, drop_sessions)
+
+
+def without_sessions(rows: DataFrame, dropped: tuple[str, ...] = ("V2BIS",)) -> DataFrame:
+    """``rows`` without those sessions; rows without a session stay."""
+    for session in dropped:
+        rows = rows.where(~F.col("session").eqNullSafe(session))
+    return rows
+
+
+def recordings_to_process(spark: SparkSession, path: str, participants: str | None = None) -> DataFrame:
+    """(subject, session) in order: those of a participant list, if one is given, else the folders sub-*/ses-* under ``path``."""
+    found = read_participants(spark, participants).orderBy("ord") if participants else discover_recordings(spark, path).orderBy("subject", "session")
+    return found.select("subject", "session")
+
+
+def recordings_with(spark: SparkSession, path: str, modality: str) -> DataFrame:
+    """(subject, session, files) of the recordings whose folder of a modality holds files, by subject."""
+    files = listing(spark, path).select(F.regexp_extract("path", "/sub-([^/]+)/ses-([^/]+)/([^/]+)/", 1).alias("subject"), F.regexp_extract("path", "/sub-([^/]+)/ses-([^/]+)/([^/]+)/", 2).alias("session"), F.regexp_extract("path", "/sub-([^/]+)/ses-([^/]+)/([^/]+)/", 3).alias("modality"))
+    return files.where(F.col("modality") == modality).groupBy("subject", "session").agg(F.count("*").alias("files")).orderBy("subject", "session")
 
 
 def discover_recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -82,3 +104,23 @@ def write_matrix_text(matrix: DataFrame, path: str, row: str = "i", col: str = "
     cell = F.struct(F.col(col).alias("c"), F.format_string(f"%.{digits}f", F.col(value)).alias("v"))
     lines = matrix.groupBy(row).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     lines.orderBy(row).select(F.array_join(F.transform("cells", lambda x: x["v"]), " ").alias("value")).coalesce(1).write.text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    df.write.json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).csv(path)
+
+
+def write_statistic_inputs(stack: DataFrame, places: DataFrame, design: DataFrame, path: str, by: str = "subject") -> None:
+    """The text inputs of a network statistic: a matrix a recording, node coordinates, node labels and the design, each a folder of text."""
+    for r in stack.select(by).distinct().orderBy(by).collect():  # one row a recording
+        write_matrix_text(stack.where(F.col(by) == r[0]), f"{path}/matrices/{r[0]}")
+    number = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
+    places.orderBy("node").select(F.concat_ws(" ", *(number(c) for c in "xyz")).alias("value")).coalesce(1).write.text(f"{path}/coordinates")
+    places.orderBy("node").select(F.col("name").alias("value")).coalesce(1).write.text(f"{path}/labels")
+    columns = [c for c in design.columns if c != by]
+    design.orderBy(by).select(F.concat_ws(" ", *(number(c) for c in columns)).alias("value")).coalesce(1).write.text(f"{path}/design")

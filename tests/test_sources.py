@@ -56,8 +56,12 @@ def test_participants(spark, tmp_path):
 def test_xml_colours_and_listing(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<atlas><data><label index="1">one</label><label index="2">two</label></data></atlas>')
     assert {(r["idx"], r["name"]) for r in tables.read_atlas_xml(spark, str(tmp_path / "a.xml"), "x-").collect()} == {(1, "x-one"), (2, "x-two")}
-    (tmp_path / "c.txt").write_text("0.1 0.2 0.3\n1 1 1\n")
-    assert tables.read_colour_map(spark, str(tmp_path / "c.txt")).count() == 2
+    (tmp_path / "c.txt").write_text("0.1 0.2 0.3\n" + "1 1 1\n" * 255)
+    colours = tables.read_colour_map(spark, str(tmp_path / "c.txt")).orderBy("n").collect()
+    assert len(colours) == 256 and (colours[0]["r"], colours[1]["r"]) == (0.1, 1.0)
+    (tmp_path / "short.txt").write_text("1 1 1\n")
+    with pytest.raises(ValueError):
+        tables.read_colour_map(spark, str(tmp_path / "short.txt"))
     d = tmp_path / "sub-1" / "ses-V1"
     d.mkdir(parents=True)
     (d / "x.nii").write_bytes(b"1")
@@ -70,3 +74,28 @@ def test_bundle_and_matrix_text(spark, tmp_path):
     assert tables.read_bundle(spark, str(tmp_path / "b"), ["m"])["m"].count() == 4
     tables.write_matrix_text(m, str(tmp_path / "t"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1.000000 0.500000", "0.500000 1.000000"]
+
+
+def test_recordings_with_a_modality(spark, tmp_path):
+    for sub, kind in (("2", "anat"), ("1", "anat"), ("1", "mrsi")):
+        d = tmp_path / f"sub-{sub}" / "ses-V1" / kind
+        d.mkdir(parents=True)
+        (d / "x.nii").write_bytes(b"1")
+    assert [tuple(r) for r in tables.recordings_with(spark, str(tmp_path), "anat").collect()] == [("1", "V1", 1), ("2", "V1", 1)]
+    assert [tuple(r) for r in tables.recordings_to_process(spark, str(tmp_path)).collect()] == [("1", "V1"), ("2", "V1")]
+
+
+def test_statistic_inputs(spark, tmp_path):
+    stack = spark.createDataFrame([(s, i, j, float(i + j)) for s in ("a", "b") for i in (0, 1) for j in (0, 1)], "subject string, i int, j int, w double")
+    places = spark.createDataFrame([(0, 1.0, 2.0, 3.0, "one"), (1, 4.0, 5.0, 6.0, "two")], "node int, x double, y double, z double, name string")
+    design = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "subject string, group double")
+    tables.write_statistic_inputs(stack, places, design, str(tmp_path / "out"))
+    read = lambda name: [r[0] for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
+    assert read("matrices/a") == ["0.000000 1.000000", "1.000000 2.000000"] and read("coordinates")[0] == "1.000000 2.000000 3.000000" and read("labels") == ["one", "two"] and read("design") == ["1.000000", "0.000000"]
+
+
+def test_json_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.write_json(df, str(tmp_path / "j"))
+    tables.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 1 and spark.read.option("header", True).csv(str(tmp_path / "c")).first()["v"] == "a"
