@@ -96,24 +96,20 @@ def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recursive " + EDGES,
-    "few as (select src, dst from (select *, row_number() over (order by w desc, least(src, dst), greatest(src, dst), src) as n from edges) where n <= 24)",
-    "reach as (select src as node, src as to_ from few union select reach.node, few.dst from reach join few on few.src = reach.to_)",
+    "reach as (select src as node, src as to_ from edges union select reach.node, edges.dst from reach join edges on edges.src = reach.to_)",
     sql="select node, min(to_) as component from reach group by all",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = edges(spark, sf_dir).orderBy(F.desc("w"), F.least("src", "dst"), F.greatest("src", "dst"), "src").limit(24)
-    return graph.components(few)
+    return graph.components(edges(spark, sf_dir))
 
 
 @query(
     "recursive " + EDGES,
-    "few as (select src, dst from (select *, row_number() over (order by w desc, least(src, dst), greatest(src, dst), src) as n from edges) where n <= 24)",
-    "reach as (select src as node, src as to_ from few union select reach.node, few.dst from reach join few on few.src = reach.to_)",
+    "reach as (select src as node, src as to_ from edges union select reach.node, edges.dst from reach join edges on edges.src = reach.to_)",
     sql="select a.node as a, b.node as b, exists (from reach where reach.node = a.node and to_ = b.node) as reachable from (select distinct node from reach) a, (select distinct node from reach) b where a.node < b.node",
 )
 def has_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = edges(spark, sf_dir).orderBy(F.desc("w"), F.least("src", "dst"), F.greatest("src", "dst"), "src").limit(24)
-    c = graph.components(few)
+    c = graph.components(edges(spark, sf_dir))
     a, b = c.select(F.col("node").alias("a"), F.col("component").alias("ca")), c.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("ca") == F.col("cb")).alias("reachable"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
+from ..functions.lineage import cut
 from ..functions.rng import keyed_sql
 from ..operators import nulls, similarity, statistics
 from .parcel_queries import rounded
@@ -43,7 +44,8 @@ def permuted_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.components_by_permutation(permuted_t(spark, sf_dir), 3.0)
+    """Written once: observed and null components are both read off it."""
+    return cut(statistics.components_by_permutation(cut(permuted_t(spark, sf_dir)), 3.0))
 
 
 @query(OBS, "c as (select a.parcel as i, b.parcel as j, corr(a.value, b.value) as r from obs a join obs b using (metabolite, pert) where a.parcel <= b.parcel group by 1, 2)", sql="select i, j, round(atanh(least(greatest(r, -0.999999), 0.999999)), 6) as z from c")
