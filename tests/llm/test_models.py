@@ -88,14 +88,14 @@ def model_of(train, others):
     lm_scoring.count_spelling(sorted(counts), tables)
     seen = lm_scoring.Bucket(train, np.ones(len(train), bool), 1)
     cells = np.bincount((seen.hash[seen.type] >> np.uint64(64 - lm_scoring.PATH - lm_scoring.CELL)).astype(np.int64), minlength=2 ** (lm_scoring.PATH + lm_scoring.CELL))
-    totals = lm_scoring.Totals(sum(counts.values()), len(counts), sum(n == 1 for n in counts.values()), cells)
+    pairs = np.bincount(lm_scoring.pair_codes(seen.hash[seen.type], seen.before), minlength=2 ** (lm_scoring.BEFORE + lm_scoring.PATH))
+    totals = lm_scoring.Totals(sum(counts.values()), len(counts), sum(n == 1 for n in counts.values()), cells, pairs)
     asks = lm_scoring.Bucket([t for t, _ in others], np.array([y for _, y in others]), 1)
-    answers = []
-    for order, places in ((1, lm_scoring.PATH + 1), (2, lm_scoring.PATH + 2)):
-        plain = lm_scoring.Bucket([t for t, _ in others], np.zeros(len(others), bool), 1)
-        requests = [next(x[1:] for x in b.sent(order, 1)) for b in (seen, plain)]
-        answers.append(list(np.frombuffer(lm_scoring.unsqueeze(lm_scoring.answered(requests, order)[1]), np.uint8).reshape(places, -1)))
+    plain = lm_scoring.Bucket([t for t, _ in others], np.zeros(len(others), bool), 1)
+    requests = [next(x[1:] for x in b.sent(1)) for b in (seen, plain)]
+    answers = list(np.frombuffer(lm_scoring.unsqueeze(lm_scoring.answered(requests)[1]), np.uint8).reshape(lm_scoring.PATH + 2, -1))
     own = np.array([counts[w] for w in asks.types])
+    tables = lm_scoring.SpellingTables(tables)
     log = lm_scoring.token_scores(asks, answers, own, totals, tables, np.zeros(0, np.int64))
     return [log[asks.doc == d] for d in range(len(others))], totals, tables
 
@@ -126,7 +126,7 @@ def test_probabilities_of_all_words_sum_to_one():
     assert 0.95 < known + new <= 1.0 + 1e-6  # paths that no word has hold the rest
     first = lm_scoring.Nodes([bytes([b]) for b in range(256)])
     spelling = lm_scoring.Spelling(tables)
-    log = sum(spelling.mixer.log10(x, gate, bit) for x, gate, bit in spelling.decisions(first, np.zeros(len(first.byte))))
+    log = sum(spelling.mixer.log10(x, gate, bit) for x, gate, bit in spelling.decisions(first, 0))
     assert (10 ** first.per_word(log)).sum() == pytest.approx(1.0)
 
 
@@ -135,7 +135,7 @@ def test_counts_along_paths():
     context, cell, n = r.randint(0, 9, 500), r.randint(0, 2**20, 500) & 0b11000011000000000011, r.randint(0, 50, 500)
     keys = (context.astype(np.uint64) << np.uint64(20)) | cell.astype(np.uint64)
     halves = [(lm_scoring.squeeze_numbers(u), lm_scoring.squeeze(np.bincount(at, c).astype(np.uint32).tobytes()), u) for k, c in ((keys[:250], n[:250]), (keys[250:], n[250:])) for u, at in [np.unique(k, return_inverse=True)]]
-    given = lm_scoring.answered([h[:2] for h in halves], 2)
+    given = lm_scoring.answered([h[:2] for h in halves])
     for (_, _, own), g in zip(halves, given, strict=True):
         got = np.frombuffer(lm_scoring.unsqueeze(g), np.uint8).reshape(lm_scoring.PATH + 2, -1)
         for at, k in enumerate(own.tolist()):
