@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if path is None:
+            if sc.master != "local" and not sc.master.startswith(("local[", "local*")):
+                raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all hosts share")
             path = tempfile.mkdtemp(prefix="parcelyard-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             path = "file://" + path
