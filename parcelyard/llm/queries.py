@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, bpe, html_extract, lm_scoring, media, near_dedup, packing, secrets, sharding, toxicity
-from .common import id_bucket, table
+from . import ann, bpe, html_extract, lexical, lm_scoring, media, near_dedup, packing, secrets, sharding, token_files, toxicity
+from .common import id_bucket, shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,6 +92,16 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_arrow_sequences(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = f"{shared_dir(spark)}/sequences/{uuid.uuid4().hex}"
+    token_files.write_sequences(table(spark, sf_dir, "documents"), path, tokenizer or tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op12_sorted_accumulation(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 #: Exact SQL for what SQL can express: all pairs that share a shingle, and the closure of their links.
@@ -105,5 +116,18 @@ shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a jo
 links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
 reach as (select doc_id as a, doc_id as b from documents union select reach.a, links.b from reach join links on links.a = reach.b)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
-from documents d left join sizes using (doc_id) join (select a, min(b) as component_id from reach group by all) m on m.a = d.doc_id"""
+from documents d left join sizes using (doc_id) join (select a, min(b) as component_id from reach group by all) m on m.a = d.doc_id""",
+    "op12_sorted_accumulation": r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+sizes as (select doc_id, count(*) as n from terms group by all),
+whole as (select count(*) as nn, sum(n)::bigint as ll from sizes),
+tfs as (select doc_id, t, count(*) as tf from terms semi join asked using (t) group by all),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*) as df from tfs group by all), whole),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll))))::bigint as score
+  from asked join tfs using (t) join weights using (t) join sizes using (doc_id), whole group by all)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 50""",
 }
