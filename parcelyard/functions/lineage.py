@@ -6,19 +6,28 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local_dirs: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, one machine)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith(("local[", "local*")):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all hosts share")
+        if not _local_dirs:
+            _local_dirs.append(tempfile.mkdtemp(prefix="parcelyard-"))
+            atexit.register(shutil.rmtree, _local_dirs[0], ignore_errors=True)
+        path = "file://" + _local_dirs[0]
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the session names; a temporary one only where none is named (tests, one machine)."""
+    """Checkpoint into the shared folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            if sc.master != "local" and not sc.master.startswith(("local[", "local*")):
-                raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all hosts share")
-            path = tempfile.mkdtemp(prefix="parcelyard-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-            path = "file://" + path
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
