@@ -92,7 +92,9 @@ def radix_order(key: np.ndarray) -> np.ndarray:
 
 def best(item: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     """Rows of each item's ``k`` highest scores, equal ones by document; items in ascending order in, in any order out."""
-    begins = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, np.int64)
+    if not len(item):
+        return np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
     ends, kept = np.append(begins[1:], len(item)), []
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         if b - a > k:
@@ -102,7 +104,7 @@ def best(item: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int) -> np.nda
             kept.append(some)
         else:
             kept.append(np.arange(a, b))
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return np.concatenate(kept)
 
 
 def accumulated(term: np.ndarray, count: np.ndarray, doc: np.ndarray, m: np.ndarray, vocabulary: Vocabulary, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -46,7 +46,7 @@ LENGTH, END = 2048, 2
 
 
 class PieceEncoder(dict):
-    """Ids of texts as bytes. The dict remembers what follows a blank; ``bare`` what doesn't."""
+    """Ids of texts as bytes. The dict remembers what follows a blank; ``bare`` what doesn't; both up to a bound."""
 
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Letters under U+0250; below it there are no others, so a run of them ends where the pattern's run of letters ends.
@@ -60,7 +60,7 @@ class PieceEncoder(dict):
     #: What ``PIECES`` doesn't part rightly: other letters, and white space whose last character is a token of its own.
     HARD = re.compile("[^\x00-\u024f]|\\s[^\\S ]")
 
-    def __init__(self, definition: str, remembered: int = 1_200_000):
+    def __init__(self, definition: str, remembered: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -69,6 +69,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
         self.remembered, self.bare = remembered, {}
+        self[""] = b""
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         model = self.tokenizer.model
         if hasattr(model, "_resize_cache"):  # it would hold the pieces a second time
@@ -82,7 +83,7 @@ class PieceEncoder(dict):
             whole = (bytes([0xC2, b]) if b < 192 else bytes([b, 0x80])).decode("utf-8", "ignore")
             if whole:
                 letters[b] = high.pre_tokenize_str(whole)[0][0][at]
-        self.spelled = letters
+        self.letters = letters
         self.line = letters[10]
         self.model = Tokenizer(model)
         self.model.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
@@ -97,9 +98,7 @@ class PieceEncoder(dict):
         ids = self.bare.get(p)
         if ids is None:
             ids = self.direct(p)
-            if len(p) <= 32:
-                if len(self.bare) >= self.remembered // 4:
-                    self.bare.clear()
+            if len(p) <= 32 and len(self.bare) < self.remembered // 4:
                 self.bare[p] = ids
         return ids
 
@@ -117,34 +116,41 @@ class PieceEncoder(dict):
         ids = self.parted(" " + word)
         if ids is None:
             ids = self.direct(" " + word)
-            if len(word) <= 32:
-                if len(self) >= self.remembered:
-                    self.clear()
+            if len(word) <= 32 and len(self) < self.remembered:
                 self[word] = ids
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        """Encode all runs of letters in words that follow a blank, if the dict hasn't them, in one call."""
-        stems = set()
-        for word in [w for w in words if w not in self]:
-            stem = word.rstrip(self.PUNCTUATION)
+    def many(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a blank. All runs of letters that the dict hasn't are encoded in one call."""
+        out = list(map(self.get, words))
+        late = [(k, w, w.rstrip(self.PUNCTUATION)) for k, w in enumerate(words) if out[k] is None]
+        stems: set[str] = set()
+        for _, _, stem in late:
             if stem.isalpha():
                 stems.add(stem)
             elif len(stem) <= 256 and not self.HARD.search(stem):
                 stems.update(p[1:] for p in self.PIECES.findall(" " + stem) if p[0] == " ")
-        new = [s for s in stems if s not in self and len(s) <= 32 and s.isalpha() and not self.HARD.search(s)]
-        if not new or self.line_id is None:
-            return
-        if len(self) + len(new) >= self.remembered:
-            self.clear()
-        spelled = "\n".join([" " + s for s in new]).encode().decode("latin-1").translate(self.spelled)
-        ids = array(self.code, self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids)
+        new = self.spelled_out([s for s in stems if s not in self and len(s) <= 32 and s.isalpha() and not self.HARD.search(s)])
+        if len(self) < self.remembered:  # frequent words come early, so those beyond the bound are encoded when they are met
+            self.update(new)
+        for k, word, stem in late:
+            ids = (new.get(stem) or self.get(stem)) if stem else None
+            if ids is None or (len(stem) < len(word) and not (stem[-1] < "\u0250" and stem[-1].isalnum())):
+                out[k] = self[word]
+            else:
+                out[k] = ids + self.piece(word[len(stem) :]) if len(stem) < len(word) else ids
+        return out
+
+    def spelled_out(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters after a blank, by the model alone: all in one text, a line end between two."""
+        if not words or self.line_id is None:
+            return {}
+        text = "\n".join([" " + w for w in words]).encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
         whole, size = ids.tobytes(), ids.itemsize
         ends = [*(np.flatnonzero(np.frombuffer(whole, f"<u{size}") == self.line_id) * size).tolist(), len(whole)]
-        at = 0
-        for word, end in zip(new, ends, strict=True):
-            self[word] = whole[at:end]
-            at = end + size
+        begins = [0, *(e + size for e in ends[:-1])]
+        return {w: whole[a:b] for w, a, b in zip(words, begins, ends, strict=True)}
 
     def encode(self, text: str) -> bytes:
         """One text, piece by piece."""
@@ -168,8 +174,7 @@ class PieceEncoder(dict):
         words = pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        ids = pa.array([self[w] if w else b"" for w in distinct], pa.large_binary()).take(coded.indices)
+        ids = pa.array(self.many(distinct), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         data, begin = memoryview(ids.buffers()[2] or b""), words.offsets.to_numpy()
         for k, lo, hi in zip(at, ends[np.minimum(begin[:-1] + 1, len(ids))].tolist(), ends[begin[1:]].tolist(), strict=True):
@@ -229,7 +234,7 @@ class FileBuilder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def write_sequences(documents: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH, end: int = END, rows: int = 4096, batch_rows: int = 256, shard_bytes: int = 32 << 20) -> None:
+def write_sequences(documents: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH, end: int = END, rows: int = 2048, batch_rows: int = 256, shard_bytes: int = 32 << 20) -> None:
     """Write ``documents`` (doc_id, text) as files of at most ``rows`` sequences; shards take about ``shard_bytes`` of text each.
 
     The tokenizer's definition is read where the query is planned and sent along (under 5 MB). Documents are sorted by ranges; a task holds one file.
@@ -258,7 +263,7 @@ def write_sequences(documents: DataFrame, path: str, tokenizer_path: str, length
             yield pa.RecordBatch.from_arrays([pa.array([done[: -len(MAGIC)]], pa.binary())], ["file"])
 
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
-    with small_batches(spark):
+    with small_batches(spark, size="4m"):
         files.write.option("lineSep", MAGIC.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
