@@ -68,7 +68,7 @@ class PieceEncoder(dict):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
-        self.remembered, self.bare = remembered, {}
+        self.remembered, self.early, self.bare = remembered, remembered // 2, {}
         self[""] = b""
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         model = self.tokenizer.model
@@ -130,15 +130,20 @@ class PieceEncoder(dict):
                 stems.add(stem)
             elif len(stem) <= 256 and not self.HARD.search(stem):
                 stems.update(p[1:] for p in self.PIECES.findall(" " + stem) if p[0] == " ")
-        new = self.spelled_out([s for s in stems if s not in self and len(s) <= 32 and s.isalpha() and not self.HARD.search(s)])
+        new = self.spelled_out([s for s in stems if s not in self and len(s) <= 32 and (s.isascii() or not self.HARD.search(s)) and s.isalpha()])
         if len(self) < self.remembered:  # frequent words come early, so those beyond the bound are encoded when they are met
             self.update(new)
         for k, word, stem in late:
             ids = (new.get(stem) or self.get(stem)) if stem else None
             if ids is None or (len(stem) < len(word) and not (stem[-1] < "\u0250" and stem[-1].isalnum())):
                 out[k] = self[word]
-            else:
-                out[k] = ids + self.piece(word[len(stem) :]) if len(stem) < len(word) else ids
+                continue
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                ids += self.bare.get(tail) or self.piece(tail)
+                if len(self) < self.early and len(word) <= 32:
+                    self[word] = ids
+            out[k] = ids
         return out
 
     def spelled_out(self, words: list[str]) -> dict[str, bytes]:
@@ -263,7 +268,7 @@ def write_sequences(documents: DataFrame, path: str, tokenizer_path: str, length
             yield pa.RecordBatch.from_arrays([pa.array([done[: -len(MAGIC)]], pa.binary())], ["file"])
 
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
-    with small_batches(spark, size="4m"):
+    with small_batches(spark):
         files.write.option("lineSep", MAGIC.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
