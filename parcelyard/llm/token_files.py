@@ -60,7 +60,7 @@ class PieceEncoder(dict):
     #: What ``PIECES`` doesn't part rightly: other letters, and white space whose last character is a token of its own.
     HARD = re.compile("[^\x00-\u024f]|\\s[^\\S ]")
 
-    def __init__(self, definition: str, remembered: int = 500_000):
+    def __init__(self, definition: str, remembered: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -68,7 +68,7 @@ class PieceEncoder(dict):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
-        self.remembered, self.early, self.bare = remembered, remembered // 2, {}
+        self.remembered, self.bare = remembered, {}
         self[""] = b""
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         model = self.tokenizer.model
@@ -120,31 +120,35 @@ class PieceEncoder(dict):
                 self[word] = ids
         return ids
 
-    def many(self, words: list[str]) -> list[bytes]:
-        """Ids of words that follow a blank. All runs of letters that the dict hasn't are encoded in one call."""
-        out = list(map(self.get, words))
-        late = [(k, w, w.rstrip(self.PUNCTUATION)) for k, w in enumerate(words) if out[k] is None]
-        stems: set[str] = set()
-        for _, _, stem in late:
+    def many(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of words that follow a blank. Marks at a word's end are parted from a letter or figure before them; all runs of letters that the dict hasn't are encoded in one call."""
+        stems = pc.utf8_rtrim(words, characters=self.PUNCTUATION)
+        stems = pc.if_else(pc.match_substring_regex(stems, f"[0-9{self.LETTERS}]$"), stems, words)
+        tails = pc.subtract(pc.utf8_length(words), pc.utf8_length(stems)).to_numpy()
+        coded = stems.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(self.get, distinct))
+        late = [k for k, x in enumerate(ids) if x is None]
+        inner: set[str] = set()
+        for k in late:
+            stem = distinct[k]
             if stem.isalpha():
-                stems.add(stem)
+                inner.add(stem)
             elif len(stem) <= 256 and not self.HARD.search(stem):
-                stems.update(p[1:] for p in self.PIECES.findall(" " + stem) if p[0] == " ")
-        new = self.spelled_out([s for s in stems if s not in self and len(s) <= 32 and (s.isascii() or not self.HARD.search(s)) and s.isalpha()])
+                inner.update(p[1:] for p in self.PIECES.findall(" " + stem) if p[0] == " ")
+        new = self.spelled_out([s for s in inner if s not in self and len(s) <= 32 and (s.isascii() or not self.HARD.search(s)) and s.isalpha()])
         if len(self) < self.remembered:  # frequent words come early, so those beyond the bound are encoded when they are met
             self.update(new)
-        for k, word, stem in late:
-            ids = (new.get(stem) or self.get(stem)) if stem else None
-            if ids is None or (len(stem) < len(word) and not (stem[-1] < "\u0250" and stem[-1].isalnum())):
-                out[k] = self[word]
-                continue
-            if len(stem) < len(word):
-                tail = word[len(stem) :]
-                ids += self.bare.get(tail) or self.piece(tail)
-                if len(self) < self.early and len(word) <= 32:
-                    self[word] = ids
-            out[k] = ids
-        return out
+        for k in late:
+            ids[k] = new.get(distinct[k]) or self[distinct[k]]
+        whole = pa.array(ids, pa.large_binary()).take(coded.indices)
+        marked = np.flatnonzero(tails)
+        if not len(marked):
+            return whole
+        ends: list[bytes] = [b""] * len(words)
+        for k, n, word in zip(marked.tolist(), tails[marked].tolist(), words.take(pa.array(marked)).to_pylist(), strict=True):
+            ends[k] = self.bare.get(word[-n:]) or self.piece(word[-n:])
+        return pc.binary_join_element_wise(whole, pa.array(ends, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
 
     def spelled_out(self, words: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters after a blank, by the model alone: all in one text, a line end between two."""
@@ -178,8 +182,7 @@ class PieceEncoder(dict):
         at = [k for k, ids in enumerate(out) if ids is None]
         words = pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        ids = pa.array(self.many(distinct), pa.large_binary()).take(coded.indices)
+        ids = self.many(coded.dictionary).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         data, begin = memoryview(ids.buffers()[2] or b""), words.offsets.to_numpy()
         for k, lo, hi in zip(at, ends[np.minimum(begin[:-1] + 1, len(ids))].tolist(), ends[begin[1:]].tolist(), strict=True):
