@@ -26,6 +26,7 @@ def query(*views: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from .plans import (  # noqa: F401
         catalog_queries,
+        community_queries,
         embedding_queries,
         file_queries,
         graph_queries,

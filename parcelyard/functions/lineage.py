@@ -26,8 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the session names."""
+    """Checkpoint into the shared folder that the session names. Rows are kept meanwhile, else they would be made once to count and again to write."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    kept = df.persist()
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()

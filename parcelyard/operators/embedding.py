@@ -155,6 +155,33 @@ def diffusion_component(edges: DataFrame, steps: int = 12) -> DataFrame:
     return v.select("node", "v")
 
 
+def bandwidths(neighbours: DataFrame, steps: int = 64) -> DataFrame:
+    """(i, rho, sigma): rho is a node's least distance, sigma the bandwidth at which exp(-max(d - rho, 0) / sigma) sum to log2 of the number of neighbours.
+
+    ``neighbours``: (i, j, d), a row a neighbour, a few a node. ``steps`` halvings are far beyond the precision of a double's sum. Where more
+    than log2(k) neighbours are as near as the nearest there is no such bandwidth, and sigma goes to 0 from above.
+    """
+    rows = neighbours.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "d"))).alias("_n"), F.min("d").alias("rho"))
+    ds, want = F.transform("_n", lambda x: x["d"]), F.log2(F.size("_n").cast("double"))
+    bounds = lambda lo, hi, mid: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), mid.cast("double").alias("mid"))
+
+    def step(s: Column, _: Column) -> Column:
+        lo, hi, mid = s["lo"], s["hi"], s["mid"]
+        over = F.aggregate(ds, F.lit(0.0), lambda t, d: t + F.exp(-F.greatest(d - F.col("rho"), F.lit(0.0)) / mid)) > want
+        return bounds(F.when(over, lo).otherwise(mid), F.when(over, mid).otherwise(hi), F.when(over, (lo + mid) / 2).when(hi < 0, mid * 2).otherwise((mid + hi) / 2))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bounds(F.lit(0.0), F.lit(-1.0), F.lit(1.0)), step)  # an upper end not yet met is -1
+    return rows.select("i", "rho", found["mid"].alias("sigma"))
+
+
+def memberships(neighbours: DataFrame) -> DataFrame:
+    """(i, j, w), both ways: the fuzzy union a + b - ab of the memberships exp(-max(d - rho, 0) / sigma) of both directions."""
+    sized = neighbours.join(bandwidths(neighbours), "i").select("i", "j", F.exp(-F.greatest(F.col("d") - F.col("rho"), F.lit(0.0)) / F.col("sigma")).alias("m"))
+    none = F.lit(0.0)
+    both = sized.select("i", "j", F.col("m").alias("a"), none.alias("b")).unionByName(sized.select(F.col("j").alias("i"), F.col("i").alias("j"), none.alias("a"), F.col("m").alias("b")))
+    return both.groupBy("i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b")).select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w"))
+
+
 def principal_components(vectors: DataFrame, node: str, vector: str, k: int):
     """(model, (node, pc)): principal components by Spark's own PCA."""
     from pyspark.ml.feature import PCA

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.rng import keyed
+from .graph import components
 
 
 def _replicated(edges: DataFrame, replicates: int) -> DataFrame:
@@ -110,27 +112,34 @@ def spline(points: DataFrame, by: str, pos: str, values: list[str], samples: int
 
 
 def bandwidth_order(edges: DataFrame) -> DataFrame:
-    """(node, position): reverse Cuthill-McKee order of one graph of parcels."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(group["src"].tolist(), group["dst"].tolist(), strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        order: list[int] = []
-        seen: set[int] = set()
-        for start in sorted(near, key=lambda n: (len(near[n]), n)):
-            queue = [start] if start not in seen else []
-            seen.update(queue)
-            while queue:
-                node = queue.pop(0)
-                order.append(node)
-                fresh = sorted(near[node] - seen, key=lambda n: (len(near[n]), n))
-                seen.update(fresh)
-                queue += fresh
-        return pd.DataFrame({"node": order[::-1], "position": range(len(order))})
-
-    return edges.select("src", "dst").groupBy(F.lit(0).alias("_g")).applyInPandas(run, "node bigint, position int")
+    """(node, position): reverse Cuthill-McKee order, all components at once.
+
+    A component starts at its node of least degree; each level follows by the first place among a node's neighbours in the level before, then
+    by degree, then by id. Components follow each other by their starts. A level is reached by a join and numbered within its component.
+    """
+    links = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct())
+    links = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    nodes = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).join(components(links), "node")
+    nodes = cut(nodes)
+    starts = nodes.groupBy("component").agg(F.min(F.struct("degree", "node")).alias("first"), F.count("*").alias("size"))
+    placed = cut(starts.select(F.col("first.node").alias("node"), "component", F.lit(1).cast("long").alias("at")))
+    front, done = placed, 1
+    while True:
+        near = front.select(F.col("node").alias("src"), "at").join(links, "src").groupBy(F.col("dst").alias("node")).agg(F.min("at").alias("parent"))
+        fresh = near.join(placed.select("node"), "node", "left_anti").join(nodes, "node")
+        before = placed.groupBy("component").agg(F.max("at").alias("last"))
+        order = F.row_number().over(Window.partitionBy("component").orderBy("parent", "degree", "node"))
+        front = cut(fresh.withColumn("_k", order).join(before, "component").select("node", "component", (F.col("last") + F.col("_k")).alias("at")))
+        if front.isEmpty():
+            break
+        placed, done = placed.unionByName(front), done + 1
+        if done % 16 == 0:
+            placed = cut(placed)
+    # One row a component.
+    offsets = starts.select("component", (F.sum("size").over(Window.orderBy("first.degree", "first.node")) - F.col("size")).alias("offset"))
+    total = starts.agg(F.sum("size").alias("total"))
+    found = placed.join(offsets, "component").crossJoin(F.broadcast(total))  # one row is broadcast
+    return found.select("node", (F.col("total") - F.col("offset") - F.col("at")).cast("int").alias("position"))
 
 
 def joint_p(observed: DataFrame, null: DataFrame) -> DataFrame:

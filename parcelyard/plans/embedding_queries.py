@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..operators import embedding
 from .graph_queries import edges
 from .parcel_queries import rounded
-from .views import PROF, profiles, table
+from .views import PROF, TRADE, profiles, table, trade
 
 CORNERS = [(-0.3, -0.3), (0.4, -0.2), (0.0, 0.4)]
 RUNS = "runs as (select vec_id % 60 as node, r as run, (sum(vec_id * 7 + label * r * 3)::bigint + r) % 4 as label from prof, range(5) t(r) group by vec_id % 60, r)"
@@ -41,14 +39,10 @@ def triangle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embedding.barycentric(points(spark, sf_dir), CORNERS), "w0", "w1", "w2").select("vec_id", "w0", "w1", "w2")
 
 
-_WAYS = ", ".join(f"({k}, {math.cos(2 * math.pi * k / 24)!r}::double, {math.sin(2 * math.pi * k / 24)!r}::double)" for k in range(24))
-
-
 @query(
     PROF,
-    f"far as (select k, vec_id as n, e[1] as x, e[2] as y, row_number() over (partition by k order by round(e[1] * u + e[2] * v, 9) desc, vec_id) as o from prof, (values {_WAYS}) w(k, u, v))",
-    "ext as (select distinct n, x, y from far where o = 1)",
-    sql="select a.n as a, b.n as b, c.n as c, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 9) as area from ext a join ext b on a.n < b.n join ext c on b.n < c.n order by area desc, a, b, c limit 1",
+    "pt as (select vec_id as n, e[1] as x, e[2] as y from prof)",
+    sql="select a.n as a, b.n as b, c.n as c, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 9) as area from pt a join pt b on a.n < b.n join pt c on b.n < c.n order by area desc, a, b, c limit 1",
 )
 def triangle_max_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.largest_triangle(points(spark, sf_dir), "vec_id")
@@ -123,6 +117,44 @@ def spiral_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embedding.spiral(nodes, "node", 2, 1.0, 3.0), "sx", "sy")
 
 
+#: Nations by their share of each year's trade; every two of them are compared.
+SHARES = TRADE + """, nat as (select yr, i, sum(w) as s from trade group by all), shares as materialized (select yr, i, s / sum(s) over (partition by yr) as v from nat),
+  gaps as materialized (select x.i, y.i as j, round(sqrt(sum((x.v - y.v) ** 2)), 9) as d from shares x join shares y on x.yr = y.yr and x.i <> y.i group by all),
+  kn as materialized (select i, j, d from (select *, row_number() over (partition by i order by d, j) as n from gaps) where n <= 6)"""
+#: Bisection of a row's bandwidth, written as steps of a recursion; an upper end not yet met is -1.
+BANDWIDTH = """rows_ as (select i, list(d order by j) as ds, min(d) as rho, ln(count(*)) / ln(2) as want from kn group by i),
+  steps as (select i, ds, rho, want, 0.0::double as lo, -1.0::double as hi, 1.0::double as mid, 0 as n from rows_
+    union all select i, ds, rho, want, case when p > want then lo else mid end, case when p > want then mid else hi end,
+      case when p > want then (lo + mid) / 2 when hi < 0 then mid * 2 else (mid + hi) / 2 end, n + 1
+    from (select *, list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / mid))) as p from steps where n < 64)),
+  sig as materialized (select i, rho, mid as sigma from steps where n = 64)"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, d): each nation's six nearest by yearly shares of trade."""
+    sums = trade(spark, sf_dir).groupBy("yr", "i").agg(F.sum("w").alias("s"))
+    shares = sums.select("yr", "i", (F.col("s") / F.sum("s").over(Window.partitionBy("yr"))).alias("v"))
+    pairs = shares.join(shares.select("yr", F.col("i").alias("j"), F.col("v").alias("u")), "yr").where("i <> j")
+    gaps = pairs.groupBy("i", "j").agg(F.round(F.sqrt(F.sum((F.col("v") - F.col("u")) * (F.col("v") - F.col("u")))), 9).alias("d"))
+    return gaps.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where("n <= 6").drop("n")
+
+
+@query("recursive " + SHARES, BANDWIDTH, sql="select i, round(rho, 6) as rho, round(sigma, 7) as sigma from sig")
+def neighbour_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.bandwidths(neighbours(spark, sf_dir)).select("i", F.round("rho", 6).alias("rho"), F.round("sigma", 7).alias("sigma"))
+
+
+@query(
+    "recursive " + SHARES,
+    BANDWIDTH,
+    "one as (select i, j, exp(-greatest(d - rho, 0) / sigma) as m from kn join sig using (i))",
+    "two as (select i, j, max(m) as a, max(r) as b from (select i, j, m, 0.0::double as r from one union all select j, i, 0.0, m from one) group by i, j)",
+    sql="select i, j, round(a + b - a * b, 5) as w from two",
+)
+def neighbour_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embedding.memberships(neighbours(spark, sf_dir)), "w", digits=5)
+
+
 @query()
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = embedding.principal_components(profiles(spark, sf_dir), "vec_id", "e", 5)
