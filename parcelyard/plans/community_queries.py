@@ -58,11 +58,11 @@ def louvain_sql(rounds: int, levels: int) -> str:
 def linkage_sql(nodes: int) -> str:
     """Common tables that end in ``merges`` (a, b, height); a round merges one pair at least, so ``nodes`` - 1 rounds are enough."""
     out = ["p as materialized (select x.node as i, y.node as j, sum((x.label <> y.label)::int)::double / count(*) as d from yearly x join yearly y on x.run = y.run and x.node <> y.node group by all)"]
-    out.append("t0 as materialized (select i as a, j as b, coalesce(d, 1.0) as s, 1 as n from (select x.node as i, y.node as j from (select distinct node from yearly) x join (select distinct node from yearly) y on x.node <> y.node) left join p using (i, j))")
+    out.append("t0 as materialized (select i as a, j as b, coalesce(d, 1.0) as s, 1 as n from (select x.node as i, y.node as j from (select distinct node from yearly) x join (select distinct node from yearly) y on x.node < y.node) left join p using (i, j))")
     for r in range(nodes - 1):
         out += [
-            f"g{r} as materialized (select a, b, height from (select least(a, b) as a, greatest(a, b) as b, s / n as height, row_number() over (partition by a order by s / n, least(a, b), greatest(a, b)) as k from t{r}) where k = 1 group by all having count(*) = 2)",
-            f"t{r + 1} as materialized (select coalesce(x.a, t.a) as a, coalesce(y.a, t.b) as b, sum(s) as s, sum(n) as n from t{r} t left join g{r} x on x.b = t.a left join g{r} y on y.b = t.b where coalesce(x.a, t.a) <> coalesce(y.a, t.b) group by 1, 2)",
+            f"g{r} as materialized (select a, b, height from (select a, b, s / n as height, row_number() over (partition by c order by s / n, a, b) as k from (select *, unnest([a, b]) as c from t{r})) where k = 1 group by all having count(*) = 2)",
+            f"t{r + 1} as materialized (select least(a, b) as a, greatest(a, b) as b, sum(s) as s, sum(n) as n from (select coalesce(x.a, t.a) as a, coalesce(y.a, t.b) as b, s, n from t{r} t left join g{r} x on x.b = t.a left join g{r} y on y.b = t.b) where a <> b group by 1, 2)",
         ]
     return ", ".join(out) + ", merges as materialized (" + " union all ".join(f"from g{r}" for r in range(nodes - 1)) + ")"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..operators import embedding
+from ..operators import embedding, spectral
 from .graph_queries import edges
 from .parcel_queries import rounded
 from .views import PROF, TRADE, profiles, table, trade
@@ -155,6 +155,11 @@ def neighbour_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embedding.memberships(neighbours(spark, sf_dir)), "w", digits=5)
 
 
+@query()
+def diffusion_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectral.diffusion_positions(edges(spark, sf_dir), tolerance=1e-6), "p1", "p2", digits=4)
+
+
 @query()
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = embedding.principal_components(profiles(spark, sf_dir), "vec_id", "e", 5)
