@@ -128,13 +128,13 @@ def one_to_one_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Graph operators over the whole graph of suppliers, beside those over a graph's strongest links.
 
 WHOLE = COSUPPLY + ", deg as materialized (select src as node, count(*) as degree from cosupply group by src)"
-#: Links of more than one and a half times the mean weight: sparse enough for components and orders to say something, and no fixed number of them.
-HEAVY = COSUPPLY + ", heavy as materialized (select src, dst, w from cosupply, (select avg(w) as mean from cosupply) where w > 1.5 * mean)"
+#: Links of more than 1.05 times the mean weight: sparse enough for components and orders to say something, and no fixed number of them.
+HEAVY = COSUPPLY + ", heavy as materialized (select src, dst, w from cosupply, (select avg(w) as mean from cosupply) where w > 1.05 * mean)"
 
 
 def heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = cosupply(spark, sf_dir)
-    return links.crossJoin(F.broadcast(links.agg(F.avg("w").alias("mean")))).where("w > 1.5 * mean").drop("mean")  # one row is broadcast
+    return links.crossJoin(F.broadcast(links.agg(F.avg("w").alias("mean")))).where("w > 1.05 * mean").drop("mean")  # one row is broadcast
 
 
 @query(WHOLE, sql="from deg")
