@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
-OPENING = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+OPENING = re.compile(r"(/?)([A-Za-z][^\s/<>]*)")
 SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -60,12 +60,19 @@ HINTS = {
 HINT_OF = {w: h for h, ws in HINTS.items() for w in ws}
 
 
-@lru_cache(100_000)
 def hints(attributes: str) -> tuple[str, ...]:
+    """What classes, ids and roles hint at. Only short attributes, which recur, are remembered, so the memory has a bound in bytes."""
+    return remembered_hints(attributes) if len(attributes) <= 256 else found_hints(attributes)
+
+
+def found_hints(attributes: str) -> tuple[str, ...]:
     words = {w for m in ATTRIBUTE.finditer(attributes) for w in PIECE.findall((m[1] or m[2] or m[3] or "").lower())}
     return tuple(sorted({"h:" + HINT_OF[w] for w in words if w in HINT_OF}))
 
 
+remembered_hints = lru_cache(20_000)(found_hints)
+
+
 @dataclass
 class Page:
     """Nodes in page order: parent (-1: none), depth, feature names, whether a text block; and the texts of the blocks."""
@@ -83,6 +90,20 @@ class Scanner:
     def __init__(self, page: str):
         self.page, self.open_ended = page, set()
         self.last = page.rfind(">")
+        self.unclosed: set[str] = set()  # raw tags of which no end follows any more
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the next closing tag of an element that holds no markup; the page's end if there is none."""
+        page = self.page
+        if tag in self.unclosed:
+            return len(page)
+        for m in re.compile(rf"</{tag}(?=[\s>])", re.I).finditer(page, at):
+            end = page.find(">", m.end())
+            if end >= 0:
+                return end + 1
+            break  # no bracket follows, so none follows later ones either
+        self.unclosed.add(tag)
+        return len(page)
 
     def tag_end(self, at: int) -> int:
         """Behind the tag's closing bracket, which doesn't stand in quotes; if a quote is left open, behind the first bracket; -1 if there is none."""
@@ -108,7 +129,9 @@ class Scanner:
                 end = self.tag_end(m.end()) if m.end() <= self.last else -1
                 if end < 0:
                     continue
-                at = (yield start, end, m[2].lower(), page[m.end() : end - 1], bool(m[1])) or end
+                # A name that goes on with "<" is no known tag.
+                tag = m[2].lower() + ("<" if page[m.end()] == "<" else "")
+                at = (yield start, end, tag, page[m.end() : end - 1], bool(m[1])) or end
             elif page.startswith("!--", at):
                 end = page.find("-->", at + 3)
                 at = len(page) if end < 0 else end + 3
@@ -179,8 +202,7 @@ def parse(page: str | None) -> Page:
         if tag in RAW:
             if attributes.endswith("/") and tag == "svg":
                 continue
-            over = re.compile(rf"</{tag}\s*>|</{tag}\s[^>]*>", re.I).search(page, at)
-            at = jump = over.end() if over else len(page)
+            at = jump = scanner.raw_end(tag, at)
             continue
         if tag == "a":
             in_link = 1

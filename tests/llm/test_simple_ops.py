@@ -422,7 +422,7 @@ def test_text_of_embedded_elements_stays():
     assert html_extract.fit().texts([page]) == ["Area x is big, as drawn, or not.\nSecond sentence of it.Third one."]
 
 
-@pytest.mark.parametrize("hostile", ['<a x="y ', "<a x=\"y >'", "<p></b></i></div>", "<li><div>", "<!-", "<a '>\"", "&", "<b <b '"])
+@pytest.mark.parametrize("hostile", ['<a x="y ', "<a x=\"y >'", "<p></b></i></div>", "<li><div>", "<!-", "<a '>\"", "&", "<b <b '", "<a", "<a<b>", "<script></script ", "<svg></svg"])
 def test_hostile_pages_take_linear_time(hostile):
     import time
 
@@ -432,6 +432,32 @@ def test_hostile_pages_take_linear_time(hostile):
     assert time.time() - began < 15
 
 
+@pytest.mark.parametrize("hostile", ["<a", "</script ", "<p>x</script y", "<script>x"])
+def test_stray_openings_take_a_moment(hostile):
+    """A megabyte of what never ends, with and without a bracket at the end of the page."""
+    import time
+
+    for before, after in (("", ""), ("", ">"), ("<script>", ""), ("<script>", ">")):
+        began = time.time()
+        html_extract.parse(before + hostile * (1_000_000 // len(hostile)) + after)
+        assert time.time() - began < 4, (hostile, before, after)
+
+
+def test_raw_elements_end_as_they_should():
+    texts = lambda page: html_extract.parse(page).texts
+    assert texts("<script>a</script\n x>one<script>b</scripts></SCRIPT>two") == ["onetwo"]
+    assert texts("<p>one<style>a</style") == ["one"]
+    assert texts("a<p<i>c</i>") == ["ac"]
+    assert texts("<p>x<a title=y<p>z") == ["xz"]
+
+
+def test_long_attributes_are_not_remembered():
+    before = html_extract.remembered_hints.cache_info().currsize
+    assert html_extract.hints("class='comment' data-x='" + "y" * 5000 + "'") == ("h:comment",)
+    assert html_extract.remembered_hints.cache_info().currsize == before
+    assert html_extract.hints("class='comment'") == ("h:comment",)
+
+
 def test_tags_end_outside_quotes():
     texts = lambda page: html_extract.parse(page).texts
     assert texts("<p title='a > b'>one</p><p title=\"c > '\">two") == ["one", "two"]
