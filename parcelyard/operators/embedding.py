@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,3 +221,43 @@ def min_max(c: str | Column, by: list[str]) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     w = Window.partitionBy(*by)
     return (c - F.min(c).over(w)) / F.nullif(F.max(c).over(w) - F.min(c).over(w), F.lit(0.0))
+
+
+def aligned(points: DataFrame, subject: str, node: str, g: str, dims: int, reference: DataFrame | None = None, rounds: int = 10, tolerance: float = 1e-5) -> tuple[DataFrame, DataFrame]:
+    """((subject, node, g), (node, g)): every subject's points turned or mirrored about the origin to lie nearest to a reference, and that reference.
+
+    ``g`` is an array of ``dims`` coordinates. The first reference is the one given, else the least subject's points; after each round it is
+    the mean of the turned points, until it moves by less than ``tolerance`` (sum of squares). A subject's turn comes from its ``dims`` by
+    ``dims`` products with the reference over the nodes they share; points are neither centred nor scaled. Points with a null, and subjects
+    that share no node with the reference, are left out.
+    """
+    k = range(dims)
+    sound = points.select(subject, node, *(F.get(F.col(g), F.lit(a)).cast("double").alias(f"_s{a}") for a in k)).dropna()
+    sound = cut(sound)
+    if reference is None:
+        least = sound.agg(F.min(subject).alias("_first"))
+        ref = sound.join(F.broadcast(least), F.col(subject) == F.col("_first")).select(node, *(F.col(f"_s{a}").alias(f"_t{a}") for a in k))  # one row is broadcast
+    else:
+        ref = reference.select(node, *(F.get(F.col(g), F.lit(a)).cast("double").alias(f"_t{a}") for a in k)).dropna()
+
+    @F.pandas_udf("array<double>")
+    def turn(products: pd.Series) -> pd.Series:
+        if not len(products):
+            return pd.Series([], dtype=object)
+        u, _, v = np.linalg.svd(np.array(products.tolist(), float).reshape(-1, dims, dims))
+        return pd.Series(list((u @ v).reshape(-1, dims * dims)))
+
+    for _ in range(max(rounds, 1)):
+        products = sound.join(ref, node).groupBy(subject).agg(F.array(*(F.sum(F.col(f"_s{a}") * F.col(f"_t{b}")) for a in k for b in k)).alias("_m"))
+        turns = products.select(subject, turn("_m").alias("_r"))
+        turned = sound.join(turns, subject).select(subject, node, *(sum((F.col(f"_s{a}") * F.get("_r", F.lit(a * dims + b)) for a in k), F.lit(0.0)).alias(f"_t{b}") for b in k))
+        turned = cut(turned)
+        new = cut(turned.groupBy(node).agg(*(F.avg(f"_t{b}").alias(f"_t{b}") for b in k)))
+        old = ref.select(node, *(F.col(f"_t{b}").alias(f"_o{b}") for b in k))
+        square = lambda b: F.pow(F.coalesce(f"_t{b}", F.lit(0.0)) - F.coalesce(f"_o{b}", F.lit(0.0)), F.lit(2.0))
+        moved = new.join(old, node, "full").agg(F.sum(sum((square(b) for b in k), F.lit(0.0)))).first()[0]
+        ref = new
+        if moved is None or moved < tolerance:
+            break
+    whole = F.array(*(F.col(f"_t{b}") for b in k)).alias(g)
+    return turned.select(subject, node, whole), ref.select(node, whole)

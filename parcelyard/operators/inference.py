@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.rng import keyed
-from . import graph, statistics
+from . import graph, nulls, statistics
 
 
 def residuals(rows: DataFrame, by: list[str], y: str, on: str | None = None, out: str = "res") -> DataFrame:
@@ -60,15 +63,20 @@ def significant_edges(t: DataFrame, threshold: float, replicates: int, alpha: fl
 
     ``t(perm, i, j, t)``; cut it first if it is dear: observed and null components both read it.
     """
-    hit = t.where(over(F.col("t"), threshold, tail)).select("perm", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a <> b").distinct()
-    both = hit.select("perm", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("perm", "e.src", "e.dst")
-    labels = graph.components(both, ["perm"])
-    placed = hit.join(labels.withColumnRenamed("node", "a"), ["perm", "a"])
+    placed = placed_components(t, threshold, tail)
     sizes = placed.groupBy("perm", "component").agg(F.count("*").alias("size"))
     p = statistics.component_p(sizes, replicates).where(F.col("p") < alpha)
     return placed.where("perm = 0").join(p, "component").select(F.col("a").alias("i"), F.col("b").alias("j"), "component", "size", "p")
 
 
+def placed_components(t: DataFrame, threshold: float, tail: str = "both") -> DataFrame:
+    """(perm, a, b, component), a < b: links over the threshold with the component they are in, of every replicate."""
+    hit = t.where(over(F.col("t"), threshold, tail)).select("perm", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a <> b").distinct()
+    both = hit.select("perm", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("perm", "e.src", "e.dst")
+    labels = graph.components(both, ["perm"])
+    return hit.join(labels.withColumnRenamed("node", "a"), ["perm", "a"])
+
+
 def intensity_p(z: DataFrame, threshold: float, replicates: int, extent: bool = False) -> DataFrame:
     """(component, size, p) of links with |z| over ``threshold`` in perm 0; size: sum of |z|, or number of links; p = count(null largest >= size) / n.
 
@@ -119,3 +127,77 @@ def reference_graph(stack: DataFrame, mode: str, threshold: float | None = None,
         return mean.where("false").select("i", "j")
     least = mean.orderBy(F.desc("_m")).limit(kept).agg(F.min("_m").alias("_least"))
     return mean.crossJoin(F.broadcast(least)).where("_m >= _least").select("i", "j")
+
+
+@dataclass
+class NetworkTest:
+    """``t(i, j, t)`` as observed; ``edges(i, j, component, size, p)`` over the threshold; ``null(perm, largest)``: links of each replicate's largest component."""
+
+    t: DataFrame
+    edges: DataFrame
+    null: DataFrame
+
+
+def network_statistic(
+    stack: DataFrame, design: DataFrame, item: str, y: str, threshold: float, replicates: int, x: str | None = None, nuisance: list[str] | None = None,
+    intercept: bool = False, block: str | None = None, adjacency: DataFrame | None = None, tail: str = "both", seed: int = 2,
+) -> NetworkTest:
+    """Components of edges whose t reaches the threshold, with p = (count(null largest >= size) + 1) / (replicates + 1).
+
+    ``stack(item, i, j, y)``: symmetric matrices, the upper triangle is read. ``design(item, x, nuisance, block)``: one row a recording.
+    t is that of x beside the nuisances; without x, of the mean of what the nuisances leave. Replicates deal the residuals of the model
+    without x among the recordings (of one block, if named), or flip signs without x; with ``adjacency(src, dst)``, every recording's
+    nodes exchange labels with neighbours instead, four times a node, each recording by itself.
+
+    Columns of the design are made orthonormal once, so that each edge needs only its products with them: nothing is solved an edge, and
+    nothing comes to the driver but the number of recordings. Edges that lack a recording, or hold null or NaN, have no t. A perfect fit,
+    a constant y and an x that the nuisances give have t 0. A constant x is refused.
+    """
+    names = [*(nuisance or []), *([x] if x else [])]
+    if x is not None:
+        low, high = design.agg(F.min(x), F.max(x)).first()
+        if low == high:
+            raise ValueError(f"{x} is constant: its effect can't be estimated")
+    p = len(names) + intercept
+    q = cut(statistics.orthonormal(design, item, names, intercept, [block] if block else []))
+    total = q.count()
+    left = range(p - 1 if x else p)
+    upper = stack.where((F.col("i") < F.col("j")) & F.col(y).isNotNull() & ~F.isnan(y)).select(item, "i", "j", F.col(y).cast("double").alias("_y"))
+
+    def reduced(rows: DataFrame, by: list[str]) -> DataFrame:
+        """``rows`` of whole edges, with what the reduced model leaves."""
+        w = Window.partitionBy(*by)
+        rows = rows.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == total)
+        fitted = rows.withColumns({f"_b{k}": F.sum(F.col("_y") * F.col(f"_q{k}")).over(w) for k in left}) if left and (x or nuisance) else rows
+        gone = sum((F.col(f"_b{k}") * F.col(f"_q{k}") for k in left), F.lit(0.0)) if left and (x or nuisance) else F.lit(0.0)
+        return fitted.withColumn("_r", F.col("_y") - gone)
+
+    def of_x(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("perm", "i", "j").agg(F.sum(F.col("_r") * F.col("_r")).alias("_rr"), *(F.sum(F.col("_r") * F.col(f"_q{k}")).alias(f"_a{k}") for k in range(p)))
+        error = F.greatest(F.col("_rr") - sum((F.col(f"_a{k}") * F.col(f"_a{k}") for k in range(p)), F.lit(0.0)), F.lit(0.0)) / max(total - p, 1)
+        return sums.select("perm", "i", "j", F.when(error > 0, F.col(f"_a{p - 1}") / F.sqrt(error)).otherwise(0.0).alias("t"))
+
+    if adjacency is not None:
+        # A chain for each replicate and recording; recordings are numbered, one row each.
+        numbered = q.select(item, F.row_number().over(Window.orderBy(item)).cast("long").alias("_k"))
+        chains = nulls.swapped_labels(adjacency, replicates * total, 4, seed)
+        at = F.col("perm") - 1
+        images = chains.select((F.floor(at / total) + 1).cast("long").alias("perm"), (at % total + 1).alias("_k"), "node", "image").join(numbered, "_k").drop("_k")
+        both = upper.unionByName(upper.select(item, F.col("j").alias("i"), F.col("i").alias("j"), "_y"))
+        moved = nulls.relabelled(both, images, [item], "_y")
+        rows = reduced(moved.unionByName(upper.select(F.lit(0).cast("long").alias("perm"), item, "i", "j", "_y")).join(q, item), ["perm", "i", "j"])
+        t = of_x(rows) if x else statistics.one_sample_t(rows, "_r", ["perm", "i", "j"])
+    elif x is not None:
+        own = reduced(upper.join(q, item), ["i", "j"]).select("i", "j", F.col(item).alias("_from"), "_r")
+        dealt = statistics.permuted(q.withColumn("_from", F.col(item)), item, "_from", replicates, block)
+        t = of_x(own.join(dealt, "_from").join(q, item))
+    else:
+        own = reduced(upper.join(q, item), ["i", "j"])
+        t = sign_flips(own.select(item, "i", "j", "_r"), item, "_r", ["i", "j"], replicates)
+    t = cut(t.withColumn("t", F.round("t", 9)))
+    sizes = cut(placed_components(t, threshold, tail))
+    largest = sizes.groupBy("perm", "component").agg(F.count("*").alias("size"))
+    ps = statistics.component_p(largest, replicates)
+    edges = sizes.where("perm = 0").join(ps, "component").select(F.col("a").alias("i"), F.col("b").alias("j"), "component", "size", "p")
+    null = stack.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "perm").join(largest.groupBy("perm").agg(F.max("size").alias("largest")), "perm", "left")
+    return NetworkTest(t.where("perm = 0").select("i", "j", "t"), edges, null.select("perm", F.coalesce("largest", F.lit(0)).alias("largest")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -42,33 +42,91 @@ def rewired(edges: DataFrame, replicates: int, swaps: int = 20, seed: int = 1) -
     return _replicated(edges.select("src", "dst").where("src < dst"), replicates).groupBy("perm").applyInPandas(walk, "perm bigint, src bigint, dst bigint")
 
 
+def relabellings(adjacency: DataFrame, chains: int, swaps: int = 10, seed: int = 2) -> DataFrame:
+    """(perm, nodes, images): two arrays a chain; ``swaps`` times a label, a keyed label and one of its neighbours exchange what they hold.
+
+    A chain is one row, folded over its steps; the graph of parcels (some hundreds) goes to every task as one row. Nodes without
+    neighbours aren't listed, as nothing can move them. Links count in both directions; without links there are no rows.
+    """
+    given = adjacency.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    links = given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = links.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("near"))
+    graph = near.agg(F.array_sort(F.collect_list(F.struct("src", "near"))).alias("g")).where(F.size("g") > 0)
+    nodes = F.transform("g", lambda r: r["src"])
+    at = graph.select(nodes.alias("nodes"), F.transform("g", lambda r: F.transform(r["near"], lambda m: F.array_position(nodes, m).cast("int") - 1)).alias("near"))
+    rows = adjacency.sparkSession.range(1, chains + 1).withColumnRenamed("id", "perm").crossJoin(F.broadcast(at))
+    key = F.col("perm") + seed * 1_000_003
+
+    def pair(s):
+        u = (keyed(key, 2 * s) % F.size("nodes")).cast("int")
+        around = F.get("near", u)
+        return F.struct(u.alias("u"), F.get(around, (keyed(key, 2 * s + 1) % F.size(around)).cast("int")).alias("v"))
+
+    steps = rows.select("perm", "nodes", F.transform(F.sequence(F.lit(0), swaps * F.size("nodes") - 1), pair).alias("steps"))
+    exchanged = F.aggregate("steps", F.col("nodes"), lambda held, s: F.transform(held, lambda x, k: F.when(k == s["u"], F.get(held, s["v"])).when(k == s["v"], F.get(held, s["u"])).otherwise(x)))
+    return steps.select("perm", "nodes", exchanged.alias("images")) if swaps > 0 else rows.select("perm", "nodes", F.col("nodes").alias("images"))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """(perm, node, image) of ``relabellings``."""
+    return found.select("perm", F.explode(F.arrays_zip("nodes", "images")).alias("p")).select("perm", F.col("p.nodes").alias("node"), F.col("p.images").alias("image"))
+
+
 def swapped_labels(adjacency: DataFrame, replicates: int, swaps: int = 10, seed: int = 2) -> DataFrame:
     """(perm, node, image): labels exchanged between neighbours, ``swaps`` times a label."""
+    return listed(relabellings(adjacency, replicates, swaps, seed))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        perm = int(group["perm"].iat[0])
-        r = np.random.RandomState((seed * 1_000_003 + perm) % 2**32)
-        near = group.sort_values(["src", "dst"]).groupby("src")["dst"].apply(list).to_dict()
-        nodes = sorted(near)
-        image = {n: n for n in nodes}
-        for _ in range(swaps * len(nodes)):
-            a = nodes[r.randint(len(nodes))]
-            b = near[a][r.randint(len(near[a]))]
-            if b in image:
-                image[a], image[b] = image[b], image[a]
-        return pd.DataFrame({"perm": perm, "node": nodes, "image": [image[n] for n in nodes]})
 
-    return _replicated(adjacency.select("src", "dst").where("src <> dst").distinct(), replicates).groupBy("perm").applyInPandas(walk, "perm bigint, node bigint, image bigint")
+def distinct_labels(adjacency: DataFrame, replicates: int, swaps: int = 10, seed: int = 2, tries: int = 10) -> DataFrame:
+    """(perm, node, image): like ``swapped_labels``, but no mapping occurs twice. perm runs from 1 to as many as were found.
+
+    Chains are drawn by ``replicates`` at a time until there are enough, ``tries`` times at most; the first of equal mappings stays. A small
+    graph may have fewer mappings than are asked for.
+    """
+    kept = None
+    for t in range(tries):
+        fresh = relabellings(adjacency, replicates, swaps, seed + t).withColumn("_at", F.col("perm") + t * replicates)
+        both = fresh if kept is None else kept.unionByName(fresh)
+        kept = cut(both.groupBy("images").agg(F.min("_at").alias("_at"), F.min_by("perm", "_at").alias("perm"), F.any_value("nodes").alias("nodes")))
+        if kept.count() >= replicates:
+            break
+    # One row a permutation is numbered.
+    numbered = kept.withColumn("perm", F.row_number().over(Window.orderBy("_at")).cast("long")).where(F.col("perm") <= replicates)
+    return listed(numbered)
 
 
-def spatial_test(first: DataFrame, second: DataFrame, images: DataFrame, replicates: int) -> DataFrame:
-    """(r, p): correlation of two matrices' (i, j, w) upper triangles; one-sided p over relabellings of the first."""
-    b = second.where("i < j").select("i", "j", F.col("w").alias("wb"))
+def relabelled(matrix: DataFrame, images: DataFrame, by: list[str] | None = None, w: str = "w") -> DataFrame:
+    """(perm, by, i, j, w), i < j: what stood at the images of i and j. ``matrix(by, i, j, w)`` holds both directions; nodes without an image keep their place.
+
+    ``images(perm, by, node, image)``: with ``by``, each of its keys has mappings of its own.
+    """
+    by = by or []
+    perms = images.select("perm").distinct()
+    known = images.select("perm", *by, F.col("node").alias("_node"))
+    nodes = matrix.select(*by, F.col("i").alias("_node")).unionByName(matrix.select(*by, F.col("j").alias("_node"))).distinct()
+    still = nodes.join(perms).join(known, ["perm", *by, "_node"], "left_anti").select("perm", *by, F.col("_node").alias("image"), F.col("_node").alias("node"))
+    whole = cut(images.select("perm", *by, "image", "node").unionByName(still))
+    end = lambda a, b: whole.select("perm", *by, F.col("image").alias(a), F.col("node").alias(b))
+    moved = matrix.select(*by, F.col("i").alias("_i"), F.col("j").alias("_j"), w).join(end("_i", "i"), [*by, "_i"]).join(end("_j", "j"), ["perm", *by, "_j"])
+    return moved.where("i < j").select("perm", *by, "i", "j", w)
+
+
+def spatial_test(first: DataFrame, second: DataFrame, images: DataFrame, method: str = "spearman") -> DataFrame:
+    """(r, perms, p): correlation of two matrices' upper triangles, and the share of relabellings of the first whose correlation is at least r.
+
+    Matrices are (i, j, w) in both directions. Ranks, ties at their mean, are taken within each relabelling.
+    """
     a = first.select("i", "j", F.col("w").alias("wa"))
-    observed = a.join(b, ["i", "j"]).agg(F.corr("wa", "wb").alias("r"))
-    moved = images.select("perm", F.col("node").alias("i"), F.col("image").alias("ti")).join(images.select("perm", F.col("node").alias("j"), F.col("image").alias("tj")), "perm").where("i < j")
-    null = moved.join(b, ["i", "j"]).join(a.select(F.col("i").alias("ti"), F.col("j").alias("tj"), "wa"), ["ti", "tj"]).groupBy("perm").agg(F.corr("wa", "wb").alias("null_r"))
-    return null.crossJoin(F.broadcast(observed)).groupBy("r").agg((F.count_if(F.col("null_r") >= F.col("r")) / F.lit(float(replicates))).alias("p"))
+    b = second.where("i < j").select("i", "j", F.col("w").alias("wb"))
+    moved = relabelled(a, images, w="wa").unionByName(a.where("i < j").select(F.lit(0).cast("long").alias("perm"), "i", "j", "wa"))
+    both = moved.join(b, ["i", "j"])
+    if method == "spearman":
+        rank = lambda c: F.rank().over(Window.partitionBy("perm").orderBy(c)) + (F.count("*").over(Window.partitionBy("perm", c)) - 1) / 2
+        both = both.select("perm", rank("wa").alias("wa"), rank("wb").alias("wb"))
+    found = cut(both.groupBy("perm").agg(F.round(F.corr("wa", "wb"), 12).alias("r")))
+    observed = found.where("perm = 0").select("r")
+    null = found.where("perm > 0").select(F.col("r").alias("null_r"))
+    return observed.join(null).groupBy("r").agg(F.count("*").alias("perms"), (F.count_if(F.col("null_r") >= F.col("r")) / F.count("*")).alias("p"))
 
 
 def binned_shuffle(edges: DataFrame, distance: str, value: str, width: float, replicates: int) -> DataFrame:
@@ -82,33 +140,46 @@ def binned_shuffle(edges: DataFrame, distance: str, value: str, width: float, re
     return rolled.join(numbered.select("bin", "slot", F.col("_v").alias(value)), ["bin", "slot"]).select("perm", "i", "j", value)
 
 
-def spline(points: DataFrame, by: str, pos: str, values: list[str], samples: int) -> DataFrame:
-    """(by, k, values): natural cubic splines through each group's points (some dozens), at equal steps."""
-
-    def solve(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = len(t)
-        if n < 3:
-            return np.interp(at, t, y)
-        h = np.diff(t)
-        a = np.zeros((n, n))
-        rhs = np.zeros(n)
-        a[0, 0] = a[-1, -1] = 1
-        for k in range(1, n - 1):
-            a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
-            rhs[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
-        m = np.linalg.solve(a, rhs)
-        k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-        left, right = at - t[k], t[k + 1] - at
-        return (m[k] * right**3 + m[k + 1] * left**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * right + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * left
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(pos).drop_duplicates(pos)
-        t = np.arange(len(group), dtype=float)
-        at = np.linspace(0, max(len(group) - 1, 0), samples)
-        return pd.DataFrame({by: group[by].iat[0], "k": np.arange(samples), **{v: solve(t, group[v].to_numpy(float), at) if len(group) else np.nan for v in values}})
-
-    kind = points.schema[by].dataType.simpleString()
-    return points.select(by, pos, *values).groupBy(by).applyInPandas(run, f"`{by}` {kind}, k int, " + ", ".join(f"`{v}` double" for v in values))
+def spline(points: DataFrame, by: str, pos: str, values: list[str], samples: int, start: int = 0) -> DataFrame:
+    """(by, k, values): cubic splines through each group's points in order of ``pos``, at equal steps from point ``start`` to the last.
+
+    Points lie one unit apart, and the third derivative is continuous at the second point and the last but one (not-a-knot), so two points
+    give a line and three a parabola. Second derivatives follow from one sweep forth and one back over the group's array of some dozens of
+    points. Of several points at one ``pos`` the least stays; a single point is repeated; a group with fewer than ``start`` + 1 points, or
+    with nulls among the values, gives nulls.
+    """
+    once = points.where(F.col(pos).isNotNull()).groupBy(by, pos).agg(F.min(F.struct(*(F.col(v).cast("double").alias(v) for v in values))).alias("_v"))
+    rows = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_v").alias("v")))).alias("_l"))
+    n = F.size("_l")
+    for c in values:
+        rows = rows.withColumn(f"_y{c}", F.transform("_l", lambda r, c=c: r["v"][c]))
+        y = lambda k, c=c: F.get(f"_y{c}", k)
+        bend = lambda k, y=y: y(k + 1) - 2 * y(k) + y(k - 1)
+        # Forth over the points 2 to n - 3: m[k] + c[k] m[k + 1] = d[k]; m[1] and m[n - 2] are known.
+        zero = F.array(F.struct(F.lit(0.0).alias("c"), bend(F.lit(1)).alias("d")))
+        step = lambda acc, k, bend=bend: F.concat(acc, F.array(F.struct((1 / (4 - F.element_at(acc, -1)["c"])).alias("c"), ((6 * bend(k) - F.element_at(acc, -1)["d"]) / (4 - F.element_at(acc, -1)["c"])).alias("d"))))
+        inner = F.when(n > 4, F.sequence(F.lit(2), n - 3)).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn("_f", F.aggregate(inner, zero, step))
+        back = F.aggregate(
+            F.reverse(F.slice("_f", 2, F.greatest(n - 4, F.lit(0)))), F.array(bend(n - 2)), lambda acc, f: F.concat(F.array(f["d"] - f["c"] * F.element_at(acc, 1)), acc)
+        )
+        rows = rows.withColumn("_m", F.when(n > 3, F.concat(F.array(bend(F.lit(1))), back)).when(n == 3, F.array(bend(F.lit(1)))))
+        first = 2 * F.element_at("_m", 1) - F.coalesce(F.get("_m", F.lit(1)), F.element_at("_m", 1))
+        last = 2 * F.element_at("_m", -1) - F.when(F.size("_m") > 1, F.element_at("_m", -2)).otherwise(F.element_at("_m", -1))
+        rows = rows.withColumn(f"_m{c}", F.when(n >= 3, F.concat(F.array(first), "_m", F.array(last))).otherwise(F.array_repeat(F.lit(0.0), n))).drop("_f", "_m")
+    at = rows.withColumn("_n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))) if samples > 0 else rows.withColumn("_n", n).withColumn("k", F.lit(0)).where("false")
+    at = at.withColumn("_t", F.when(F.col("_n") > start, start + F.col("k") * (F.col("_n") - 1 - start) / max(samples - 1, 1)))
+    at = at.withColumn("_k", F.greatest(F.least(F.floor("_t").cast("int"), F.col("_n") - 2), F.lit(0)))
+    right, left = F.col("_k") + 1 - F.col("_t"), F.col("_t") - F.col("_k")
+
+    def value(c: str) -> Column:
+        y = lambda k: F.get(f"_y{c}", k)
+        m = lambda k: F.get(f"_m{c}", k)
+        k, nxt = F.col("_k"), F.col("_k") + 1
+        curve = (m(k) * right * right * right + m(nxt) * left * left * left) / 6 + (y(k) - m(k) / 6) * right + (y(nxt) - m(nxt) / 6) * left
+        return F.when(F.col("_n") == 1, F.when(F.col("_t").isNotNull(), y(F.lit(0)))).otherwise(curve)
+
+    return at.select(by, "k", *(value(c).alias(c) for c in values))
 
 
 def bandwidth_order(edges: DataFrame) -> DataFrame:

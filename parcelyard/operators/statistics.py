@@ -33,19 +33,42 @@ def one_sample_t(stack: DataFrame, y: str, by: list[str]) -> DataFrame:
     return stack.groupBy(*by).agg(F.when(sd > 0, F.avg(y) / (sd / F.sqrt(F.count(y)))).otherwise(0.0).alias("t"))
 
 
+def orthonormal(design: DataFrame, item: str, names: list[str], intercept: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(item, keep, _q0, _q1, ...): a constant, if wanted, and the named columns, each freed of those before it and of unit length.
+
+    One aggregate gives all products of columns, eliminated in expressions; a second pass takes off what rounding left. A column that those
+    before it give is 0. Rows with a null among the names have null columns.
+    """
+    parts = [*([F.lit(1.0)] if intercept else []), *(F.col(n).cast("double") for n in names)]
+    p = len(parts)
+    out = design.select(item, *(keep or []), *(c.alias(f"_q{k}") for k, c in enumerate(parts)))
+    for _ in range(2 if p else 0):
+        s = out.agg(*(F.sum(F.col(f"_q{a}") * F.col(f"_q{b}")).alias(f"_s{a}_{b}") for a in range(p) for b in range(a, p)))
+        s = s.withColumns({f"_o{k}": F.col(f"_s{k}_{k}") for k in range(p)})
+        for k in range(p):
+            live = F.col(f"_s{k}_{k}") > 1e-13 * F.col(f"_o{k}")
+            s = s.withColumns({f"_d{k}": F.when(live, F.sqrt(f"_s{k}_{k}")), **{f"_l{j}_{k}": F.when(live, F.col(f"_s{k}_{j}") / F.col(f"_s{k}_{k}")).otherwise(0.0) for j in range(k + 1, p)}})
+            if k + 1 < p:
+                s = s.withColumns({f"_s{i}_{j}": F.col(f"_s{i}_{j}") - F.col(f"_l{i}_{k}") * F.col(f"_s{k}_{j}") for i in range(k + 1, p) for j in range(i, p)})
+        columns = out.columns
+        rows = out.crossJoin(F.broadcast(s.select(*(f"_d{k}" for k in range(p)), *(f"_l{j}_{k}" for k in range(p) for j in range(k + 1, p)))))  # one row
+        for j in range(1, p):
+            rows = rows.withColumn(f"_q{j}", F.col(f"_q{j}") - sum((F.col(f"_l{j}_{k}") * F.col(f"_q{k}") for k in range(j)), F.lit(0.0)))
+        out = rows.withColumns({f"_q{k}": F.when(F.col(f"_d{k}").isNull(), 0.0).otherwise(F.col(f"_q{k}") / F.col(f"_d{k}")) for k in range(p)}).select(*columns)
+    return out
+
+
 def several_regressors_t(stack: DataFrame, by: list[str], y: str, design: DataFrame, on: str, names: list[str], wanted: str) -> DataFrame:
-    """t of one of several regressors with an intercept. Moments of the small design are inverted once on the driver; each edge needs only sums."""
-    x = np.array([[1.0, *(float(r[n]) for n in names)] for r in design.orderBy(on).collect()])  # one row a recording
-    inverse = np.linalg.pinv(x.T @ x)
-    joined = stack.join(F.broadcast(design), on)
-    columns = [F.lit(1.0), *(F.col(n).cast("double") for n in names)]
-    sums = joined.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("_yy"), *(F.sum(F.col(y) * c).alias(f"_y{k}") for k, c in enumerate(columns)))
-    beta = [sum((F.col(f"_y{k}") * float(inverse[row, k]) for k in range(len(columns))), F.lit(0.0)) for row in range(len(columns))]
-    explained = sum((beta[k] * F.col(f"_y{k}") for k in range(len(columns))), F.lit(0.0))
-    free = len(x) - np.linalg.matrix_rank(x)
-    at = names.index(wanted) + 1
-    error = F.sqrt(F.greatest(F.col("_yy") - explained, F.lit(0.0)) / float(free) * float(inverse[at, at]))
-    return sums.where(F.col("n") == len(x)).select(*by, F.when(error > 0, beta[at] / error).otherwise(0.0).alias("t"))
+    """(by, t) of one of several regressors with an intercept; edges that lack a recording are left out. Columns that others give take no degree of freedom."""
+    order = [*(n for n in names if n != wanted), wanted]
+    q = orthonormal(design, on, order, True)
+    a = range(len(order) + 1)
+    size = q.agg(F.count("*").alias("_all"), sum((F.max(F.when(F.col(f"_q{k}") != 0, 1).otherwise(0)) for k in a), F.lit(0)).alias("_rank"))
+    sums = stack.join(q, on).groupBy(*by).agg(F.count(y).alias("n"), F.sum(F.col(y) * F.col(y)).alias("_yy"), *(F.sum(F.col(y) * F.col(f"_q{k}")).alias(f"_a{k}") for k in a))
+    whole = sums.crossJoin(F.broadcast(size)).where("n = _all")  # one row
+    explained = sum((F.col(f"_a{k}") * F.col(f"_a{k}") for k in a), F.lit(0.0))
+    error = F.greatest(F.col("_yy") - explained, F.lit(0.0)) / (F.col("_all") - F.col("_rank"))
+    return whole.select(*by, F.when(error > 0, F.col(f"_a{a[-1]}") / F.sqrt(error)).otherwise(0.0).alias("t"))
 
 
 def permuted(items: DataFrame, item: str, value: str, replicates: int, block: str | None = None) -> DataFrame:

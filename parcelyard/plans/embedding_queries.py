@@ -180,3 +180,31 @@ def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.diffusion_component(edges(spark, sf_dir))
+
+
+@query()
+def aligned_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stretches of the vectors as three subjects' gradients in three dimensions, turned to their common mean."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    three = e.select("vec_id", F.posexplode(F.array(*(F.slice("e", 3 * k + 1, 3) for k in range(3))))).select(F.col("pos").alias("subject"), "vec_id", F.col("col").alias("g"))
+    found, _ = embedding.aligned(three, "subject", "vec_id", "g", 3)
+    return found.select("subject", "vec_id", *(F.round(F.get("g", F.lit(k)), 6).alias(f"g{k}") for k in range(3)))
+
+
+@query(
+    "recursive " + TRADE,
+    """pts as (select i as node, yr as pos, sum(w) / 1e6 as v from trade group by all),
+  l as (select node, list(v order by pos) as y, count(*)::int as n from pts group by node),
+  b as materialized (select *, list_transform(range(2, n), lambda k: y[k + 1] - 2 * y[k] + y[k - 1]) as d from l where n >= 4),
+  fw as (select node, 1 as k, 0.0::double as c, d[1] as dd from b union all select node, k + 1, 1 / (4 - c), (6 * d[k + 1] - dd) / (4 - c) from fw join b using (node) where k + 1 <= n - 3),
+  bw as (select node, n - 2 as k, d[n - 2] as m from b union all select bw.node, bw.k - 1, fw.dd - fw.c * m from bw join fw on fw.node = bw.node and fw.k = bw.k - 1),
+  inn as (select node, list(m order by k) as m from bw group by node),
+  mm as (select node, list_concat(list_concat([2 * m[1] - m[2]], m), [2 * m[-1] - m[-2]]) as m, y, n from inn join b using (node)),
+  pos_ as (select node, range as k, m, y, range * (n - 1) / 24.0::double as t, least(floor(range * (n - 1) / 24.0::double)::int, n - 2) as lo from mm, range(25)),
+  cu as (select node, k, m[lo + 1] as ma, m[lo + 2] as mb, y[lo + 1] as ya, y[lo + 2] as yb, lo + 1 - t as ri, t - lo as le from pos_)""",
+    sql="select node, k, round((ma * ri ** 3 + mb * le ** 3) / 6 + (ya - ma / 6) * ri + (yb - mb / 6) * le, 6) as v from cu",
+)
+def trade_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's yearly trade as a smooth curve of 25 points."""
+    points = trade(spark, sf_dir).groupBy(F.col("i").alias("node"), F.col("yr").alias("pos")).agg((F.sum("w") / 1e6).alias("v"))
+    return rounded(nulls.spline(points, "node", "pos", ["v"], 25), "v")

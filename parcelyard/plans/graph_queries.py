@@ -215,13 +215,6 @@ def rich_club_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats
 
 
-@query()
-def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = trade(spark, sf_dir).groupBy("i", "j").agg(F.avg("w").alias("w"))
-    late = trade(spark, sf_dir).where("yr >= 1995").groupBy("i", "j").agg(F.avg("w").alias("w"))
-    return nulls.spatial_test(m, late, nulls.swapped_labels(edges(spark, sf_dir), 20), 20)
-
-
 @query()
 def bandwidth_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls.bandwidth_order(edges(spark, sf_dir))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..catalogue import query
 from ..functions.lineage import cut
 from ..functions.rng import keyed_sql
-from ..operators import graph, inference, similarity, statistics
+from ..operators import graph, inference, nulls, similarity, statistics
 from .parcel_queries import rounded
 from .similarity_queries import KEYS, RANKED, SIM
 from .statistics_queries import FULL, N_PERM, full_trade
-from .views import OBS, TRADE, edges, observations, trade
+from .views import EDGES, OBS, TRADE, edges, observations, trade
 from .graph_queries import HUB
 
 DESIGN = "des as (select yr, yr::double as x, (yr * 37 % 5)::double as z, yr % 2 as block from years)"
@@ -222,3 +222,98 @@ def similarity_p_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leave_one_out_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     sim = similarity.leave_one_out(observations(spark, sf_dir), "parcel", "metabolite", ["pert"], "value").where("i < j")
     return rounded(similarity.kept_by_p(similarity.p_of(sim), 0.5, 10), "r").select("dropped", "i", "j", "r")
+
+
+#: A design of a constant, two nuisances and the year, made orthonormal column by column.
+ORTHONORMAL = """des as (select yr, yr % 2 as block, (yr * 37 % 5)::double as z1, (yr * yr % 3)::double as z2, yr::double as x from years),
+  g0 as (select *, 1 / sqrt(count(*) over ()) as q0 from des),
+  g1 as (select *, r1 / sqrt(sum(r1 * r1) over ()) as q1 from (select *, z1 - q0 * sum(z1 * q0) over () as r1 from g0)),
+  g2 as (select *, r2 / sqrt(sum(r2 * r2) over ()) as q2 from (select *, z2 - q0 * sum(z2 * q0) over () - q1 * sum(z2 * q1) over () as r2 from g1)),
+  g3 as (select *, r3 / sqrt(sum(r3 * r3) over ()) as q3 from (select *, x - q0 * sum(x * q0) over () - q1 * sum(x * q1) over () - q2 * sum(x * q2) over () as r3 from g2))"""
+#: Ends in ``tt`` (perm, i, j, t), from ``left_`` (perm, i, j, yr, r).
+NET_T = """tt as (select perm, i, j, round(case when e > 0 then a3 / sqrt(e) else 0 end, 9) as t from (
+    select perm, i, j, a3, greatest(rr - a0 * a0 - a1 * a1 - a2 * a2 - a3 * a3, 0) / greatest((select count(*) from years) - 4, 1) as e from (
+      select perm, i, j, sum(r * r) as rr, sum(r * q0) as a0, sum(r * q1) as a1, sum(r * q2) as a2, sum(r * q3) as a3 from left_ join g3 using (yr) group by all)))"""
+NET_OUT = "select t.i, t.j, round(t / sqrt(1 + t * t), 6) as s, component, size, round(p, 6) as p from tt t left join placed q on q.perm = 0 and q.a = t.i and q.b = t.j left join ps using (component) where t.perm = 0"
+RESIDUAL = "{y} - q0 * sum({y} * q0) over e - q1 * sum({y} * q1) over e - q2 * sum({y} * q2) over e"
+
+
+def wide_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yr = F.col("yr")
+    return full_trade(spark, sf_dir).select("yr").distinct().select("yr", (yr % 2).alias("block"), (yr * 37 % 5).cast("double").alias("z1"), (yr * yr % 3).cast("double").alias("z2"), yr.cast("double").alias("x"))
+
+
+def tested(found: inference.NetworkTest) -> DataFrame:
+    both = found.t.join(found.edges, ["i", "j"], "left")
+    return both.select("i", "j", F.round(F.col("t") / F.sqrt(1 + F.col("t") * F.col("t")), 6).alias("s"), "component", "size", F.round("p", 6).alias("p"))
+
+
+@query(
+    "recursive " + FULL,
+    ORTHONORMAL,
+    f"""own as (select i, j, yr, {RESIDUAL.format(y="w")} as r from full_ join g3 using (yr) where i < j window e as (partition by i, j)),
+  slots as (select yr as from_, block, row_number() over (partition by block order by yr) as slot from des),
+  rolled as (select perm, yr, block, row_number() over (partition by perm, block order by case when perm = 0 then 0 else {keyed_sql("perm", "yr")} end, yr) as slot from range({N_PERM + 1}) p(perm), des),
+  left_ as (select perm, i, j, rolled.yr, r from own join slots on from_ = own.yr join rolled using (block, slot))""",
+    NET_T,
+    COMPONENTS.format(hit="abs(t) >= 1.5", n=N_PERM + 1),
+    sql=NET_OUT,
+)
+def network_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole test in one call: two nuisances and a constant, dealt within blocks."""
+    return tested(inference.network_statistic(full_trade(spark, sf_dir), wide_design(spark, sf_dir), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, "block"))
+
+
+def walk_sql(chains: str, swaps: int, seed: int = 2) -> str:
+    """Common tables that end in ``ended`` (perm, img): labels of the linked nodes after keyed exchanges between neighbours; ``spots`` holds the nodes."""
+    key = f"(perm + {seed * 1_000_003})"
+    return f"""near as (select src, list(dst order by dst) as near from (select distinct src, dst from edges where src <> dst) group by src),
+  nd as (select list(src order by src) as nodes from near),
+  spots as materialized (select list(list_transform(near, lambda m: list_position(nodes, m)) order by src) as near, any_value(nodes) as nodes from near, nd),
+  walk as (select perm, 0 as s, nodes as img from range(1, {chains} + 1) p(perm), spots union all
+    select perm, s + 1, list_transform(img, lambda x, k: case when k = u then img[v] when k = v then img[u] else x end) from (
+      select perm, s, img, u, ar[{keyed_sql(key, "(2 * s + 1)")} % len(ar) + 1] as v from (select perm, s, img, u, near[u] as ar from (
+        select perm, s, img, near, {keyed_sql(key, "(2 * s)")} % len(nodes) + 1 as u from walk, spots where s < {swaps} * len(nodes))))),
+  ended as materialized (select perm, img from walk, spots where s = {swaps} * len(nodes))"""
+
+
+@query(
+    "recursive " + EDGES,
+    FULL[len(TRADE) + 2 :],
+    ORTHONORMAL,
+    walk_sql(f"({N_PERM} * (select count(*) from years))", 4),
+    """rec as (select yr, row_number() over (order by yr) as k from years), up as (select yr, i, j, w from full_ where i < j),
+  both_ as (from up union all select yr, j, i, w from up),
+  map as (select (perm - 1) // (select count(*) from years) + 1 as perm, yr, node, image from (select perm, unnest(nodes) as node, unnest(img) as image from ended, spots) join rec on rec.k = (perm - 1) % (select count(*) from years) + 1),
+  whole as (from map union all select perm, yr, node, node from (select distinct yr, i as node from both_ where i not in (select unnest(nodes) from spots)), (select distinct perm from map)),
+  moved as (select x.perm, b.yr, x.node as i, y.node as j, w from both_ b join whole x on x.yr = b.yr and x.image = b.i join whole y on y.yr = b.yr and y.perm = x.perm and y.image = b.j where x.node < y.node union all select 0, yr, i, j, w from up)""",
+    f"left_ as (select perm, i, j, yr, {RESIDUAL.format(y='w')} as r from (select *, count(*) over (partition by perm, i, j) as n from moved) join g3 using (yr) where n = (select count(*) from years) window e as (partition by perm, i, j))",
+    NET_T,
+    COMPONENTS.format(hit="abs(t) >= 1.5", n=N_PERM + 1),
+    sql=NET_OUT,
+)
+def network_statistic_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year's nodes exchange labels with neighbours."""
+    found = inference.network_statistic(full_trade(spark, sf_dir), wide_design(spark, sf_dir), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, adjacency=edges(spark, sf_dir))
+    return tested(found)
+
+
+@query(
+    "recursive " + EDGES,
+    walk_sql("20", 10),
+    """late as (select i, j, avg(w) as w from trade where yr >= 1995 group by all),
+  seen as (select row_number() over (order by min(perm)) as perm, img from ended group by img),
+  map as (select perm, unnest(nodes) as node, unnest(img) as image from seen, spots),
+  nn as (select i as node from pop union select j from pop),
+  whole as (from map union all select perm, node, node from nn, (select perm from seen) where node not in (select unnest(nodes) from spots)),
+  moved as (select x.perm, x.node as i, y.node as j, w as wa from pop join whole x on x.image = i join whole y on y.perm = x.perm and y.image = j where x.node < y.node union all select 0, i, j, w from pop where i < j),
+  met as (select perm, wa, late.w as wb from moved join late using (i, j)),
+  ranked as (select perm, rank() over (partition by perm order by wa) + (count(*) over (partition by perm, wa) - 1) / 2.0::double as ra, rank() over (partition by perm order by wb) + (count(*) over (partition by perm, wb) - 1) / 2.0::double as rb from met),
+  rs as (select perm, round(corr(ra, rb), 12) as r from ranked group by perm)""",
+    sql="select round(o.r, 6) as r, count(*) as perms, count(*) filter (n.r >= o.r)::double / count(*) as p from rs o, rs n where o.perm = 0 and n.perm > 0 group by o.r",
+)
+def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct relabellings between neighbours only."""
+    stack = trade(spark, sf_dir)
+    m, late = (rows.groupBy("i", "j").agg(F.avg("w").alias("w")) for rows in (stack, stack.where("yr >= 1995")))
+    return rounded(nulls.spatial_test(m, late, nulls.distinct_labels(edges(spark, sf_dir), 20)), "r")
