@@ -81,7 +81,7 @@ def distinct_labels(adjacency: DataFrame, replicates: int, swaps: int = 10, seed
     """(perm, node, image): like ``swapped_labels``, but no mapping occurs twice. perm runs from 1 to as many as were found.
 
     Chains are drawn by ``replicates`` at a time until there are enough, ``tries`` times at most; the first of equal mappings stays. A small
-    graph may have fewer mappings than are asked for.
+    graph may have fewer mappings than are asked for: a fixed number of exchanges reaches permutations of one parity only.
     """
     kept = None
     for t in range(tries):
@@ -140,6 +140,30 @@ def binned_shuffle(edges: DataFrame, distance: str, value: str, width: float, re
     return rolled.join(numbered.select("bin", "slot", F.col("_v").alias(value)), ["bin", "slot"]).select("perm", "i", "j", value)
 
 
+def _with_bends(rows: DataFrame, c: str, n: Column) -> DataFrame:
+    """``rows`` with a value's points ``_y{c}`` and second derivatives ``_m{c}`` as arrays."""
+    rows = rows.withColumn(f"_y{c}", F.transform("_l", lambda r: r["v"][c]))
+    y = lambda k: F.get(f"_y{c}", k)
+    bend = lambda k: y(k + 1) - 2 * y(k) + y(k - 1)
+    # Forth over the points 2 to n - 3: m[k] + c[k] m[k + 1] = d[k]; m[1] and m[n - 2] are known.
+    start = F.array(F.struct(F.lit(0.0).alias("c"), bend(F.lit(1)).alias("d")))
+
+    def forth(done: Column, k: Column) -> Column:
+        before = F.element_at(done, -1)
+        return F.concat(done, F.array(F.struct((1 / (4 - before["c"])).alias("c"), ((6 * bend(k) - before["d"]) / (4 - before["c"])).alias("d"))))
+
+    inner = F.when(n > 4, F.sequence(F.lit(2), n - 3)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_f", F.aggregate(inner, start, forth))
+    last_known = F.array(bend(n - 2))
+    back = F.aggregate(F.reverse(F.slice("_f", F.lit(2), F.greatest(n - 4, F.lit(0)))), last_known, lambda done, f: F.concat(F.array(f["d"] - f["c"] * F.element_at(done, 1)), done))
+    rows = rows.withColumn("_m", F.when(n > 3, F.concat(F.array(bend(F.lit(1))), back)).when(n == 3, F.array(bend(F.lit(1)))))
+    one = F.element_at("_m", 1)
+    first = 2 * one - F.coalesce(F.get("_m", F.lit(1)), one)
+    last = 2 * F.element_at("_m", -1) - F.when(F.size("_m") > 1, F.get("_m", F.size("_m") - 2)).otherwise(one)
+    whole = F.when(n >= 3, F.concat(F.array(first), "_m", F.array(last))).otherwise(F.array_repeat(F.lit(0.0), n))
+    return rows.withColumn(f"_m{c}", whole).drop("_f", "_m")
+
+
 def spline(points: DataFrame, by: str, pos: str, values: list[str], samples: int, start: int = 0) -> DataFrame:
     """(by, k, values): cubic splines through each group's points in order of ``pos``, at equal steps from point ``start`` to the last.
 
@@ -152,21 +176,7 @@ def spline(points: DataFrame, by: str, pos: str, values: list[str], samples: int
     rows = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_v").alias("v")))).alias("_l"))
     n = F.size("_l")
     for c in values:
-        rows = rows.withColumn(f"_y{c}", F.transform("_l", lambda r, c=c: r["v"][c]))
-        y = lambda k, c=c: F.get(f"_y{c}", k)
-        bend = lambda k, y=y: y(k + 1) - 2 * y(k) + y(k - 1)
-        # Forth over the points 2 to n - 3: m[k] + c[k] m[k + 1] = d[k]; m[1] and m[n - 2] are known.
-        zero = F.array(F.struct(F.lit(0.0).alias("c"), bend(F.lit(1)).alias("d")))
-        step = lambda acc, k, bend=bend: F.concat(acc, F.array(F.struct((1 / (4 - F.element_at(acc, -1)["c"])).alias("c"), ((6 * bend(k) - F.element_at(acc, -1)["d"]) / (4 - F.element_at(acc, -1)["c"])).alias("d"))))
-        inner = F.when(n > 4, F.sequence(F.lit(2), n - 3)).otherwise(F.array().cast("array<int>"))
-        rows = rows.withColumn("_f", F.aggregate(inner, zero, step))
-        back = F.aggregate(
-            F.reverse(F.slice("_f", 2, F.greatest(n - 4, F.lit(0)))), F.array(bend(n - 2)), lambda acc, f: F.concat(F.array(f["d"] - f["c"] * F.element_at(acc, 1)), acc)
-        )
-        rows = rows.withColumn("_m", F.when(n > 3, F.concat(F.array(bend(F.lit(1))), back)).when(n == 3, F.array(bend(F.lit(1)))))
-        first = 2 * F.element_at("_m", 1) - F.coalesce(F.get("_m", F.lit(1)), F.element_at("_m", 1))
-        last = 2 * F.element_at("_m", -1) - F.when(F.size("_m") > 1, F.element_at("_m", -2)).otherwise(F.element_at("_m", -1))
-        rows = rows.withColumn(f"_m{c}", F.when(n >= 3, F.concat(F.array(first), "_m", F.array(last))).otherwise(F.array_repeat(F.lit(0.0), n))).drop("_f", "_m")
+        rows = _with_bends(rows, c, n)
     at = rows.withColumn("_n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))) if samples > 0 else rows.withColumn("_n", n).withColumn("k", F.lit(0)).where("false")
     at = at.withColumn("_t", F.when(F.col("_n") > start, start + F.col("k") * (F.col("_n") - 1 - start) / max(samples - 1, 1)))
     at = at.withColumn("_k", F.greatest(F.least(F.floor("_t").cast("int"), F.col("_n") - 2), F.lit(0)))

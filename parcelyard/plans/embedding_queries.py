@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..operators import embedding, spectral
+from ..operators import embedding, nulls, spectral
 from .graph_queries import edges
 from .parcel_queries import rounded
 from .views import PROF, TRADE, profiles, table, trade
