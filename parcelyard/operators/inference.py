@@ -201,3 +201,51 @@ def network_statistic(
     edges = sizes.where("perm = 0").join(ps, "component").select(F.col("a").alias("i"), F.col("b").alias("j"), "component", "size", "p")
     null = stack.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "perm").join(largest.groupBy("perm").agg(F.max("size").alias("largest")), "perm", "left")
     return NetworkTest(t.where("perm = 0").select("i", "j", "t"), edges, null.select("perm", F.coalesce("largest", F.lit(0)).alias("largest")))
+
+
+def compare_rich_club(
+    stack: DataFrame, item: str, y: str, group: str, first: str, replicates: int, draws: int, least: float = 80, weight: float | None = None,
+    reference: DataFrame | None = None, trim: float = 0.1,
+) -> DataFrame:
+    """One row for each of rich-club, feeder and peripheral links: both groups' n, mean, median and trimmed mean of the recordings' means; their
+    difference with Welch's t, Cohen's d, p by t and by dealt labels, a bootstrap interval, and both q over the three classes.
+
+    ``stack(item, group, i, j, y)``; the group not called ``first`` is the other. Links for degrees are ``reference(i, j)``, in either or
+    both directions, or those of the first group's mean matrix that are positive (no ``weight``), its strongest share (below 1), or at
+    least ``weight``. Hubs: degree of at least ``least``, or of the quantile 1 - ``least`` over all nodes (below 1). Recordings whose mean
+    is null or NaN don't count in a class. A class that a group lacks has n 0, no values, d 0 and p 1; without any spread p by t is 1.
+    """
+    rows = stack.where("i < j").select(item, F.when(F.col(group) == first, "first").otherwise("other").alias("_g"), "i", "j", F.col(y).alias("w"))
+    if reference is None:
+        mode = "positive" if weight is None else "density" if 0 < weight < 1 else "value"
+        reference = reference_graph(rows.where("_g = 'first'"), mode, weight)
+    links = reference.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    nodes = rows.select(F.explode(F.array("i", "j")).alias("node")).distinct().join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    bound = nodes.agg((F.percentile("degree", 1 - least) if 0 < least < 1 else F.lit(float(least))).alias("_least"), F.count("*").alias("_all"))
+    hubs = nodes.crossJoin(F.broadcast(bound)).where("degree >= _least").select("node")  # one row is broadcast
+    means = graph.rich_club_means(rows, hubs, item).join(rows.select(item, "_g").distinct(), item).where(F.col("mean").isNotNull() & ~F.isnan("mean"))
+    means = cut(means.select(item, "_g", "kind", "mean"))
+
+    def middle(side: str) -> list[Column]:
+        own = F.when(F.col("_g") == side, F.col("mean"))
+        listed = F.array_sort(F.collect_list(own))  # one number a recording
+        n = F.size(listed)
+        k = F.floor(trim * n).cast("int") if trim > 0 else F.lit(0)
+        inner = F.slice(listed, k + 1, F.greatest(n - 2 * k, F.lit(1)))
+        trimmed = F.aggregate(inner, F.lit(0.0), lambda s, v: s + v) / F.size(inner)
+        return [F.count(own).alias(f"n_{side}"), F.avg(own).alias(f"mean_{side}"), F.median(own).alias(f"median_{side}"), F.when((2 * k >= n) | F.lit(trim >= 0.5), F.median(own)).otherwise(trimmed).alias(f"trimmed_{side}")]
+
+    kinds = stack.sparkSession.range(1).select(F.explode(F.array(*(F.lit(k) for k in ("rich-club", "feeder", "peripheral")))).alias("kind"))
+    sides = means.groupBy("kind").agg(*middle("first"), *middle("other"))
+    gaps = statistics.two_groups(means, "_g", "first", "other", "mean", ["kind"])
+    gaps = gaps.select("kind", "diff", "t", "d", F.when(F.col("t").isNotNull(), statistics.student_p_column("t", "df")).alias("p_t"))
+    dealt = group_permutation_p(means, item, "_g", "first", "mean", ["kind"], replicates).where("diff is not null").select("kind", F.col("p").alias("p_perm"))
+    spread = difference_interval(means, item, "_g", "first", "mean", draws, ["kind"])
+    whole = kinds.join(sides, "kind", "left").join(gaps, "kind", "left").join(dealt, "kind", "left").join(spread, "kind", "left")
+    both = (F.coalesce("n_first", F.lit(0)) > 0) & (F.coalesce("n_other", F.lit(0)) > 0)
+    filled = whole.withColumns({
+        "n_first": F.coalesce("n_first", F.lit(0)), "n_other": F.coalesce("n_other", F.lit(0)), "d": F.when(both, F.col("d")).otherwise(0.0),
+        "p_t": F.when(F.col("p_t").isNull() | F.isnan("p_t"), 1.0).otherwise(F.col("p_t")), "p_perm": F.coalesce("p_perm", F.lit(1.0)),
+    })
+    return statistics.bh_fdr(statistics.bh_fdr(filled, "p_t", ["kind"]).withColumnRenamed("q", "q_t"), "p_perm", ["kind"]).withColumnRenamed("q", "q_perm")

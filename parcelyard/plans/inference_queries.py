@@ -317,3 +317,37 @@ def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stack = trade(spark, sf_dir)
     m, late = (rows.groupBy("i", "j").agg(F.avg("w").alias("w")) for rows in (stack, stack.where("yr >= 1995")))
     return rounded(nulls.spatial_test(m, late, nulls.distinct_labels(edges(spark, sf_dir), 20)), "r")
+
+
+@query(
+    EDGES,
+    f"""nn as (select i as node from trade where i < j union select j from trade where i < j),
+  dg as (select node, count(src) as degree from nn left join edges on src = node group by node),
+  hubs as (select node from dg where degree >= (select quantile_cont(degree, 0.75) from dg)),
+  c as materialized (select yr, case when yr < 1995 then 'first' else 'other' end as g, case (i in (from hubs))::int + (j in (from hubs))::int when 2 then 'rich-club' when 1 then 'feeder' else 'peripheral' end as kind, avg(w) as mean from trade where i < j group by all),
+  kinds as (select unnest(['rich-club', 'feeder', 'peripheral']) as kind),
+  m as (select kind, g, count(*) as n, avg(mean) as mean, median(mean) as med, var_samp(mean) as v, list_sort(list(mean)) as l, floor(0.34 * count(*))::int as k from c group by all),
+  mt as (select *, case when 2 * k >= n then med else list_avg(l[k + 1 : n - k]) end as tri from m),
+  ab as (select a.kind, a.n as n1, b.n as n2, a.mean as m1, b.mean as m2, a.med as d1, b.med as d2, a.tri as t1, b.tri as t2, a.v as v1, b.v as v2 from mt a join mt b on a.kind = b.kind and a.g = 'first' and b.g = 'other'),
+  subs as (select distinct yr, g from c), slots as (select g, row_number() over (order by yr) as slot from subs),
+  rolled as (select perm, yr, row_number() over (partition by perm order by case when perm = 0 then 0 else {keyed_sql("perm", "yr")} end, yr) as slot from range({N_PERM + 1}) p(perm), subs),
+  dealt as (select perm, yr, slots.g as e from rolled join slots using (slot)),
+  ds as materialized (select perm, kind, round(avg(mean) filter (e = 'first') - avg(mean) filter (e <> 'first'), 9) as d from c join dealt using (yr) group by all),
+  ps as (select kind, ((select count(*) from ds n where n.kind = o.kind and n.perm > 0 and abs(n.d) >= abs(o.d)) + 1) / {N_PERM + 1}::double as p from ds o where perm = 0),
+  pq as (select kind, coalesce(p, 1.0) as p, row_number() over (order by coalesce(p, 1.0), kind) as r from kinds left join ps using (kind)),
+  qs as (select kind, p, least(1.0, min(p * 3 / r) over (order by r desc)) as q from pq),
+  nb as (select kind, g, mean, row_number() over (partition by kind, g order by yr) - 1 as k, count(*) over (partition by kind, g) as n from c),
+  dr as (select perm, kind, g, {keyed_sql("perm", "k")} % n as k from nb, range(1, 41) p(perm)),
+  gp as (select perm, kind, avg(mean) filter (g = 'first') - avg(mean) filter (g <> 'first') as d from dr join nb using (kind, g, k) group by all),
+  ci as (select kind, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from gp group by all)""",
+    sql="""select kind, coalesce(n1, 0) as n_first, coalesce(n2, 0) as n_other, round(m1, 2) as mean_first, round(m2, 2) as mean_other, round(d1, 2) as median_first, round(d2, 2) as median_other,
+  round(t1, 2) as trimmed_first, round(t2, 2) as trimmed_other, round(m1 - m2, 2) as diff, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) as t,
+  round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 4) as d, round(p, 6) as p_perm, round(q, 6) as q_perm, round(lo, 2) as lo, round(hi, 2) as hi
+  from kinds left join ab using (kind) left join qs using (kind) left join ci using (kind)""",
+)
+def rich_club_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison of two eras in one call; p by Welch's t is tested by hand."""
+    stack = trade(spark, sf_dir).withColumn("era", F.when(F.col("yr") < 1995, "early").otherwise("late"))
+    found = inference.compare_rich_club(stack, "yr", "w", "era", "early", N_PERM, 40, 0.25, reference=edges(spark, sf_dir).select(F.col("src").alias("i"), F.col("dst").alias("j")), trim=0.34)
+    values = ["mean_first", "mean_other", "median_first", "median_other", "trimmed_first", "trimmed_other", "diff", "lo", "hi"]
+    return rounded(rounded(rounded(found, *values, digits=2), "t", "d", digits=4), "p_perm", "q_perm").drop("p_t", "q_t")

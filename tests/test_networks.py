@@ -227,3 +227,41 @@ def test_alignment_equals_a_plain_version(spark):
     found, reference = embedding.aligned(points, "s", "n", "g", 3, start, rounds=4, tolerance=0.0)
     assert all(np.allclose(x["g"], ref[x["n"]]) for x in reference.collect())
     assert all(np.allclose(x["g"], turned[x["s"]][x["n"]]) for x in found.collect())
+
+
+def test_rich_club_comparison(spark):
+    r = np.random.RandomState(4)
+    n, subjects = 6, 9
+    hubs = {0, 1, 2}
+    data = {s: np.triu(r.rand(n, n), 1) for s in range(subjects)}
+    rows = [(s, "c" if s < 5 else "p", i, j, float(data[s][i, j])) for s in range(subjects) for i in range(n) for j in range(i + 1, n)]
+    stack = spark.createDataFrame(rows, "s int, g string, i int, j int, w double")
+    ref = spark.createDataFrame([(0, 1), (1, 0), (0, 2), (1, 2), (2, 3), (0, 4), (1, 5)], "i int, j int")
+    got = {x["kind"]: x for x in inference.compare_rich_club(stack, "s", "w", "g", "c", 15, 30, 3, reference=ref, trim=0.25).collect()}
+    dealt = {}
+    for x in statistics.permuted(stack.select("s", "g").distinct(), "s", "g", 15).collect():
+        dealt.setdefault(x["perm"], {})[x["s"]] = x["g"]
+    ps = {}
+    for kind, wanted in (("rich-club", 2), ("feeder", 1), ("peripheral", 0)):
+        cells = [(i, j) for i in range(n) for j in range(i + 1, n) if (i in hubs) + (j in hubs) == wanted]
+        m = np.array([np.mean([data[s][c] for c in cells]) for s in range(subjects)])
+        x, y, found = m[:5], m[5:], got[kind]
+        assert (found["n_first"], found["n_other"]) == (5, 4)
+        assert [found[c] for c in ("mean_first", "mean_other", "median_first", "median_other", "diff")] == pytest.approx([x.mean(), y.mean(), np.median(x), np.median(y), x.mean() - y.mean()])
+        assert (found["trimmed_first"], found["trimmed_other"]) == pytest.approx((np.sort(x)[1:-1].mean(), np.sort(y)[1:-1].mean()))
+        e1, e2 = x.var(ddof=1) / 5, y.var(ddof=1) / 4
+        t, df = (x.mean() - y.mean()) / math.sqrt(e1 + e2), (e1 + e2) ** 2 / (e1**2 / 4 + e2**2 / 3)
+        assert found["t"] == pytest.approx(t) and found["p_t"] == pytest.approx(statistics.student_p(t, df))
+        gap = lambda d, m=m: np.mean([m[s] for s in d if d[s] == "c"]) - np.mean([m[s] for s in d if d[s] == "p"])
+        ps[kind] = (sum(abs(gap(dealt[k])) >= abs(gap(dealt[0])) - 1e-12 for k in range(1, 16)) + 1) / 16
+        assert found["p_perm"] == pytest.approx(ps[kind]) and found["lo"] <= found["hi"]
+    order = sorted(ps, key=lambda k: (ps[k], k))
+    q = {k: min(min(1.0, ps[v] * 3 / (order.index(v) + 1)) for v in order[order.index(k) :]) for k in order}
+    assert {k: got[k]["q_perm"] for k in got} == pytest.approx(q)
+
+
+def test_rich_club_without_hubs(spark):
+    stack = spark.createDataFrame([(s, "c" if s < 3 else "p", i, j, float(s + i)) for s in range(6) for i in range(3) for j in range(i + 1, 3)], "s int, g string, i int, j int, w double")
+    got = {x["kind"]: x for x in inference.compare_rich_club(stack, "s", "w", "g", "c", 5, 10).collect()}
+    assert set(got) == {"rich-club", "feeder", "peripheral"} and got["peripheral"]["n_first"] == 3
+    assert [(got["feeder"][c]) for c in ("n_first", "n_other", "mean_first", "t", "d", "p_t", "p_perm")] == [0, 0, None, None, 0.0, 1.0, 1.0]
