@@ -29,7 +29,7 @@ def freedman_lane(stack: DataFrame, design: DataFrame, item: str, x: str, z: str
 
     ``design(item, x, z, block)``: one row a recording. Fitted values of the reduced model drop out of x's slope and of the error once
     both are taken free of z, so only residuals move: t follows from sums of x, z and residuals over the recordings. Items deal within
-    their block, if it is named. Every edge needs all recordings.
+    their block, if it is named. Edges that lack a recording have no t.
     """
     plain = residuals(residuals(design.withColumn("_one", F.lit(1)), ["_one"], x, z, "_x"), ["_one"], z, None, "_z").select(item, "_x", "_z", *([block] if block else []))
     own = residuals(stack.join(design.select(item, z), item), by, y, z, "_r").select(*by, F.col(item).alias("_from"), "_r")
@@ -39,6 +39,7 @@ def freedman_lane(stack: DataFrame, design: DataFrame, item: str, x: str, z: str
         F.sum(F.col("_x") * F.col("_r")).alias("xr"), F.sum(F.col("_z") * F.col("_r")).alias("zr"), F.sum("_r").alias("r"), F.sum(F.col("_r") * F.col("_r")).alias("rr"),
         F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.sum(F.col("_z") * F.col("_z")).alias("zz"), F.count("*").alias("n"),
     )
+    sums = sums.crossJoin(F.broadcast(design.agg(F.count("*").alias("_all")))).where("n = _all")  # one row
     free = F.col("rr") - F.col("r") * F.col("r") / F.col("n") - F.coalesce(F.col("zr") * F.col("zr") / F.nullif(F.col("zz"), F.lit(0.0)), F.lit(0.0))
     error = F.greatest(free - F.col("xr") * F.col("xr") / F.col("xx"), F.lit(0.0)) / (F.col("n") - 3)
     t = F.when(error > 0, F.col("xr") / F.col("xx") / F.sqrt(error / F.col("xx"))).otherwise(0.0)

@@ -301,7 +301,7 @@ def network_statistic_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recursive " + EDGES,
     walk_sql("20", 10),
-    """late as (select i, j, avg(w) as w from trade where yr >= 1995 group by all),
+    """late as (select i, j, avg(w) as w from trade where yr >= 1998 group by all),
   seen as (select row_number() over (order by min(perm)) as perm, img from ended group by img),
   map as (select perm, unnest(nodes) as node, unnest(img) as image from seen, spots),
   nn as (select i as node from pop union select j from pop),
@@ -315,7 +315,7 @@ def network_statistic_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct relabellings between neighbours only."""
     stack = trade(spark, sf_dir)
-    m, late = (rows.groupBy("i", "j").agg(F.avg("w").alias("w")) for rows in (stack, stack.where("yr >= 1995")))
+    m, late = (rows.groupBy("i", "j").agg(F.avg("w").alias("w")) for rows in (stack, stack.where("yr >= 1998")))
     return rounded(nulls.spatial_test(m, late, nulls.distinct_labels(edges(spark, sf_dir), 20)), "r")
 
 
@@ -324,7 +324,7 @@ def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""nn as (select i as node from trade where i < j union select j from trade where i < j),
   dg as (select node, count(src) as degree from nn left join edges on src = node group by node),
   hubs as (select node from dg where degree >= (select quantile_cont(degree, 0.75) from dg)),
-  c as materialized (select yr, case when yr < 1995 then 'first' else 'other' end as g, case (i in (from hubs))::int + (j in (from hubs))::int when 2 then 'rich-club' when 1 then 'feeder' else 'peripheral' end as kind, avg(w) as mean from trade where i < j group by all),
+  c as materialized (select yr, case when yr < 1998 then 'first' else 'other' end as g, case (i in (from hubs))::int + (j in (from hubs))::int when 2 then 'rich-club' when 1 then 'feeder' else 'peripheral' end as kind, avg(w) as mean from trade where i < j group by all),
   kinds as (select unnest(['rich-club', 'feeder', 'peripheral']) as kind),
   m as (select kind, g, count(*) as n, avg(mean) as mean, median(mean) as med, var_samp(mean) as v, list_sort(list(mean)) as l, floor(0.34 * count(*))::int as k from c group by all),
   mt as (select *, case when 2 * k >= n then med else list_avg(l[k + 1 : n - k]) end as tri from m),
@@ -347,7 +347,7 @@ def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rich_club_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison of two eras in one call; p by Welch's t is tested by hand."""
-    stack = trade(spark, sf_dir).withColumn("era", F.when(F.col("yr") < 1995, "early").otherwise("late"))
+    stack = trade(spark, sf_dir).withColumn("era", F.when(F.col("yr") < 1998, "early").otherwise("late"))
     found = inference.compare_rich_club(stack, "yr", "w", "era", "early", N_PERM, 40, 0.25, reference=edges(spark, sf_dir).select(F.col("src").alias("i"), F.col("dst").alias("j")), trim=0.34)
     values = ["mean_first", "mean_other", "median_first", "median_other", "trimmed_first", "trimmed_other", "diff", "lo", "hi"]
     return rounded(rounded(rounded(found, *values, digits=2), "t", "d", digits=4), "p_perm", "q_perm").drop("p_t", "q_t")

@@ -120,6 +120,14 @@ def test_network_statistic_odd_inputs(spark, case):
     assert inference.network_statistic(stack.where("false"), design, "item", "w", 1.0, 2, "x").edges.count() == 0
 
 
+def test_freedman_lane_leaves_out_edges_with_gaps(spark, case):
+    n, cols, pairs, y, design, stack = case
+    holes = stack.where("i < j and not (i = 0 and j = 1 and item = 3)")
+    got = inference.freedman_lane(holes, design, "item", "x", "b", "w", ["i", "j"], 2).where("perm = 0").collect()
+    assert {(r["i"], r["j"]) for r in got} == set(pairs) - {(0, 1)}
+    assert all(r["t"] == pytest.approx(fitted_t(y[r["i"], r["j"]], [np.ones(n), cols["b"], cols["x"]])) for r in got)
+
+
 def test_several_regressors_equal_least_squares(spark, case):
     n, cols, pairs, y, design, stack = case
     got = {(r["i"], r["j"]): r["t"] for r in statistics.several_regressors_t(stack, ["i", "j"], "w", design, "item", ["x", "a", "b", "c"], "x").collect()}
