@@ -166,6 +166,31 @@ def energy_adjacent(values: DataFrame, edges: DataFrame, value: str) -> DataFram
     return pairs.join(a, "_a").join(b, "_b").agg(F.sum(F.pow(F.col("_va") - F.col("_vb"), 2)).alias("energy"))
 
 
+def free_energy(values: DataFrame, value: str, edges: DataFrame | None = None, bins: int | None = None) -> DataFrame:
+    """(energy, entropy), one row: squared differences of all pairs, or of the pairs that an edge joins, and the entropy (base 10) of the values' histogram.
+
+    ``values(node, value)``. Null, NaN and infinite values take no part, but count for the number of bins: 2 * n ** (1 / 3) of all rows,
+    rounded, at least 2. The histogram reaches from the least to the largest value; values that hardly differ have entropy 0. Without
+    finite values both are NaN.
+    """
+    x = F.col(value).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    sound = values.where(finite).withColumn(value, x)
+    of_all = F.bround(2 * F.pow(F.count("*"), F.lit(1 / 3))) if bins is None else F.lit(bins)
+    own = F.when(finite, x)
+    span = values.agg(F.greatest(of_all.cast("int"), F.lit(2)).alias("_bins"), F.min(own).alias("_lo"), F.max(own).alias("_hi"))
+    at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * F.col("_bins")), F.col("_bins") - 1)
+    counts = sound.crossJoin(F.broadcast(span)).groupBy(at.alias("_b")).agg(F.count("*").alias("_c"))  # one row is broadcast
+    # p log p from sums of c and of c log c, so the bins needn't meet.
+    spread = counts.agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log10("_c")).alias("_clogc"))
+    energy = energy_all(sound, value) if edges is None else energy_adjacent(sound, edges, value)
+    flat = F.abs(F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs("_hi")
+    entropy = F.when(flat, 0.0).otherwise(F.log10("_n") - F.col("_clogc") / F.col("_n"))
+    none = F.col("_lo").isNull()
+    whole = energy.join(span).join(spread)  # one row each
+    return whole.select(F.when(none, float("nan")).otherwise(F.coalesce("energy", F.lit(0.0))).alias("energy"), F.when(none, float("nan")).otherwise(entropy).alias("entropy"))
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community): each round a node takes the label with most weight around it, ties to the least; all nodes at once."""
     labels = cut(edges.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query
 from ..operators import graph, nulls, statistics
 from .parcel_queries import rounded
-from .views import EDGES, NODEVAL, VOX, edges, node_values, trade, voxels
+from .views import EDGES, NODEVAL, VOX, edges, node_values, table, trade, voxels
 
 DEG = EDGES + ", deg as (select src as node, count(*) as degree from edges group by all)"
 HUB = DEG + ", hub as (select node, degree from deg where degree >= (select quantile_cont(degree, 0.75) from deg))"
@@ -169,6 +169,17 @@ def free_energy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.energy_all(node_values(spark, sf_dir), "v"), "energy", digits=4)
 
 
+@query(
+    "v as (select embedding[1]::double as v from embeddings), r as (select round_even(2 * count(*) ** (1 / 3::double), 0)::int as b, min(v) as lo, max(v) as hi from v), c as (select least(floor((v - lo) / (hi - lo) * b), b - 1) as k, count(*)::double as n from v, r group by all)",
+    "p as (select n / sum(n) over () as p from c)",
+    sql="select round((select count(*) * sum(v * v) - sum(v) ** 2 from v), 3) as energy, round(-sum(p * log10(p)), 6) as entropy from p",
+)
+def free_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of all pairs and entropy of the vectors' first coordinates."""
+    values = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding")[0].cast("double").alias("v"))
+    return rounded(rounded(graph.free_energy(values, "v"), "energy", digits=3), "entropy")
+
+
 @query(EDGES, NODEVAL, sql="select round(sum((a.v - b.v) ** 2), 4) as energy from edges join nodeval a on a.node = src join nodeval b on b.node = dst where src < dst")
 def free_energy_adj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.energy_adjacent(node_values(spark, sf_dir), edges(spark, sf_dir), "v"), "energy", digits=4)

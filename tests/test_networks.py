@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelyard.operators import embedding, inference, nulls, statistics
+from parcelyard.operators import embedding, graph, inference, nulls, statistics
 
 PRIME = 2147483647
 
@@ -273,3 +273,20 @@ def test_rich_club_without_hubs(spark):
     got = {x["kind"]: x for x in inference.compare_rich_club(stack, "s", "w", "g", "c", 5, 10).collect()}
     assert set(got) == {"rich-club", "feeder", "peripheral"} and got["peripheral"]["n_first"] == 3
     assert [(got["feeder"][c]) for c in ("n_first", "n_other", "mean_first", "t", "d", "p_t", "p_perm")] == [0, 0, None, None, 0.0, 1.0, 1.0]
+
+
+def test_free_energy(spark):
+    v = np.random.RandomState(6).randn(40)
+    rows = [*((k, float(x)) for k, x in enumerate(v)), (40, None), (41, float("nan")), (42, float("inf"))]
+    values = spark.createDataFrame(rows, "node int, v double")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 3), (5, 40), (6, 99)], "src int, dst int")
+    c = np.histogram(v, bins=round(2 * 43 ** (1 / 3)))[0]
+    p = c[c > 0] / 40
+    every, near = graph.free_energy(values, "v").first(), graph.free_energy(values, "v", edges, bins=5).first()
+    assert every["energy"] == pytest.approx(sum((a - b) ** 2 for a, b in itertools.combinations(v, 2))) and every["entropy"] == pytest.approx(-(p * np.log10(p)).sum())
+    c = np.histogram(v, bins=5)[0]
+    p = c[c > 0] / 40
+    assert near["energy"] == pytest.approx((v[0] - v[1]) ** 2 + (v[2] - v[3]) ** 2) and near["entropy"] == pytest.approx(-(p * np.log10(p)).sum())
+    flat, none = graph.free_energy(values.where("node = 3"), "v").first(), graph.free_energy(values.where("node >= 40"), "v").first()
+    assert (flat["energy"], flat["entropy"]) == (0.0, 0.0) and math.isnan(none["energy"]) and math.isnan(none["entropy"])
+    assert math.isnan(graph.free_energy(values.where("false"), "v").first()["entropy"])
