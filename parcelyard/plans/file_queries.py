@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
+from ..functions.numbering import numbered
 from ..operators import catalog, files
 from .views import table
 
@@ -40,7 +41,8 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s, r = F.col("o_custkey").cast("string"), (1 + F.year("o_orderdate") % 3).cast("string"), (1 + F.col("o_orderkey") % 3).cast("string")
     shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("o_orderkey") % len(SHAPES) + 1).cast("int"))
     path = F.replace(F.replace(F.replace(shape, F.lit("{c}"), c), F.lit("{s}"), s), F.lit("{r}"), r)
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), s.alias("s"), path.alias("path"))
+    # Behind an explode of one element the path is built once, however often filters and columns name it.
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), s.alias("s"), F.explode(F.array(path)).alias("path"))
 
 
 NIFTI = "regexp_matches(lower(path), '[.]nii([.]gz)?$')"
@@ -279,9 +281,7 @@ def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(*SCAN, sql="select row_number() over (order by state, kind, subject, session, path) as n, path from state")
 def sorted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return states(spark, sf_dir).select(F.row_number().over(Window.orderBy("state", "kind", "subject", "session", "path")).cast("bigint").alias("n"), "path")
+    return numbered(states(spark, sf_dir), ["state", "kind", "subject", "session", "path"]).select("n", "path")
 
 
 FOLDERS = "fo as (select o_orderkey as id, '/d/S' || o_custkey as folder, o_orderkey % 4 as k from orders), pl as (select id, folder, folder || case k when 0 then '/MRSI_NIFTI' when 1 then '/in/Results_S' || split_part(folder, '/S', 2) || '/MRSI_NIFTI' when 2 then '/Results_S' || split_part(folder, '/S', 2) || '/MRSI_NIFTI' else '/other' end as place, k from fo)"

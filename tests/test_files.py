@@ -147,3 +147,20 @@ def test_mirrored_shape_is_found(spark):
     c = np.array([[-r["x"], r["y"]] for r in a.collect()])
     c = (c - c.mean(0)) / np.linalg.norm(c - c.mean(0))
     assert np.allclose([[r["x"], r["y"]] for r in got], c)
+
+
+def test_a_column_is_worked_out_once(spark):
+    # Each of these named what it was made of many times over, so a plan held some thousand patterns and a row took a millisecond.
+    rows = spark.createDataFrame([("raw/Results_A_T1/x.nii",)], "path string")
+    for column in (files.guess(F.col("path")), files.cat12(F.col("path")), files.map_name(F.col("path"))):
+        plan = rows.select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("regexp_") + plan.count("RLIKE") < 60, plan.lower().count("regexp_")
+
+
+def test_numbers_without_one_task(spark):
+    from parcelyard.functions.numbering import numbered
+
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as k", "id % 3 as g")
+    got = {(r["g"], r["k"]): r["n"] for r in numbered(rows, ["g", "k"]).collect()}
+    assert got == {key: n for n, key in enumerate(sorted(got), 1)}
+    assert numbered(rows.where("false"), ["g"]).count() == 0
