@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
+from ..functions.lineage import cut
 from ..functions.numbering import numbered
 from ..operators import catalog, files
 from .views import table
@@ -265,7 +266,7 @@ def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = files.destination(items(spark, sf_dir), "path")
+    placed = cut(files.destination(items(spark, sf_dir), "path").drop("note"))  # named twice below, and its paths are costly to read
     return files.target_states(placed, placed.where(F.col("target").contains("S1") | F.col("target").contains("_desc-p2")).select(F.col("target").alias("path")))
 
 
