@@ -35,13 +35,13 @@ def first_node(found: DataFrame) -> int:
     return found.agg(F.min("src")).first()[0]
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
+def paths(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    e = edges(spark, sf_dir) if e is None else e
     return graph.simple_paths(e, first_node(e), 4)
 
 
-def valued_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.with_path_ids(paths(spark, sf_dir)).join(node_values(spark, sf_dir), "node")
+def valued_steps(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    return graph.with_path_ids(paths(spark, sf_dir, e)).join(node_values(spark, sf_dir), "node")
 
 
 @query(DEG, sql="from deg")
@@ -161,7 +161,8 @@ def path_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql="select distinct path_id, pos, old, a.dst as new from inner_ i join edges a on a.src = p join edges b on b.src = n and b.dst = a.dst where p is not null and n is not null and not exists (from steps t where t.path_id = i.path_id and t.node = a.dst)",
 )
 def perturb_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.perturbed(graph.with_path_ids(paths(spark, sf_dir)), edges(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+    e = edges(spark, sf_dir)
+    return graph.perturbed(graph.with_path_ids(paths(spark, sf_dir, e)), e).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(NODEVAL, sql="select round(count(*) * sum(v * v) - sum(v) ** 2, 4) as energy from nodeval")

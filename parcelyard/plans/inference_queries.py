@@ -238,9 +238,9 @@ NET_OUT = "select t.i, t.j, round(t / sqrt(1 + t * t), 6) as s, component, size,
 RESIDUAL = "{y} - q0 * sum({y} * q0) over e - q1 * sum({y} * q1) over e - q2 * sum({y} * q2) over e"
 
 
-def wide_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_design(stack: DataFrame) -> DataFrame:
     yr = F.col("yr")
-    return full_trade(spark, sf_dir).select("yr").distinct().select("yr", (yr % 2).alias("block"), (yr * 37 % 5).cast("double").alias("z1"), (yr * yr % 3).cast("double").alias("z2"), yr.cast("double").alias("x"))
+    return stack.select("yr").distinct().select("yr", (yr % 2).alias("block"), (yr * 37 % 5).cast("double").alias("z1"), (yr * yr % 3).cast("double").alias("z2"), yr.cast("double").alias("x"))
 
 
 def tested(found: inference.NetworkTest) -> DataFrame:
@@ -261,7 +261,8 @@ def tested(found: inference.NetworkTest) -> DataFrame:
 )
 def network_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole test in one call: two nuisances and a constant, dealt within blocks."""
-    return tested(inference.network_statistic(full_trade(spark, sf_dir), wide_design(spark, sf_dir), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, "block"))
+    stack = full_trade(spark, sf_dir)
+    return tested(inference.network_statistic(stack, wide_design(stack), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, "block"))
 
 
 def walk_sql(chains: str, swaps: int, seed: int = 2) -> str:
@@ -294,7 +295,8 @@ def walk_sql(chains: str, swaps: int, seed: int = 2) -> str:
 )
 def network_statistic_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every year's nodes exchange labels with neighbours."""
-    found = inference.network_statistic(full_trade(spark, sf_dir), wide_design(spark, sf_dir), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, adjacency=edges(spark, sf_dir))
+    stack = full_trade(spark, sf_dir)
+    found = inference.network_statistic(stack, wide_design(stack), "yr", "w", 1.5, N_PERM, "x", ["z1", "z2"], True, adjacency=edges(spark, sf_dir))
     return tested(found)
 
 

@@ -16,12 +16,12 @@ STRENGTH = "strength as (select src as node, sum(w) as strength from edges group
 SIZED = GRAD + ", sized as (select *, count(*) over (partition by path_id) as n, min(v) over (partition by path_id) as lo, max(v) over (partition by path_id) as hi from g)"
 
 
-def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("strength"))
+def strengths(e: DataFrame) -> DataFrame:
+    return e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("strength"))
 
 
-def energy(spark: SparkSession, sf_dir: str) -> float:
-    return edges(spark, sf_dir).agg(F.sum("w")).first()[0]  # one number
+def energy(e: DataFrame) -> float:
+    return e.agg(F.sum("w")).first()[0]  # one number
 
 
 @query(STEPS, sql="select path_id, pos, node as src, nxt as dst from (select *, lead(node) over (partition by path_id order by pos) as nxt from steps) where nxt is not null")
@@ -43,8 +43,9 @@ def path_gradient_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAD, STRENGTH, sql="select path_id, round(avg(abs(grad)) * (count(*) - 1) / count(*) - 0.5 * avg(strength) / any_value(e), 6) as cost from g join strength using (node), energy group by all")
 def path_node_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = valued_steps(spark, sf_dir).join(strengths(spark, sf_dir), "node")
-    return rounded(paths.node_cost(steps, "v", "strength", energy(spark, sf_dir)), "cost")
+    e = edges(spark, sf_dir)
+    steps = valued_steps(spark, sf_dir, e).join(strengths(e), "node")
+    return rounded(paths.node_cost(steps, "v", "strength", energy(e)), "cost")
 
 
 @query(
@@ -69,13 +70,15 @@ PERTURBED = STEPS + """, around as (select path_id, pos, node, lag(node) over w
 
 @query(PERTURBED, sql="select path_id, array_to_string(nodes, ',') as nodes, changed from whole")
 def perturb_several(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.perturbed_anywhere(graph.with_path_ids(found_paths(spark, sf_dir)), edges(spark, sf_dir), 5)
+    e = edges(spark, sf_dir)
+    found = paths.perturbed_anywhere(graph.with_path_ids(found_paths(spark, sf_dir, e)), e, 5)
     return found.select("path_id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), "changed")
 
 
 @query(PERTURBED, sql="select path_id, array_to_string(nodes, ',') as nodes, changed from (select *, row_number() over (partition by path_id order by changed, nodes) as k from whole) where k <= 2")
 def perturb_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.perturbed_anywhere(graph.with_path_ids(found_paths(spark, sf_dir)), edges(spark, sf_dir), 5, most=2)
+    e = edges(spark, sf_dir)
+    found = paths.perturbed_anywhere(graph.with_path_ids(found_paths(spark, sf_dir, e)), e, 5, most=2)
     return found.select("path_id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), "changed")
 
 
@@ -88,8 +91,8 @@ def perturb_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_exact_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the paths of four nodes from the first node to each other one, the one of least cost."""
     e = edges(spark, sf_dir)
-    start, total = first_node(e), energy(spark, sf_dir)
-    values = node_values(spark, sf_dir).join(strengths(spark, sf_dir), "node")
+    start, total = first_node(e), energy(e)
+    values = node_values(spark, sf_dir).join(strengths(e), "node")
     found = paths.best_exact(e, start, values, 4, total, 0.5)
     return found.select("goal", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
@@ -115,5 +118,5 @@ def adjusted_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_through_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     start = first_node(e)
-    goal = found_paths(spark, sf_dir).agg(F.max(F.element_at("nodes", -1))).first()[0]
+    goal = found_paths(spark, sf_dir, e).agg(F.max(F.element_at("nodes", -1))).first()[0]
     return graph.through(e, [start, goal], 4).select("leg", "length", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))

@@ -290,3 +290,11 @@ def test_free_energy(spark):
     flat, none = graph.free_energy(values.where("node = 3"), "v").first(), graph.free_energy(values.where("node >= 40"), "v").first()
     assert (flat["energy"], flat["entropy"]) == (0.0, 0.0) and math.isnan(none["energy"]) and math.isnan(none["entropy"])
     assert math.isnan(graph.free_energy(values.where("false"), "v").first()["entropy"])
+
+
+def test_trade_is_made_once(spark, sf_dir):
+    # Label propagation used to join all lines again in every round, as the links were a plan over the whole tables.
+    from parcelyard.plans import views
+
+    plan = views.edges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "Join" not in plan
