@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query
+from ..functions.lineage import cut, dealt
 from ..operators import communities, nulls
 from ..operators import graph as graphs
 from .parcel_queries import rounded
@@ -18,9 +19,14 @@ YEARLY = TRADE + ", yearly as materialized (select yr as run, i as node, ntile(4
 
 
 def cosupply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    """One half of the pairs is counted, over tasks that grow in number with the lines; the other half is its mirror image."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = lines.count()
+    lines = dealt(lines, rows, "l_orderkey")
     a, b = (lines.select("l_orderkey", F.col("l_suppkey").alias(end)) for end in ("src", "dst"))
-    return a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    pairs = dealt(a.join(b, "l_orderkey").where("src < dst").select("src", "dst"), 2 * rows, "src", "dst")  # some four lines an order
+    half = cut(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
+    return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:

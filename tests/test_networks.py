@@ -298,3 +298,38 @@ def test_trade_is_made_once(spark, sf_dir):
 
     plan = views.edges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and "Join" not in plan
+
+
+def test_hops_are_joined_as_sets(spark):
+    # 60 nodes, all linked, then 60 more in a row: a step used to make a row for each way to a node.
+    links = [(a, b) for a in range(60) for b in range(60) if a != b] + [(n, n + 1) for n in range(59, 700, 1)] + [(5, -3), (-3, 10**12)]
+    rows = spark.createDataFrame(links, "src bigint, dst bigint")
+    got = {(r["src"], r["dst"]): r["hops"] for r in graph.k_hop(rows, 3).collect()}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+    expected = {}
+    for a in near:
+        seen, front = {a}, {a}
+        for n in (1, 2, 3):
+            front = {c for b in front for c in near.get(b, ())} - seen
+            seen |= front
+            expected |= {(a, c): n for c in front}
+    assert got == expected
+    assert dict(graph.k_hop(rows.selectExpr("cast(src as int) as src", "cast(dst % 1000 as int) as dst"), 2).dtypes) == {"src": "int", "dst": "int", "hops": "int"}
+
+
+def test_tasks_grow_in_number_with_rows(spark):
+    from parcelyard.functions.lineage import ROWS_A_TASK, dealt
+
+    rows = spark.range(100)
+    assert dealt(rows, 100, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(rows, 50 * ROWS_A_TASK, "id").rdd.getNumPartitions() == 50
+
+
+def test_pairs_of_suppliers_are_counted_by_half(spark, sf_dir):
+    from parcelyard.plans import community_queries
+
+    links = community_queries.cosupply(spark, sf_dir)
+    assert links.join(links.selectExpr("src as dst", "dst as src", "w as other"), ["src", "dst"]).where("w = other").count() == links.count() > 0
+    assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
