@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.numbering import summed_before
+
 
 def no_nan(c: str | Column) -> Column:
     """NaN as null, where a mean is to skip it."""
@@ -68,12 +71,20 @@ def distances(points: DataFrame, label: str, dims: str = "xyz") -> DataFrame:
 
 
 def trimmed_mean(values: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """Mean without floor(share * n) values at each end; the median where nothing is left."""
-    w = Window.partitionBy(*by)
-    rows = values.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    cut = F.floor(F.lit(share) * F.col("_n"))
-    core = F.avg(F.when((F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut), F.col(value)))
-    return rows.groupBy(*by).agg(F.coalesce(core, F.median(value)).alias("trimmed"))
+    """Mean without floor(share * n) values at each end; the median where nothing is left. Null values come first and count for n.
+
+    Equal values are counted first, and running counts are summed by ranges, so no task holds a group's rows.
+    """
+    counts = cut(values.groupBy(*by, value).agg(F.count("*").alias("_c")))
+    placed = summed_before(counts, by, value, "_c", "_k", counts.count())
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("_c"))), F.lit(0)).alias("_nulls"))
+    rows = placed.alias("a").join(total.alias("t"), [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]).select("a.*", "_n", "_nulls")
+    ends = F.floor(F.lit(share) * F.col("_n"))
+    inside = F.greatest(F.least(F.col("_k") + F.col("_c"), F.col("_n") - ends) - F.greatest(F.col("_k"), ends), F.lit(0))
+    known = F.when(F.col(value).isNotNull(), inside)
+    core = F.sum(F.when(inside > 0, F.col(value) * inside)) / F.nullif(F.sum(known), F.lit(0))
+    bare = (2 * ends >= F.col("_n")) | (F.col("_nulls") >= F.col("_n") - ends)
+    return rows.groupBy(*by).agg(F.coalesce(core, F.percentile(F.when(bare, F.col(value)), 0.5, F.col("_c"))).alias("trimmed"))
 
 
 def percentile_of_positives(values: DataFrame, by: list[str], value: str, percent: float) -> DataFrame:

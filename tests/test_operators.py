@@ -182,3 +182,36 @@ def test_largest_triangle_of_a_round_cloud(spark):
     (got,) = embedding.largest_triangle(points, "n").collect()
     assert math.isclose(got["area"], best, abs_tol=1e-8)
     assert embedding.largest_triangle(points.where("false"), "n").count() == 0
+
+
+def test_large_groups_are_shared_by_tasks(spark, monkeypatch):
+    from parcelyard.functions import numbering
+    from parcelyard.operators import similarity
+
+    monkeypatch.setattr(numbering, "ROWS_A_TASK", 7)  # so that a group spans ranges
+    rows = spark.range(200).selectExpr("id % 2 as g", "if(id % 11 = 0, null, double((id * 37) % 61)) as v")
+    plain = {tuple(r) for r in similarity.average_rank(rows, ["g"], "v", "r").collect()}
+    assert {tuple(r) for r in similarity.ranked_by_ranges(rows, ["g"], "v", "r", 200).collect()} == plain
+    for share in (0.0, 0.1, 0.37, 0.5):
+        for r in parcels.trimmed_mean(rows, ["g"], "v", share).collect():
+            own = sorted(((x["v"] is not None, x["v"] or 0.0) for x in rows.where(f"g = {r['g']}").collect()))
+            cut = math.floor(share * len(own))
+            core = [v for known, v in own[cut : len(own) - cut] if known] or [v for known, v in own if known]
+            expected = sum(core) / len(core) if 2 * cut < len(own) else sorted(core)[len(core) // 2] / 2 + sorted(core)[(len(core) - 1) // 2] / 2
+            assert math.isclose(r["trimmed"], expected), (share, r)
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    from parcelyard.operators import similarity
+
+    monkeypatch.setattr(similarity, "_QUERIES", 5)
+    monkeypatch.setattr(similarity, "_POINTS", 9)
+    points = [(n, [float(n % 7), float(n * n % 5), 1e3]) for n in range(60)] + [(60, None)]
+    p = spark.createDataFrame(points, "id bigint, e array<double>")
+    found = similarity.nearest_edges(p.where("id % 4 = 0"), p, "id", "e", 6)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # not an expression for each pair
+    got = {(r["i"], r["rank"]): r["j"] for r in found.collect()}
+    for i in range(0, 60, 4):
+        near = sorted((round(math.dist(points[i][1], e), 9), j) for j, e in points if e)[:6]
+        assert [got[i, n + 1] for n in range(6)] == [j for _, j in near]
+    assert similarity.nearest_edges(p.where("false"), p, "id", "e", 6).count() == 0
