@@ -30,6 +30,18 @@ from .common import cut
 
 CAPACITY, CLOSING = 4096, 1
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A normalizer, a pre-tokenizer and a post-processor that do nothing to a word of small ASCII letters.
+LETTERS_AS_THEY_ARE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+)
 
 
 class WordTokenizer(dict):
@@ -47,11 +59,15 @@ class WordTokenizer(dict):
 
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
+        parts = json.loads(definition)
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
         model = self.tokenizer.model
+        # Where what comes before the model leaves a word of small ASCII letters as it is, the model alone gives its ids.
+        asis = (parts.get("normalizer"), parts.get("pre_tokenizer"), parts.get("post_processor")) == LETTERS_AS_THEY_ARE and not parts["model"].get("dropout")
         if hasattr(model, "_resize_cache"):  # it would hold the words a second time
             model._resize_cache(0)
             self.tokenizer.model = model
+        self.model = model if asis else None
 
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -66,6 +82,8 @@ class WordTokenizer(dict):
                 return ids
         elif plain and (small := word.lower()) != word:  # the tokenizer lowers letters too
             ids = self[small]
+        elif self.model is not None and word.isascii() and word.isalpha():
+            ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         else:
             ids = self.direct(word)
         if len(word) <= 64:
