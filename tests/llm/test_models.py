@@ -183,3 +183,21 @@ def test_each_length_and_each_row_of_an_id(spark):
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id bigint, embedding array<double>, row string, length int")
     got = sorted(tuple(r) for r in ann.nearest(df, lambda c: c % 20 == 0, k=5, shard_rows=2).collect())
     assert got == sorted([(20, 1, 1, 3.0), (20, 2, 2, 1.0), (20, 1, 2, 2.0), (20, 2, 1, 1.0), (40, 1, 3, 2.0)])
+
+
+def test_weights_are_fitted_on_every_training_text(spark, monkeypatch, tmp_path):
+    """Each bucket names what it fits on: together all training texts, none of the others."""
+    plain, folder = lm_scoring.token_scores, str(tmp_path)
+
+    def noted(bucket, answers, counts, totals, tables, learn_docs, *rest):
+        with open(f"{folder}/{random.getrandbits(64)}", "w") as f:
+            f.write(f"{len(learn_docs)} {int(bucket.trained.sum())} {int(bucket.trained[learn_docs].sum())}")
+        return plain(bucket, answers, counts, totals, tables, learn_docs, *rest)
+
+    monkeypatch.setattr(lm_scoring, "token_scores", noted)
+    rows = [(i, f"text {i} of some words and {i * i} more") for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lm_scoring.scores(documents, bucket_bytes=2500, part_bytes=2500).collect()
+    got = [[int(x) for x in p.read_text().split()] for p in tmp_path.iterdir()]
+    assert sum(g[0] for g in got) == sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(200))
+    assert all(a == b == c for a, b, c in got)
