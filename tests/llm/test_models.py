@@ -1,7 +1,9 @@
 """Language-model scores and nearest neighbours against plain versions."""
 
+import gc
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
 
@@ -201,3 +203,74 @@ def test_weights_are_fitted_on_every_training_text(spark, monkeypatch, tmp_path)
     got = [[int(x) for x in p.read_text().split()] for p in tmp_path.iterdir()]
     assert sum(g[0] for g in got) == sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(200))
     assert all(a == b == c for a, b, c in got)
+
+
+def test_tokens_equal_plain_splitting():
+    r = random.Random(6)
+    odd = [None, b"", b" \n", b"A\tB\x0b\x0cc\r\nA", "Ä     a\x1cb\x85 Z".encode(), b"\xff a \xff\xff", b"\x00 \x00", b"x"]
+    for some in [odd, [], [None], *([b"".join(r.choice([b"a", b"B", b" ", b"\n", b"\xc3\xa9", b"\x00"]) for _ in range(r.randint(0, 30))) for _ in range(9)] for _ in range(50))]:
+        words, numbers, tokens = lm_scoring.tokenised(some)
+        want = [[*lm_scoring.split(t), lm_scoring.END] for t in some]
+        assert [words[k] for k in numbers.tolist()] == [w for t in want for w in t] and tokens.tolist() == [len(t) for t in want]
+        assert words == list(dict.fromkeys(w for t in want for w in t))
+
+
+def test_a_token_is_looked_up_once(monkeypatch):
+    """What is fitted on is scored from the same lookups, which are the plain counts of the other documents, and go as the call ends."""
+    train = [t.encode() for t in texts(30)] + [b"some words thatcomeonce " + b"a b a b c " * 3]
+    others = [(t, True) for t in train] + [(t.encode(), False) for t in texts(8, seed=2)] + [(b"a b a b unknown", False)]
+    spelt, pieces, alive, plain, nodes, piece = [], [], [], lm_scoring.token_scores, lm_scoring.Nodes, lm_scoring.Piece
+
+    class Noted(piece):
+        def __init__(self, which, known, bucket, *rest):
+            super().__init__(which, known, bucket, *rest)
+            pieces.append((which, self.alive, self.two_words, self.two_level, [self.inputs(d) for d in range(lm_scoring.PATH)], [self.gate(d) for d in range(lm_scoring.PATH)]))
+            alive.append(weakref.ref(self))
+
+    def noted(words):
+        spelt.extend(words)
+        return nodes(words)
+
+    def fitted(bucket, *rest):
+        spelt.clear()  # of what counts the training texts
+        monkeypatch.setattr(lm_scoring, "Nodes", noted)
+        return plain(bucket, *rest[:-1], np.flatnonzero(bucket.trained))
+
+    monkeypatch.setattr(lm_scoring, "Piece", Noted)
+    monkeypatch.setattr(lm_scoring, "token_scores", fitted)
+    gc.disable()
+    try:
+        logs, *_ = model_of(train, others)
+        assert not any(r() for r in alive)
+    finally:
+        gc.enable()
+    assert b"thatcomeonce " in spelt and b"unknown " in spelt and len(spelt) == len(set(spelt))
+
+    one, two, documents = Counter(), Counter(), []
+    start, path, before = int(lm_scoring.START), 64 - lm_scoring.PATH, 64 - lm_scoring.BEFORE
+    for t, trained in others:
+        hashes = [start, start, *lm_scoring.word_hashes([*lm_scoring.split(t), lm_scoring.END]).tolist()]
+        own_one, own_two, tokens = Counter(), Counter(), []
+        for a, b, c in zip(hashes, hashes[1:], hashes[2:], strict=False):
+            keys = [((b >> before, d, c >> path + lm_scoring.PATH - d), (a, b, d, c >> path + lm_scoring.PATH - d)) for d in range(lm_scoring.PATH + 1)]
+            tokens.append(keys)
+            if trained:
+                own_one.update(k for k, _ in keys)
+                own_two.update(k for _, k in keys)
+        one += own_one
+        two += own_two
+        documents += [(keys, own_two, trained) for keys in tokens]
+    assert sorted(k for which, *_ in pieces for k in which.tolist()) == list(range(len(documents)))
+    for which, alive_at, two_words, two_level, inputs, gates in pieces:
+        place = {k: n for n, k in enumerate(alive_at.tolist())}
+        for n, k in enumerate(which.tolist()):
+            keys, own_two, trained = documents[k]
+            ones, twos = [one[a] - trained for a, _ in keys], [two[b] - own_two[b] for _, b in keys]
+            assert n in place or twos[0] == 0
+            for d in range(lm_scoring.PATH):
+                bit, sign = keys[d + 1][0][2] & 1, 1 if keys[d + 1][0][2] & 1 else -1
+                x, bits = inputs[d]
+                assert bits[n] == bit and gates[d][n] == 8 * lm_scoring.level(np.array(ones))[d] + lm_scoring.level(np.array(twos))[d]
+                for got, c in ((x[1, n], ones), (x[2, n], twos)):
+                    assert got == pytest.approx(sign * math.log((c[d + 1] + 0.15) / (c[d] - c[d + 1] + 0.15)), abs=1e-4)
+    assert all(np.isfinite(log).all() for log in logs)
