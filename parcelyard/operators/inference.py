@@ -122,6 +122,7 @@ def reference_graph(stack: DataFrame, mode: str, threshold: float | None = None,
         return mean.where("_m > 0").select("i", "j")
     if mode == "value":
         return mean.where(F.col("_m") >= threshold).select("i", "j")
+    mean = cut(mean)  # a mean's last bits depend on the order of its sum, so that made again the least link could miss its own mean
     keep = F.greatest(F.bround(F.lit(threshold) * F.count("*")), F.lit(0)).cast("int")
     kept = mean.agg(keep.alias("k")).first()["k"]  # one number
     if not kept:

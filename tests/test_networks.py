@@ -333,3 +333,18 @@ def test_pairs_of_suppliers_are_counted_by_half(spark, sf_dir):
     links = community_queries.cosupply(spark, sf_dir)
     assert links.join(links.selectExpr("src as dst", "dst as src", "w as other"), ["src", "dst"]).where("w = other").count() == links.count() > 0
     assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reference_graph_by_density_makes_the_mean_once(spark, tmp_path):
+    """Rows come in another order each time they are made, as after a shuffle, and so sum to another last bit."""
+    runs = tmp_path / "runs"
+
+    def rows(batches):
+        with runs.open("a") as f:
+            f.write(".")
+        for batch in batches:
+            yield batch.sort_values("w", ascending=runs.stat().st_size <= 2)
+
+    frame = [(i, 100 + i, w * 2**i) for i in range(10) for w in (1.0, 1.0, 1e16)]
+    stack = spark.createDataFrame(frame, "i int, j int, w double").coalesce(1).mapInPandas(rows, "i int, j int, w double")
+    assert {tuple(r) for r in inference.reference_graph(stack, "density", 0.2).collect()} == {(8, 108), (9, 109)}
