@@ -151,12 +151,11 @@ def descriptors(media: DataFrame, corners: int, image: str = "image", keep: list
 
 
 def _linked(one: dict, other: dict, most_bits: int, inliers: int) -> np.ndarray:
-    """Pairs (a, b) of rows of ``one`` and ``other``, descriptors by image, whose components differ and of whose matches ``inliers`` agree. Matches are all descriptors that share a word and differ in at most ``most_bits``."""
+    """Pairs (a, b) of rows of ``one`` and ``other``, descriptors by image, whose components differ and of whose matches ``inliers`` agree. Matches are all descriptors that share a word and differ in at most ``most_bits``. A row is matched with later ones only."""
     packed = [(d["words"][:, ::2].astype(np.uint64) << np.uint64(32)) | d["words"][:, 1::2].astype(np.uint64) for d in (one, other)]
     matched = [np.zeros((0, 2), np.int64)]
     for w in range(4):
-        order = np.argsort(other["words"][:, w], kind="stable")
-        there = other["words"][order, w]
+        order, there = other["sorted"][w]
         start = np.searchsorted(there, one["words"][:, w], "left")
         count = np.searchsorted(there, one["words"][:, w], "right") - start
         ends = np.cumsum(count)
@@ -166,7 +165,7 @@ def _linked(one: dict, other: dict, most_bits: int, inliers: int) -> np.ndarray:
             i = np.repeat(np.arange(at, upto), count[at:upto])
             j = order[np.arange(len(i)) - np.repeat(ends[at:upto] - count[at:upto] - (ends[at - 1] if at else 0), count[at:upto]) + np.repeat(start[at:upto], count[at:upto])]
             at = upto
-            use = one["component"][i] != other["component"][j]
+            use = (one["component"][i] != other["component"][j]) & (one["row"][i] < other["row"][j])
             i, j = i[use], j[use]
             for earlier in range(w):  # a pair that shares several words is taken at the first
                 use = one["words"][i, earlier] != other["words"][j, earlier]
@@ -198,42 +197,63 @@ def _linked(one: dict, other: dict, most_bits: int, inliers: int) -> np.ndarray:
     return np.unique(np.concatenate(links), axis=0)
 
 
+PACKED = ["ids", "components", "counts", *LISTS]
+
+
+def packed(images: DataFrame, blocks: int) -> DataFrame:
+    """One row a block of ``images(media_id, component, x, y, level, angle, words)``: own, and lists of its images' ids, components and numbers of descriptors and of all descriptors' values."""
+    kinds = [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 4 + [pa.list_(pa.float64()), pa.list_(pa.int64())]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        columns = {c: group.column(c).combine_chunks() for c in ("media_id", "component", *LISTS)}
+        flat = [columns["media_id"], columns["component"], columns["x"].value_lengths(), *(columns[c].flatten() for c in LISTS[:4]), columns["words"].flatten().flatten()]
+        lists = [pa.array([v.to_numpy(zero_copy_only=False)], kind) for v, kind in zip(flat, kinds, strict=True)]
+        return pa.Table.from_arrays([group.column("own").slice(0, 1), *lists], ["own", *PACKED])
+
+    own = images.select(F.pmod(F.xxhash64("media_id"), F.lit(blocks)).cast("int").alias("own"), "media_id", "component", *LISTS)
+    kind = "own int, ids array<bigint>, components array<bigint>, counts array<int>, x array<int>, y array<int>, level array<int>, angle array<double>, words array<bigint>"
+    return own.repartition(blocks, "own").groupBy("own").applyInArrow(run, kind)
+
+
+def _opened(batch: pa.RecordBatch, at: int, side: str, before: int) -> dict:
+    """Of the block on one side of a pair: its descriptors by row, the images' ids and where their descriptors begin. Rows count from ``before``."""
+    d = {c: batch.column(f"{side}_{c}")[at].values.to_numpy(zero_copy_only=False) for c in PACKED}
+    n = d.pop("counts").astype(np.int64)
+    ids, components = d.pop("ids"), d.pop("components")
+    d = {c: v if c == "angle" else v.astype(np.int64, copy=False) for c, v in d.items()}
+    d["words"] = d["words"].reshape(-1, 4)
+    d |= {"row": np.repeat(np.arange(len(ids)) + before, n), "media_id": np.repeat(ids, n), "component": np.repeat(components, n)}
+    return {"ids": ids, "begins": np.append(0, np.cumsum(n)), "descriptors": d}
+
+
 def across(images: DataFrame, blocks: int, most_bits: int, inliers: int) -> DataFrame:
-    """Links (a, b) between components of ``images(media_id, component, x, y, level, angle, words)``, one row an image. Images are dealt in ``blocks``; each pair of blocks is one piece of work, and no pair of descriptors that share a word is left out."""
+    """Links (a, b) between components of ``images(media_id, component, x, y, level, angle, words)``, one row an image. Images are dealt in ``blocks``; each pair of blocks is one piece of work, and no pair of descriptors that share a word is left out.
+
+    Blocks are written once, and a task reads the two of each of its pairs: what is shuffled and written grows with the images, not with the pairs.
+    """
     some = 256  # images of one block that are compared with the other at once
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        own, ids = table.column("own").to_numpy(), table.column("media_id").to_numpy()
-
-        def opened(rows: np.ndarray) -> dict:
-            part = table.take(pa.array(rows)).combine_chunks()
-            lists = {c: part.column(c).combine_chunks() for c in LISTS}
-            n = lists["x"].value_lengths().to_numpy(zero_copy_only=False)
-            d = {c: lists[c].flatten().to_numpy(zero_copy_only=False) for c in LISTS[:4]}
-            d = {c: v if c == "angle" else v.astype(np.int64) for c, v in d.items()}
-            d["words"] = lists["words"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
-            return d | {"row": np.repeat(rows, n)} | {c: np.repeat(part.column(c).to_numpy(), n) for c in ("media_id", "component")}
-
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
-        found = [np.zeros((0, 2), np.int64)]
-        if len(first) and len(second):
-            whole = opened(second)
-            for at in range(0, len(first), some):
-                rows = first[at : at + some]
-                found.append(_linked(opened(rows), whole if lo < hi else opened(second[second >= rows[0]]), most_bits, inliers))
-        links = ids[np.concatenate(found)]
-        return pa.table({"a": pa.array(links.min(1) if len(links) else [], pa.int64()), "b": pa.array(links.max(1) if len(links) else [], pa.int64())})
-
-    dealt = (
-        images.withColumn("own", F.pmod(F.xxhash64("media_id"), F.lit(blocks)).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .select("lo", "hi", "own", "media_id", "component", *LISTS)
-    )
-    return dealt.groupBy("lo", "hi").applyInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                same = batch.column("lo_own")[at].as_py() == batch.column("hi_own")[at].as_py()
+                one = _opened(batch, at, "lo", 0)
+                other = one if same else _opened(batch, at, "hi", len(one["ids"]))
+                ids = one["ids"] if same else np.concatenate([one["ids"], other["ids"]])
+                words = other["descriptors"]["words"]
+                orders = [np.argsort(words[:, w], kind="stable") for w in range(4)]
+                whole = other["descriptors"] | {"sorted": [(order, words[order, w]) for w, order in enumerate(orders)]}
+                for first in range(0, len(one["ids"]), some):
+                    begin, end = one["begins"][first], one["begins"][min(first + some, len(one["ids"]))]
+                    links = ids[_linked({c: v[begin:end] for c, v in one["descriptors"].items()}, whole, most_bits, inliers)]
+                    if len(links):
+                        yield pa.RecordBatch.from_arrays([pa.array(links.min(1)), pa.array(links.max(1))], ["a", "b"])
+
+    block = cut(packed(images, blocks))
+    lo, hi = (block.select(*(F.col(c).alias(f"{side}_{c}") for c in ["own", *PACKED])) for side in ("lo", "hi"))
+    pairs = lo.hint("shuffle_replicate_nl").join(hi, F.col("lo_own") <= F.col("hi_own"))  # reads the written blocks; nothing is broadcast or shuffled
+    return pairs.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def near_copies(media: DataFrame, corners: int = 24, inliers: int = 8, most_bits: int = 16, image: str = "image", block: int = 250_000) -> DataFrame:

@@ -464,3 +464,21 @@ def test_tags_end_outside_quotes():
     assert texts("<p title='open>one</p><p>two") == ["one", "two"]
     assert texts("a < b <1> c <p") == ["a < b <1> c <p"]
     assert texts("x<!-- > -- --><p>y<!doctype z>") == ["x", "y"]
+
+
+def test_block_pairs_of_images_move_each_image_once(spark):
+    """What is dealt is one row an image, however many blocks there are; the pairs of blocks are neither shuffled nor broadcast, and links don't depend on them."""
+    r = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        words = r.integers(0, 2**32, (12, 4)) if k % 3 else np.arange(48).reshape(12, 4) * 7919 + 5
+        place = r.integers(10, 50, (2, 12)) if k % 3 else np.arange(24).reshape(2, 12) * 2
+        rows.append((k, k, [int(v) for v in place[0]], [int(v) for v in place[1]], [0] * 12, [0.5] * 12, [[int(v) for v in w] for w in words]))
+    images = spark.createDataFrame(rows, "media_id bigint, component bigint, x array<int>, y array<int>, level array<int>, angle array<double>, words array<array<bigint>>")
+    want = {(a, b) for a in range(0, 60, 3) for b in range(a + 3, 60, 3)}
+    for blocks in (1, 7):
+        assert sum(len(x["ids"]) for x in media.packed(images, blocks).collect()) == 60
+        found = media.across(images, blocks, 16, 8)
+        assert {tuple(x) for x in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "BroadcastNestedLoop" not in plan
