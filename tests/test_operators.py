@@ -215,3 +215,19 @@ def test_nearest_in_tiles(spark, monkeypatch):
         near = sorted((round(math.dist(points[i][1], e), 9), j) for j, e in points if e)[:6]
         assert [got[i, n + 1] for n in range(6)] == [j for _, j in near]
     assert similarity.nearest_edges(p.where("false"), p, "id", "e", 6).count() == 0
+
+
+def test_quadratic_rho_comes_with_its_p(spark):
+    """As the reference returns both. A constant side has neither."""
+    import numpy as np
+
+    x = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+    y = [3.1, 0.4, 5.2, 1.7, 9.9, 2.8, 4.6, 7.3]
+    rows = [("a", *v) for v in zip(x, y, strict=True)] + [("b", 2.0, v) for v in y]
+    got = {r["g"]: r for r in similarity.quadratic_rho(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    slope, intercept = np.polyfit(x, y, 1)
+    ranks = lambda v: np.argsort(np.argsort(v))
+    rho = np.corrcoef(ranks(np.square(x)), ranks(np.array(y) - slope * np.array(x) - intercept))[0, 1]
+    assert got["a"]["rho"] == pytest.approx(rho) and got["a"]["n"] == 8
+    assert got["a"]["p"] == pytest.approx(statistics.student_p(rho * np.sqrt(6 / (1 - rho**2)), 6))
+    assert got["b"]["rho"] is None and got["b"]["p"] is None
